@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionloom.llm import bpe, langid, mixing, ngram_join, quality, token_ids, toxicity
+from captionloom.llm import bpe, langid, mixing, ngram_join, quality, secrets, spotsigs, suffix_dedup, token_ids, toxicity
 from captionloom.llm.common import documents
 
 
@@ -15,6 +15,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir), secrets.forest(spark))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(documents(spark, sf_dir))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +35,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_digests(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.learn(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -47,6 +59,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op4_byte_bpe, op5_token_ids, op7_language_id, op8_toxicity, op9_quality_rules, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_secret_scan, op3_suffix_dedup, op4_byte_bpe, op5_token_ids, op6_spotsigs, op7_language_id, op8_toxicity, op9_quality_rules, op10_ngram_jaccard)
+}
 
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL}

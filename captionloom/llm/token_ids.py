@@ -21,12 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionloom.llm.bpe import _SPACE_RUN, PIECES
+from captionloom.llm.bpe import _SPACE_RUN, SPACE_LED, Memo
 from captionloom.llm.common import map_columns, prepare, scratch
 from captionloom.session import shared_folder
 
@@ -35,6 +36,9 @@ END_ID = 2
 #: Ids in a shard; a shard is what one task sorts and writes.
 SHARD_IDS = 16_000_000
 
+#: Stretches of text, and pieces, that a worker remembers the ids of.
+STRETCHES = 700_000
+
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _PLACES = np.arange(4, dtype=np.uint8)
 
@@ -61,10 +65,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """Encodes texts with a tokenizers file, asking the library once for each distinct stretch of text.
+    """Encodes texts with a tokenizers file, asking the library's model once for each distinct piece.
 
-    The file's pre-split is the byte-level one: a text without a space before white space can be cut
-    at its spaces (see bpe.Codec.encode), and stretches already seen are looked up.
+    The file's pre-split is SPACE_LED over bytes, so texts can be cut at single spaces (see
+    bpe.Codec.encode), and stretches and pieces already seen are looked up. Texts that hold a special
+    token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -73,33 +78,41 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.split = regex.compile(SPACE_LED).findall
+        alphabet = self.library.model
+        # Byte-level files spell bytes as printable characters: those that are so already, then the rest from 256 on.
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = [b for b in range(256) if b not in set(printable)]
+        spelling = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        ask = alphabet.tokenize
+
+        def ids(piece: str) -> bytes:
+            # Letters stand for themselves; only the leading space has another spelling.
+            plain = piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+            spelled = piece.replace(" ", spelling[32]) if plain else piece.encode().decode("latin-1").translate(spelling)
+            return np.array([t.id for t in ask(spelled)], "<u4").tobytes()
+
+        self.pieces = Memo(ids, STRETCHES)
+        look = self.pieces.__getitem__
+        self.join = lambda text: b"".join(map(look, self.split(text)))
+        # A word of letters is one piece; anything else is split.
+        self.after_space = Memo(lambda rest: look(" " + rest) if rest.isascii() and rest.isalpha() else self.join(" " + rest), STRETCHES)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as unsigned 32-bit bytes; null is an empty text."""
-        cut = []
+        out, look = [], self.after_space.__getitem__
         for t in texts:
             if not t:
-                cut.append([])
+                out.append(b"")
+            elif any(s in t for s in self.special):
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
             elif _SPACE_RUN.search(t):
-                cut.append([t])
+                out.append(self.join(t))
             else:
                 first, *rest = t.split(" ")
-                cut.append([first, *[" " + r for r in rest]])
-        if len(self.known) > PIECES:
-            self.known = {k: v for k, v in self.known.items() if len(k) <= 8}
-            if len(self.known) > PIECES // 2:
-                self.known = {}
-        known, once = self.known, {}
-        new = list({p for parts in cut for p in parts}.difference(known))
-        batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for p, e in zip(part, batch(part, add_special_tokens=False), strict=True):
-                (known if len(p) <= 64 else once)[p] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            return [b"".join([known[p] if p in known else once[p] for p in parts]) for parts in cut]
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+                out.append(b"".join([self.join(first), *map(look, rest)]))
+        return out
 
 
 @lru_cache(maxsize=2)

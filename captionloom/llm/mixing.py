@@ -68,9 +68,10 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mixed corpus: the columns of docs, each row as often as it is taken."""
-    picked = with_copies(docs, weights, share, most).filter(F.col("copies") > 0)
-    return picked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixed corpus: the columns of docs, each row as often as it is taken; any other columns ride along."""
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    picked = with_copies(packed, weights, share, most).filter(F.col("copies") > 0)
+    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -49,12 +49,19 @@ def char_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for each row: inside a lambda it would be for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance over arrays of tokens: each distinct token becomes a code point for levenshtein()."""
-    known = F.array_distinct(F.concat(a, b))
-    code = lambda t: F.lpad(F.hex(F.array_position(known, t) + F.lit(_FIRST_CODE)), 8, "0")
-    encode = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, code), "")), "UTF-32")
-    return F.levenshtein(encode(a), encode(b))
+
+    def encoded(x: Column, known: Column) -> Column:
+        code = lambda t: F.lpad(F.hex(F.array_position(known, t) + F.lit(_FIRST_CODE)), 8, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(x, code), "")), "UTF-32")
+
+    return let(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(encoded(a, known), encoded(b, known)))
 
 
 def error_rate(distance: Column, expected: Column, candidate: Column) -> Column:

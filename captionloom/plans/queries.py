@@ -65,7 +65,7 @@ def _pairs(spark, sf_dir):
     segs = views.segments(spark, sf_dir)
     a = metrics.transcript_text(segs, ["job_id"]).select("job_id", tokens(F.col("text")).alias("expected"))
     b = metrics.transcript_text(views.candidates(segs), ["job_id", "candidate"]).select("job_id", "candidate", tokens(F.col("text")).alias("got"))
-    return b.join(a, "job_id")
+    return metrics.spread(b.join(a, "job_id"), "job_id", "candidate")
 
 
 @query()

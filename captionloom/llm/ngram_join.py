@@ -200,7 +200,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    """Tells two sets of edges apart: their number and two exclusive ors of hashes."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
 def _grouped(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
@@ -257,8 +258,8 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b) edges whose components hold every pair of reps that meets in a band and survives pruning."""
     least = min_matches(threshold)
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    # Two buckets with the same members need one visit: members are told by a sum of hashes.
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("leader"), F.sum(F.shiftright(F.xxhash64("rep"), 16)).alias("members")).filter("size > 1")
+    # Two buckets with the same members need one visit: members are told by their hashes' exclusive or.
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("leader"), F.bit_xor(F.xxhash64("rep")).alias("members")).filter("size > 1")
     buckets = buckets.groupBy("size", "leader", "members").agg(F.min("bucket").alias("bucket")).drop("members")
     met = scratch(banded.join(buckets, "bucket"), "met")
     pairs = met.filter("rep != leader").select("rep", "leader").distinct()

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from captionloom.llm.common import map_columns, prepare
 
@@ -24,6 +26,9 @@ CHAIN = 2
 #: Documents in a stretch that one task sorts.
 STRETCH = 10_000
 
+#: At most so many stretches; beyond that they grow, and are sorted on disk.
+STRETCHES = 10_000
+
 #: Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
     "a an and are as at be been but by can do for from had has have he her his if in into is it its no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your "
@@ -132,23 +137,14 @@ def with_neighbours(docs: DataFrame, fn, schema: str) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.count()
-    n = max(2 * spark.sparkContext.defaultParallelism, -(-rows // STRETCH))
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)), reverse=True) if rows else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    stretch = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), stretch.cast("int").alias("stretch"))
-    # A row for each stretch: which there are, and their first doc_id.
+    n = min(STRETCHES, max(2 * spark.sparkContext.defaultParallelism, -(-rows // STRETCH)))
+    cuts = docs.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if rows else []
+    cuts = np.unique(np.array(cuts, np.int64))
+    dealt = _deal(docs.select("doc_id"), cuts, None)
+    # A row for each stretch: which there are, and their first doc_id; at most STRETCHES.
     heads = {r["stretch"]: r["head"] for r in dealt.groupBy("stretch").agg(F.max("doc_id").alias("head")).collect()}
-    there = sorted(heads)
-    to = F.lit(None).cast("int")
-    for k, s in enumerate(there):
-        to = F.when((F.col("stretch") == s) & F.col("doc_id").eqNullSafe(F.lit(heads[s]).cast("long")), F.lit(there[k - 1])).otherwise(to)
-    sent = dealt.withColumn("to", to).filter("to is not null").select("doc_id", "text", F.col("to").alias("stretch"), F.lit(True).alias("sentinel"))
-    every = dealt.withColumn("sentinel", F.lit(False)).union(sent).withColumn("tie", F.xxhash64("text"))
+    every = _deal(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), cuts, heads).withColumn("tie", F.xxhash64("text"))
     ordered = every.repartition(n, "stretch").sortWithinPartitions("stretch", "sentinel", F.col("doc_id").desc_nulls_last(), "tie").select("stretch", "sentinel", "doc_id", "text")
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -165,6 +161,28 @@ def with_neighbours(docs: DataFrame, fn, schema: str) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
+def _deal(rows: DataFrame, cuts: np.ndarray, heads: dict[int, int | None] | None) -> DataFrame:
+    """rows with `stretch` (0 for the largest doc_id, null in the last) and `sentinel`; with `heads`, sentinels are added."""
+    there = sorted(heads or {})
+    to = {s: there[k - 1] for k, s in enumerate(there)}
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, stretch int, sentinel boolean"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            doc = b.column(0)
+            null = doc.is_null().to_numpy(zero_copy_only=False)
+            ids = doc.fill_null(0).to_numpy(zero_copy_only=False)
+            stretch = np.where(null, len(cuts), len(cuts) - np.searchsorted(cuts, ids, side="right")).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(stretch), pa.array(np.zeros(len(doc), bool))], schema=arrow)
+            if heads:
+                first = [k for k, (s, d, gone) in enumerate(zip(stretch.tolist(), ids.tolist(), null.tolist(), strict=True)) if heads[s] == (None if gone else d)]
+                if first:
+                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(first)) for c in b.columns], pa.array([to[int(stretch[k])] for k in first], pa.int32()), pa.array([True] * len(first))], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def edit_digests(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts and of their edited texts, and how alike they are.
 

@@ -14,6 +14,7 @@ from captionloom.operators import intervals, metrics, transcripts, translation
 from captionloom.plans import ledger, views
 from captionloom.plans.views import SQL_CANDIDATES, SQL_SEGMENTS, SQL_TRANSLATIONS
 from captionloom.sources import captions
+from captionloom.streaming import events as event_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -497,6 +498,16 @@ def event_summary(spark, sf_dir):
     return e.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("events"), F.count_if(F.col("value") < 10).alias("low"))
 
 
+@query("SELECT event_type AS stage, epoch_us(date_trunc('hour', ts))::BIGINT AS start_us, count(*)::BIGINT AS events, count(*) FILTER (WHERE value < 10)::BIGINT AS blocked FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_event_windows(spark, sf_dir):
+    """Events as a stream into tumbling windows; low values stand for blocked stages."""
+    schema = views.table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    e = e.select(F.col("event_type").alias("stage"), F.when(F.col("value") < 10, "blocked").otherwise("complete").alias("status"), F.col("ts").cast("timestamp").alias("at")).filter("at is not null")
+    made = event_stream.run_to_end(event_stream.blocked_rates(e))
+    return made.select("stage", F.unix_micros("start").alias("start_us"), "events", "blocked")
+
+
 @query()
 def near_copy_cer(spark, sf_dir):
     """Character distance of consecutive turns of a conversation, folded: a check on many short pairs."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captionloom.session import shared_folder
+
 EVENTS = "job_id string, stage string, status string, code string, at timestamp"
 
 
@@ -24,3 +28,17 @@ def blocked_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hour
     """(start, stage, events, blocked) in tumbling windows; events later than `late` are dropped."""
     counted = events.withWatermark("at", late).groupBy(F.window("at", window), "stage").agg(F.count("*").alias("events"), F.count_if(F.col("status") == "blocked").alias("blocked"))
     return counted.select(F.col("window.start").alias("start"), "stage", "events", "blocked")
+
+
+def run_to_end(result: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a streaming aggregate over all input there is and return its last result.
+
+    Batches go through foreachBatch to the shared folder, where the checkpoint is too: a restart goes
+    on where it stopped and rewrites at most its last batch.
+    """
+    spark = result.sparkSession
+    folder = f"{shared_folder(spark)}/captionloom-stream-{uuid.uuid4().hex}"
+    sink = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/result")
+    query = result.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{folder}/result")

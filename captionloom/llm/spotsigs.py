@@ -144,7 +144,8 @@ def with_neighbours(docs: DataFrame, fn, schema: str) -> DataFrame:
     # A row for each stretch: which there are, and their first doc_id; at most STRETCHES.
     heads = {r["stretch"]: r["head"] for r in dealt.groupBy("stretch").agg(F.max("doc_id").alias("head")).collect()}
     every = _deal(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), cuts, heads).withColumn("tie", F.xxhash64("text"))
-    ordered = every.repartition(n, "stretch").sortWithinPartitions("stretch", "sentinel", F.col("doc_id").desc_nulls_last(), "tie").select("stretch", "sentinel", "doc_id", "text")
+    # One stretch a partition: dealt by a hash, several would meet in one.
+    ordered = every.repartitionById(len(cuts) + 1, "stretch").sortWithinPartitions("stretch", "sentinel", F.col("doc_id").desc_nulls_last(), "tie").select("stretch", "sentinel", "doc_id", "text")
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):

@@ -118,9 +118,9 @@ def frame_command(path: str, at: float, to: str) -> list[str]:
     return ["ffmpeg", *QUIET, "-ss", f"{at:.3f}", "-i", path, "-frames:v", "1", to]
 
 
-def lower_difference(a: np.ndarray, b: np.ndarray, share: float = 0.55, least: int = 25) -> float:
-    """Share of channel values in the lower part of two RGB pictures that differ by `least` or more."""
+def lower_difference(a: np.ndarray, b: np.ndarray, above: float = 0.45, least: int = 25) -> float:
+    """Share of channel values below the upper `above` of two RGB pictures that differ by `least` or more."""
     if a.shape != b.shape:
         raise MediaError("the frames differ in size")
-    rows = slice(int(a.shape[0] * (1 - share)), None)
+    rows = slice(int(a.shape[0] * above), None)
     return float((np.abs(a[rows].astype(np.int16) - b[rows].astype(np.int16)) >= least).mean())

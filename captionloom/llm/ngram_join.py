@@ -275,7 +275,8 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
 
     # Those unlike their leader, against all of the bucket.
     odd = met.filter("size > 2").join(judged.filter("not near").select("rep", "leader"), ["rep", "leader"])
-    open_ = odd.groupBy("bucket").agg(F.count("*").alias("odd"))
+    # Written first: a join with a table can be split at a hot bucket, a join with an aggregate cannot.
+    open_ = scratch(odd.groupBy("bucket").agg(F.count("*").alias("odd")), "open-buckets")
     marked = met.join(open_, "bucket").join(judged.filter("not near").select("rep", "leader", F.lit(True).alias("is_odd")), ["rep", "leader"], "left")
     of = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep"), of(n)).cast("int")

@@ -1,6 +1,6 @@
 """Secret scan with DataFrame functions alone; a random forest removes false positives.
 
-Candidates are runs of key-like characters with a digit. Their features (length, character
+Candidates are runs of key-like characters, and whatever follows a secret's name. Their features (length, character
 transitions, dictionary coverage, path and neighbouring words) are SQL expressions over arrays, and
 the forest, fitted once on labelled findings, becomes one SQL expression too: a text is scanned,
 judged and redacted within its own row, without a shuffle.
@@ -15,18 +15,42 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: 12 characters or more, at least one of them a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/_.\-]*+[0-9])[A-Za-z0-9+/_\-](?:[A-Za-z0-9+/_.\-]*[A-Za-z0-9+/_\-])?(?<=[A-Za-z0-9+/_.\-]{12})={0,2}"
 CONTEXT = 40
 MASK = "[SECRET]"
 
 #: Names that announce a secret or something else, issuers' prefixes, words of plain text.
-SECRET_NAMES = "token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?secret"
+SECRET_NAMES = "token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?secret|secret[_ -]?key"
 OTHER_NAMES = "sha(?:1|256)?|md5|commit|checksum|hash|uuid|guid|id|iban|phone|tel|isbn|doi|version|build|url|mail|fax|card"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|xox[abpr]-|AIza|eyJ|SG\\.|npm_|pypi-"
 PLAIN = "example|sample|test|dummy|placeholder|change|your|insert|mail|http|www|com|org|net|html|version|release|the|and|ing|tion|er|on|re|in|at|en|es|or|de|an|ti|st|al|le|ou|ch|ie|qu"
 TEST_PATH = "test|spec|example|sample|fixture|mock|doc|readme"
 
+#: Ends of names by length, as look-behinds of one width are all that Python's expressions have: secrets' and others'.
+SECRET_ENDS = {3: "pwd", 4: "auth", 5: "token", 6: "secret|passwd|bearer|apikey", 7: "api[_ -]key", 8: "password", 9: "accesskey|secretkey", 10: "access[_ -]key|secret[_ -]key|privatekey|credential", 11: "private[_ -]key"}
+OTHER_ENDS = ("id", "key|md5|url|doi|tel|fax", "sha1|hash|uuid|guid|iban|isbn|mail|card", "build|phone", "sha256|commit", "version", "checksum")
+
+
+def _candidate() -> str:
+    """A candidate is one of, all of it and no part:
+
+    - after a secret's name and up to six signs between: whatever has no white space, quote or angle
+      bracket, of any length, up to a comma, semicolon or ampersand before the next name;
+    - a run of key-like characters with an issuer's prefix;
+    - any other such run of 12 characters or more, except a name without a digit (left to the context of its value).
+    """
+    key, inner = r"[A-Za-z0-9+/_\-]", r"[A-Za-z0-9+/_.\-]"
+    free, last = r"[!#-%(-+\--:=?-\[\]-_a-~\u00a1-\u1fff]", r"[!#-%(*+\-/-9=@-\[^_a-|~\u00a1-\u1fff]"
+    name = "|".join(f"(?<=(?i:{ends})[ :=>\"'`]{{{k}}})" for ends in SECRET_ENDS.values() for k in range(1, 7))
+    named = rf"(?<=[ :=>\"'`])(?:{name})(?![:=]|(?i:{SECRET_NAMES})[ :=>\"'`]){free}*{last}(?:[,;&](?![A-Za-z0-9_.\-]*=){free}*{last}){{0,20}}"
+    ends = "".join(f"(?<!(?i:{e}))" for e in SECRET_ENDS.values())
+    others = "".join(f"(?<!(?i:{e}))" for e in OTHER_ENDS)
+    digit, no_name = r"(?=[A-Za-z+/_.\-]*+[0-9])", rf"(?=[A-Za-z+/_.\-]*+{ends}(?:{others}|(?![\"'`]? ?[:=])))"
+    run = rf"(?:(?:{PREFIXES}){inner}+|(?:{digit}|{no_name}){key}{inner}{{11,}})(?<!\.)(?!{key})={{0,2}}"
+    return rf"{named}|(?<!{key}){run}"
+
+
+CANDIDATE = _candidate()
+
 FEATURES = ("size", "digits", "upper", "lower", "runs", "distinct", "pairs", "plain", "hex", "only_digits", "dots", "dashes", "prefixed", "named", "other", "quoted", "assigned", "mail", "iban", "worded", "test_path")
 TREES, DEPTH, SEED = 24, 6, 7
 
@@ -78,18 +102,41 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
     paths = ["src/main.py", "app/settings.yaml", "src3", "src0", "web", "tests/test_auth.py", "docs/readme.md", "examples/sample.env", ""]
     glue = lambda: r.choice(["=", " = ", ": ", ":", "=\"", " = \"", ": '", "\": \"", " "])
 
+    syllables = lambda lo, hi: "".join(r.choice("bcdfghjklmnprstvwz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "l"]) for _ in range(r.randint(lo, hi)))
+    term = lambda lo, hi: r.choice([word, syllables])(lo, hi)
+    sign = lambda: r.choice(["=", " = ", ": ", ":", "=\"", " = \"", ": '", "\": \""])
+    closed = lambda g: g[-1] if g[-1] in "\"'" else r.choice([" ", "\n", " " + word()])
+
     def secret() -> tuple[str, str, str]:
-        kind = r.randrange(9)
+        kind = r.randrange(12)
+        if kind >= 9:  # chosen by people, or short: known by the name before them
+            body = ["".join(term(1, 3).title() for _ in range(r.randint(2, 5))), (term(1, 3).title() + pick("!@#$%*?_", r.randint(1, 2)) + pick(string.digits, r.randint(1, 4))).replace("a", r.choice("a@"), 1), pick(alnum + "!@#$%*", r.randint(6, 15)), pick(string.ascii_letters, r.randint(12, 40))][r.randrange(4)]
+            g = sign()
+            return prose() + r.choice(names) + g, body, closed(g)
         known = [lambda: r.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + "234567", 16), lambda: r.choice(["ghp_", "gho_", "ghs_"]) + pick(alnum, 36), lambda: r.choice(["sk_live_", "rk_live_"]) + pick(alnum, 24), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35), lambda: "eyJ" + pick(alnum, 30) + "." + pick(alnum, 40) + "." + pick(alnum + "_-", 43), lambda: "glpat-" + pick(alnum + "_-", 20)]
         if kind < 4:
-            own = r.choice(known)()
+            own = r.choice(known)() if r.random() < 0.8 else r.choice(PREFIXES.split("|")[:2]) + pick(string.ascii_uppercase, 16)
             return (prose(), own, " " + word()) if r.random() < 0.6 else (prose() + r.choice(names) + glue(), own, r.choice(["\"", "'", " ", "\n"]))
-        body = [lambda: pick(hexa, r.choice([16, 18, 20, 24, 32, 40, 40, 48, 64])), lambda: pick(alnum, r.randint(16, 48)), lambda: pick(b64, r.randint(24, 64)) + r.choice(["", "=", "=="]), lambda: word(1, 2).title() + pick(alnum, 10)][r.randrange(4)]()
+        body = [lambda: pick(hexa, r.choice([16, 18, 20, 24, 32, 40, 40, 48, 64])), lambda: pick(r.choice([alnum, alnum, string.ascii_letters]), r.randint(16, 48)), lambda: pick(b64, r.randint(24, 64)) + r.choice(["", "=", "=="]), lambda: word(1, 2).title() + pick(alnum, 10)][r.randrange(4)]()
         g = glue()
         return prose() + r.choice(names) + g, body, (g[-1] if g[-1] in "\"'" else r.choice([" ", "\n", " " + word()]))
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(12)
+        kind = r.randrange(18)
+        if kind == 12:
+            return r.choice([prose(), " ", " "]), r.choice([str, str.title, str.upper])(term(5, 9))[:30].ljust(12, "e"), r.choice([" ", ", ", ".", ""]) + word()
+        if kind == 13:
+            return prose() + r.choice(names) + " ", r.choice([str, str.title])(term(1, 6)), r.choice([" ", ", ", "."]) + word()
+        if kind == 14:
+            g = sign()
+            return prose() + r.choice(names) + g, r.choice(["None", "null", "true", "false", "string", "String", "undefined", "required", "*" * r.randint(3, 12), "x" * r.randint(3, 20), "$" + term(2, 3).upper(), "${" + term(2, 4).upper(), term(1, 3), str(r.randint(0, 99)), term(1, 3) + "." + term(2, 4), term(1, 2) + "." + term(1, 3) + "("]), closed(g)
+        if kind == 15:
+            joint = r.choice("-/_.+")
+            return r.choice([prose(), " ", prose() + "/"]), r.choice([joint.join(term(2, 3) for _ in range(r.randint(3, 6))), term(2, 3) + "".join(term(1, 3).title() for _ in range(r.randint(2, 4))), r.choice("-_/+") * r.randint(12, 60), r.choice(string.ascii_letters) * r.randint(12, 200), (term(2, 4) + joint) * 2 + term(2, 4).upper()]), r.choice([" ", "\n", "("]) + word()
+        if kind == 16:
+            return r.choice([prose(), " "]), r.choice(["npm_", "pypi-", "eyJ", "AIza", "glpat-", "ghp_", "AKIA", "SG."]) + r.choice([term(1, 4), "_".join([word(), word()])]), " " + word()
+        if kind == 17:
+            return r.choice([prose(), " "]), term(2, 5).upper() + "_" + term(2, 5).upper() + r.choice(["", "_" + term(1, 3).upper()]), r.choice([" ", "=", ": ", ")"]) + word()
         if kind == 0:
             return prose(), pick(string.ascii_uppercase, 2) + pick(string.digits, r.randint(14, 26)), " " + word()
         if kind == 1:
@@ -163,16 +210,17 @@ def _vote(tree, f: Column) -> Column:
 
 
 def judged(docs: DataFrame, trees: list[tuple], path: str | None = "source") -> DataFrame:
-    """docs with `_pieces` (the text between candidates) and `_found` (array of candidate, score)."""
+    """docs with `_pieces` (the text between candidates), `_matches` (candidates) and `_found` (array of candidate, score)."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     text = F.coalesce("text", F.lit(""))
     cut = docs.withColumn("_pieces", F.split(text, CANDIDATE, -1)).withColumn("_matches", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    described = cut.withColumn(
-        "_described",
-        F.transform("_matches", lambda m, i: F.struct(m.alias("candidate"), _features(m, F.right(F.get("_pieces", i), F.lit(CONTEXT)), F.left(F.get("_pieces", i + 1), F.lit(CONTEXT)), where).alias("f"))),
-    )
+    # The texts before and after come as arrays: taken by index inside the function, the text would be split anew for each candidate.
+    n = F.size("_matches")
+    before = F.zip_with("_matches", F.slice("_pieces", F.lit(1), n), lambda m, p: F.struct(m.alias("m"), F.right(p, F.lit(CONTEXT)).alias("left")))
+    around = F.zip_with(before, F.slice("_pieces", F.lit(2), n), lambda x, p: F.struct(x["m"].alias("candidate"), _features(x["m"], x["left"], F.left(p, F.lit(CONTEXT)), where).alias("f")))
+    described = cut.withColumn("_described", around)
     votes = lambda f: sum((_vote(t, f) for t in trees), F.lit(0.0)) / len(trees)
-    return described.withColumn("_found", F.transform("_described", lambda d: F.struct(d["candidate"].alias("candidate"), votes(d["f"]).alias("score")))).drop("_matches", "_described")
+    return described.withColumn("_found", F.transform("_described", lambda d: F.struct(d["candidate"].alias("candidate"), votes(d["f"]).alias("score")))).drop("_described")
 
 
 def scan(docs: DataFrame, trees: list[tuple], path: str | None = "source") -> DataFrame:
@@ -183,24 +231,27 @@ def scan(docs: DataFrame, trees: list[tuple], path: str | None = "source") -> Da
     """
     scored = judged(docs.select(*[c for c in ("doc_id", "text", path) if c in docs.columns]), trees, path)
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    lengths = F.zip_with(F.slice("_pieces", F.lit(1), F.size("_matches")), "_matches", lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("size")))
 
-    def step(done, m, i):
-        here = done["at"] + F.length(F.get("_pieces", i))
-        return F.struct((here + F.length(m["f"]["candidate"])).cast("long").alias("at"), F.array_append(done["starts"], here.cast("long")).alias("starts"))
+    def step(done, m):
+        here = done["at"] + m["skip"]
+        return F.struct((here + m["size"]).cast("long").alias("at"), F.array_append(done["starts"], here.cast("long")).alias("starts"))
 
-    numbered = F.transform("_found", lambda f, i: F.struct(f.alias("f"), i.alias("i")))
-    starts = F.aggregate(numbered, first, lambda done, m: step(done, m, m["i"]), lambda done: done["starts"])
-    rows = scored.filter(F.exists("_found", lambda f: f["score"] >= 0.5)).select("doc_id", F.explode(F.arrays_zip(F.col("_found").alias("f"), starts.alias("start"))).alias("z"))
+    starts = F.aggregate(lengths, first, step, lambda done: done["starts"])
+    # `_found` stands once in the plan, so that candidates are judged once: a filter of rows, or the one
+    # that an inner explode implies, would be pushed below and judge them again.
+    hits = F.filter(F.zip_with("_found", starts, lambda f, start: F.struct(f.alias("f"), start.alias("start"))), lambda z: z["f"]["score"] >= 0.5)
+    rows = scored.select("doc_id", F.explode_outer(hits).alias("z"))
     c = F.col("z.f.candidate")
     kind = F.when(c.rlike(f"^(?:{PREFIXES})"), "issued").when(c.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("mixed")
-    return rows.filter(F.col("z.f.score") >= 0.5).select("doc_id", F.col("z.start").alias("start"), F.length(c).cast("long").alias("length"), kind.alias("kind"), F.sha2(c, 256).alias("secret_sha256"), F.round("z.f.score", 6).alias("score"))
+    return rows.filter(F.col("z").isNotNull()).select("doc_id", F.col("z.start").alias("start"), F.length(c).cast("long").alias("length"), kind.alias("kind"), F.sha2(c, 256).alias("secret_sha256"), F.round("z.f.score", 6).alias("score"))
 
 
 def redact(docs: DataFrame, trees: list[tuple], path: str | None = "source") -> DataFrame:
     """docs with each secret in the text replaced by MASK, and n_chars (if there) counted anew. Null texts stay null."""
     scored = judged(docs, trees, path)
     masked = F.concat(F.transform("_found", lambda f: F.when(f["score"] >= 0.5, F.lit(MASK)).otherwise(f["candidate"])), F.array(F.lit("")))
-    text = F.when(F.exists("_found", lambda f: f["score"] >= 0.5), F.array_join(F.zip_with("_pieces", masked, lambda p, m: F.concat(p, m)), "")).otherwise(F.col("text"))
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.zip_with("_pieces", masked, lambda p, m: F.concat(p, m)), ""))
     out = scored.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -39,6 +39,9 @@ COMMON = 50_000
 #: A null doc_id sorts after all others.
 NO_ID = (1 << 63) - 1
 
+#: Repeated ids are looked up in memory up to this many, in a join beyond.
+REPEATED = 1_000_000
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(1 << 63)
 
@@ -144,7 +147,7 @@ def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     return known[:n]
 
 
-def repeated(regions: list[bytes], doc: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated(regions: list[bytes], doc: np.ndarray, sub: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(region, offset) of the windows of distinct regions that also start earlier in another one."""
     lens = np.array([len(r) for r in regions])
     text = np.zeros(int(lens.sum()) + len(regions), np.int64)  # 0 parts the regions
@@ -159,11 +162,11 @@ def repeated(regions: list[bytes], doc: np.ndarray, first: np.ndarray, least: in
     window = offset + least <= lens[owner]
     group, owner, offset = group[window], owner[window], offset[window]
     place = first[owner] + offset
-    by = np.lexsort((place, doc[owner], group))
+    by = np.lexsort((place, sub[owner], doc[owner], group))
     group, owner, offset, place = group[by], owner[by], offset[by], place[by]
     lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     head = np.repeat(lead, np.diff(np.append(lead, len(group))))
-    later = (doc[owner] != doc[owner[head]]) | (place != place[head])
+    later = (doc[owner] != doc[owner[head]]) | (sub[owner] != sub[owner[head]]) | (place != place[head])
     return owner[later], offset[later]
 
 
@@ -205,9 +208,22 @@ def _shards(df: DataFrame, column: str, fn, schema: str, parts: int) -> DataFram
     return df.repartition(parts, column).sortWithinPartitions(column).mapInArrow(run, schema)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, sub, text): `sub` tells apart the texts without a doc_id or under one doc_id, by their hash; else it is 0."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    seen = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    ids = scratch(seen.filter(F.col("lo") != F.col("hi")).select(F.col("doc_id").alias("_key")), "ids")
+    many, known, odd = ids.count(), docs.select("doc_id", "text"), F.col("doc_id").isNull() | (F.col("doc_id") == NO_ID)
+    if many:
+        ids = ids.withColumn("_again", F.lit(True))
+        known = known.withColumn("_key", F.coalesce("doc_id", own)).join(F.broadcast(ids) if many <= REPEATED else ids, "_key", "left")  # no null keys: they would meet in one task
+        odd |= F.col("_again").isNotNull()
+    return known.select("doc_id", F.when(odd, own).otherwise(F.lit(0).cast("long")).alias("sub"), "text")
+
+
 def common_grams(docs: DataFrame, least: int) -> np.ndarray:
     """Sorted hashes of the most frequent anchors in a sixteenth of the documents: they only steer the dealing."""
-    some = docs.filter(F.pmod(F.xxhash64(F.lit("grams"), "doc_id"), F.lit(16)) == 0)
+    some = docs.filter(F.pmod(F.when(F.col("sub") == 0, F.xxhash64(F.lit("grams"), "doc_id")).otherwise(F.xxhash64(F.lit("grams"), "sub")), F.lit(16)) == 0)
 
     def make():
         none = np.zeros(0, np.uint64)
@@ -225,72 +241,77 @@ def common_grams(docs: DataFrame, least: int) -> np.ndarray:
 
 
 def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, first, last): runs of window starts to remove, doc being doc_id or NO_ID."""
+    """(doc, sub, first, last): runs of window starts to remove from keyed docs, doc being doc_id or NO_ID."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchor_shards, region_shards = max(8, -(-total // ANCHOR_SHARD)), max(16, -(-total // REGION_SHARD))
     common = common_grams(docs, least)
 
     def find():
-        def f(doc, text):
+        def f(doc, sub, text):
             out = [[], [], []]
             for t in text:
                 out[0].append(anchors(np.frombuffer((t or "").encode(), np.uint8), least, common))
             h, first, last = (np.concatenate([a[k] for a in out[0]]) for k in range(3))
-            owner = np.repeat([NO_ID if d is None else d for d in doc], [len(a[0]) for a in out[0]])
+            lens = [len(a[0]) for a in out[0]]
+            owner, subs = np.repeat([NO_ID if d is None else d for d in doc], lens), np.repeat(sub, lens)
             shard = (h % np.uint64(anchor_shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(anchor_shards + 1))
             pieces = [(s, by[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            return [[s for s, _ in pieces], [_pack(h[k].view(np.int64), owner[k], first[k] * 128 + last[k] - first[k]) for _, k in pieces]]
+            return [[s for s, _ in pieces], [_pack(h[k].view(np.int64), owner[k], subs[k], first[k] * 128 + last[k] - first[k]) for _, k in pieces]]
 
         return f
 
     def keep_repeated(rows):
-        h, owner, code = np.concatenate([_unpack(r[1], 3) for r in rows], axis=1)
+        h, owner, sub, code = np.concatenate([_unpack(r[1], 4) for r in rows], axis=1)
         by = np.argsort(h, kind="stable")
         s = h[by]
         same = s[1:] == s[:-1]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         k = by[twice]
-        return [owner[k].tolist(), (code[k]).tolist(), h[k].tolist()]
-
-    found = map_columns(docs.select("doc_id", "text"), find, "shard long, blob binary")
-    again = _shards(found, "shard", keep_repeated, "doc long, code long, h long", anchor_shards)
+        k = k[np.lexsort((code[k], sub[k], owner[k], h[k]))]
+        fresh = np.ones(len(k), bool)  # equal rows are one document, whose anchors count once
+        fresh[1:] = (h[k[1:]] != h[k[:-1]]) | (owner[k[1:]] != owner[k[:-1]]) | (sub[k[1:]] != sub[k[:-1]]) | (code[k[1:]] != code[k[:-1]])
+        k = k[fresh]
+        return [owner[k].tolist(), sub[k].tolist(), code[k].tolist(), h[k].tolist()]
+
+    found = map_columns(docs.select("doc_id", "sub", "text"), find, "shard long, blob binary")
+    again = _shards(found, "shard", keep_repeated, "doc long, sub long, code long, h long", anchor_shards)
     # A document's anchors are bounded by its length.
-    lists = again.groupBy("doc").agg(F.collect_list("code").alias("codes"), F.collect_list("h").alias("hs"))
-    texts = squeezed(docs).filter(F.col("n_bytes") >= least).join(lists, "doc").select("doc", "text", "codes", "hs")
+    lists = again.groupBy("doc", "sub").agg(F.collect_list("code").alias("codes"), F.collect_list("h").alias("hs"))
+    texts = squeezed(docs).filter(F.col("n_bytes") >= least).join(lists, ["doc", "sub"]).select("doc", "sub", "text", "codes", "hs")
 
     def cut():
         widen = zstandard.ZstdDecompressor()
 
-        def f(doc, text, codes, hs):
+        def f(doc, sub, text, codes, hs):
             regions: dict[bytes, tuple] = {}
-            gone: list[tuple[int, int, int]] = []
-            for d, t, cs, own in zip(doc, text, codes, hs, strict=True):
+            gone: list[tuple[int, int, int, int]] = []
+            for d, u, t, cs, own in zip(doc, sub, text, codes, hs, strict=True):
                 raw = widen.decompress(t)
                 for c, h in zip(cs, own, strict=True):
                     first, more = c >> 7, c & 127
                     piece = raw[first : first + more + least]
                     have = regions.get(piece)
                     if have is None:
-                        regions[piece] = (d, first, h)
-                    elif (d, first) < have[:2]:
-                        gone.append((have[0], have[1], have[1] + more))
-                        regions[piece] = (d, first, h)
-                    elif (d, first) != have[:2]:
-                        gone.append((d, first, first + more))
+                        regions[piece] = (d, u, first, h)
+                    elif (d, u, first) < have[:3]:
+                        gone.append((*have[:3], have[2] + more))
+                        regions[piece] = (d, u, first, h)
+                    elif (d, u, first) != have[:3]:
+                        gone.append((d, u, first, first + more))
             shards: dict[int, list] = {}
-            for piece, (d, first, h) in regions.items():
-                shards.setdefault((h ^ h >> 17) % region_shards, []).append((h, d, first, piece))
+            for piece, (d, u, first, h) in regions.items():
+                shards.setdefault((h ^ h >> 17) % region_shards, []).append((h, d, u, first, piece))
             out: list[list] = [[], [], [], []]
             for shard, rows in shards.items():
                 rows.sort()
-                lens = np.array([len(r[3]) for r in rows])
-                head = _pack(*(np.array([r[k] for r in rows]) for k in range(3)), lens)
-                for column, x in zip(out, (shard, len(rows), head, zstandard.ZstdCompressor(level=3).compress(b"".join(r[3] for r in rows))), strict=True):
+                lens = np.array([len(r[4]) for r in rows])
+                head = _pack(*(np.array([r[k] for r in rows]) for k in range(4)), lens)
+                for column, x in zip(out, (shard, len(rows), head, zstandard.ZstdCompressor(level=3).compress(b"".join(r[4] for r in rows))), strict=True):
                     column.append(x)
             if gone:  # these only pass through, so any shard will do
-                for column, x in zip(out, (gone[0][0] % region_shards, -1, _pack(*np.array(gone).T), None), strict=True):
+                for column, x in zip(out, ((gone[0][0] ^ gone[0][1]) % region_shards, -1, _pack(*np.array(gone).T), None), strict=True):
                     column.append(x)
             return out
 
@@ -298,29 +319,29 @@ def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def expand(rows):
         widen = zstandard.ZstdDecompressor()
-        out = [_unpack(r[2], 3) for r in rows if r[1] < 0]
-        regions: dict[bytes, tuple[int, int, int]] = {}
-        gone: list[tuple[int, int, int]] = []
+        out = [_unpack(r[2], 4) for r in rows if r[1] < 0]
+        regions: dict[bytes, tuple[int, int, int, int]] = {}
+        gone: list[tuple[int, int, int, int]] = []
         for _, n, head, body in rows:
             if n < 0:
                 continue
             raw, at = widen.decompress(body), 0
-            for h, d, first, size in _unpack(head, 4).T.tolist():
+            for h, d, u, first, size in _unpack(head, 5).T.tolist():
                 piece = raw[at : at + size]
                 at += size
                 have = regions.get(piece)
-                if have is None or (d, first) < have[:2]:
+                if have is None or (d, u, first) < have[:3]:
                     if have is not None:
-                        gone.append((have[0], have[1], have[1] + size - least))
-                    regions[piece] = (d, first, h)
-                elif (d, first) != have[:2]:
-                    gone.append((d, first, first + size - least))
+                        gone.append((*have[:3], have[2] + size - least))
+                    regions[piece] = (d, u, first, h)
+                elif (d, u, first) != have[:3]:
+                    gone.append((d, u, first, first + size - least))
         if gone:
             out.append(np.array(gone).T)
         if regions:
-            h = np.array([v[2] for v in regions.values()])
+            h = np.array([v[3] for v in regions.values()])
             _, code, n = np.unique(h, return_inverse=True, return_counts=True)
-            pieces, places, code = list(regions), np.array([v[:2] for v in regions.values()]), code.ravel()
+            pieces, places, code = list(regions), np.array([v[:3] for v in regions.values()]), code.ravel()
             rows_, weight = np.flatnonzero(n[code] > 1), 0  # others met nothing but copies of themselves
             rows_ = rows_[np.argsort(code[rows_], kind="stable")]
             start = 0
@@ -329,41 +350,42 @@ def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 last = k + 1 == len(rows_)
                 if last or weight >= 1 << 20 and code[rows_[k]] != code[rows_[k + 1]]:
                     part = rows_[start : k + 1]
-                    region, offset = repeated([pieces[i] for i in part.tolist()], places[part, 0], places[part, 1], least)
+                    region, offset = repeated([pieces[i] for i in part.tolist()], places[part, 0], places[part, 1], places[part, 2], least)
                     by = np.lexsort((offset, region))
                     region, offset = region[by], offset[by]
                     if len(region):
                         new = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (offset[1:] != offset[:-1] + 1)]))
                         end = np.append(new[1:], len(region)) - 1
                         at = part[region[new]]
-                        out.append(np.stack([places[at, 0], places[at, 1] + offset[new], places[at, 1] + offset[end]]))
+                        out.append(np.stack([places[at, 0], places[at, 1], places[at, 2] + offset[new], places[at, 2] + offset[end]]))
                     start, weight = k + 1, 0
-        made = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        made = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
         return [m.tolist() for m in made]
 
     shipped = map_columns(texts, cut, "shard long, n long, head binary, body binary")
-    return _shards(shipped, "shard", expand, "doc long, first long, last long", region_shards)
+    return _shards(shipped, "shard", expand, "doc long, sub long, first long, last long", region_shards)
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, n_bytes, text binary): texts as zstd, to move less; a null text is empty."""
+    """(doc, sub, doc_id, n_bytes, text binary) of keyed docs: texts as zstd, to move less; a null text is empty."""
 
     def make():
         squeeze = zstandard.ZstdCompressor(level=1)
 
-        def f(doc, text):
+        def f(doc, sub, text):
             raw = [(t or "").encode() for t in text]
-            return [[NO_ID if d is None else d for d in doc], doc, [len(r) for r in raw], [squeeze.compress(r) for r in raw]]
+            return [[NO_ID if d is None else d for d in doc], sub, doc, [len(r) for r in raw], [squeeze.compress(r) for r in raw]]
 
         return f
 
-    return map_columns(docs.select("doc_id", "text"), make, "doc long, doc_id long, n_bytes long, text binary")
+    return map_columns(docs.select("doc_id", "sub", "text"), make, "doc long, sub long, doc_id long, n_bytes long, text binary")
 
 
 def _joined(docs: DataFrame, least: int) -> DataFrame:
+    docs = keyed(docs)
     runs = scratch(removed_runs(docs, least), "runs")
-    lists = runs.groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    return squeezed(docs).join(lists, "doc", "left").select("doc_id", "n_bytes", "text", "firsts", "lasts")
+    lists = runs.groupBy("doc", "sub").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    return squeezed(docs).join(lists, ["doc", "sub"], "left").select("doc_id", "n_bytes", "text", "firsts", "lasts")
 
 
 def _kept(text: bytes, n: int, firsts: list[int] | None, lasts: list[int] | None, least: int) -> tuple[bytes, int, int]:
@@ -381,9 +403,10 @@ def _kept(text: bytes, n: int, firsts: list[int] | None, lasts: list[int] | None
 def dedup_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of docs.
 
-    Null and empty texts, and texts shorter than `least` bytes, lose nothing. Rows that share a doc_id
-    are the same document and lose the same bytes; a null doc_id comes after all others, and rows
-    without one count as one document. An empty table gives none.
+    Null and empty texts, and texts shorter than `least` bytes, lose nothing. Equal rows are
+    the same document and lose the same bytes; different texts without a doc_id, or under one, are
+    documents of their own in order of their hash; a null doc_id comes after all others. An empty
+    table gives none.
     """
 
     def make():

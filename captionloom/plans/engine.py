@@ -1,4 +1,4 @@
-"""Running stages for many jobs: plan, resume, dispatch and record."""
+"""Running stages for many jobs: plan, dispatch and record."""
 
 from __future__ import annotations
 
@@ -49,7 +49,7 @@ def plan(single: bool, stages: list[str] | None = None) -> list[str]:
 class Engine:
     """Stages are functions returning DataFrames of outputs (job_id, path, bytes, sha256); records go to a table.
 
-    One run covers all jobs of a stage; jobs that may resume are left out through the ledger.
+    One run covers all jobs of a stage, also those that the ledger's queries would let resume; the context is not recorded.
     """
 
     def __init__(self, spark: SparkSession, folder: str, stages: dict[str, Stage], single: bool = True):

@@ -25,7 +25,7 @@ THRESHOLD = 0.7
 ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 32, 15
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|.-]+[^\W\d_]+)+")
+_MASKED = re.compile(r"(?<![^\W_])[0-9@$*!|]+[^\W\d_]++(?:[0-9@$*!|.-]+[^\W\d_]++)*[0-9@$*|]*|(?<![^\W\d_])[^\W\d_]++(?:(?:[0-9@$*!|.-]+[^\W\d_]++)+[0-9@$*|]*|[0-9@$*|]+)")
 #: Signs that stand for letters in disguised words.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 #: Second-person words in English, French, German and Spanish.
@@ -46,9 +46,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     hits = [i for i, w in enumerate(words) if w in lexicon]
     weights = [lexicon[words[i]] for i in hits]
     strong = [words[i] for i, w in zip(hits, weights, strict=True) if w >= 3]
-    masked = []
-    if any(c in text for c in "0134579@$*!|"):
-        masked = [m for m in _MASKED.findall(text.lower()) if len(m) < 40]
+    masked = _MASKED.findall(text.lower())
     found = 0
     for m in masked:
         plain = m.translate(_LEET)

@@ -169,6 +169,15 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
     return out
 
 
+def _sample(findings: DataFrame) -> DataFrame:
+    """At most FINDINGS rows by a seeded hash, whatever their order: half for each label, or more where the other has fewer."""
+    columns = ("left", "candidate", "right", "path", "label")
+    count = {r["label"]: r["count"] for r in findings.groupBy(F.col("label").cast("int").alias("label")).count().collect()}
+    quota = {y: max(FINDINGS // 2, FINDINGS - count.get(1 - y, 0)) for y in (0, 1)}
+    drawn = [findings.filter(F.col("label").cast("int") == y).select(*columns).orderBy(F.xxhash64(F.lit(SEED), *columns), *columns).limit(n) for y, n in quota.items()]
+    return drawn[0].unionByName(drawn[1])
+
+
 def forest(spark: SparkSession, findings: DataFrame | None = None) -> list[tuple]:
     """Fitted trees as nested (feature, threshold, left, right) with 0.0 or 1.0 as leaves.
 
@@ -179,7 +188,9 @@ def forest(spark: SparkSession, findings: DataFrame | None = None) -> list[tuple
 
     if findings is None:
         findings = spark.createDataFrame(labelled_findings(), "left string, candidate string, right string, path string, label int")
-    rows = findings.limit(FINDINGS).coalesce(1).select(_features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
+    else:
+        findings = _sample(findings)
+    rows = findings.coalesce(1).select(_features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
     fitted = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="x").fit(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows))
     return [_tree(t.toDebugString.splitlines()[1:]) for t in fitted.trees]
 

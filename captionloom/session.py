@@ -46,9 +46,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set only if unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves a local master (tests); on a cluster every
+    machine would write to its own disk, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(os.path.realpath(tempfile.gettempdir()), "captionloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

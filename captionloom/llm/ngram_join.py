@@ -23,10 +23,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import WORD, map_columns, prepare, scratch
+from captionloom.llm.common import WORD, join_checked, map_columns, named, prepare, release, scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -35,11 +36,9 @@ BAND = 4
 STEP = 16
 TOLERANCE = 1e-6
 
-#: Members of a block: what one comparison holds is two blocks.
+#: Members of a block, and shingles (8 bytes each): what one comparison holds is two blocks.
 BLOCK = 256
-
-#: Rows of (group, id) small enough to send to every executor (some 16 bytes each).
-BROADCAST_ROWS = 500_000
+BLOCK_SHINGLES = 1 << 20
 
 _WORD = re.compile(WORD)
 _rng = np.random.default_rng(20240501)
@@ -155,45 +154,55 @@ class Forest:
 
 
 def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, hi, lo, n, bands, sig): a 128-bit name of the shingle set, its size, band keys, MinHash values."""
+    """(doc_id, mark, hi, lo, n, bands, sig): a 128-bit name of the shingle set, its size, band keys, MinHash values.
+
+    The last five are null for rows without a word or without doc_id.
+    """
 
     def make():
         shingler = Shingler()
 
-        def f(doc, text):
-            out = [doc, [], [], [], [], []]
-            for t in text:
-                s = shingler.sets(t, shingle)
+        def f(doc, mark, text):
+            out = [doc, mark, [], [], [], [], []]
+            for d, t in zip(doc, text, strict=True):
+                s = shingler.sets(t if d is not None else None, shingle)
+                if not len(s):
+                    for column in out[2:]:
+                        column.append(None)
+                    continue
                 name = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 sig = minhash(s)
                 weights = _PLACE[: BAND + 1]
                 keys = (sig.reshape(-1, BAND).astype(np.uint64) * weights[:BAND]).sum(axis=1) + np.arange(HASHES // BAND, dtype=np.uint64) * weights[BAND]
-                for column, x in zip(out[1:], (int(name[0]), int(name[1]), len(s), _mix(keys).view(np.int64), sig.tobytes()), strict=True):
+                for column, x in zip(out[2:], (int(name[0]), int(name[1]), len(s), _mix(keys).view(np.int64), sig.tobytes()), strict=True):
                     column.append(x)
             return out
 
         return f
 
-    return map_columns(docs.select("doc_id", "text"), make, "doc_id long, hi long, lo long, n long, bands array<bigint>, sig binary")
+    return map_columns(docs.select("doc_id", "mark", "text"), make, "doc_id long, mark long, hi long, lo long, n long, bands array<bigint>, sig binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of edges (a, b), root the least node; nodes without edges are absent.
 
     Alternating large-star and small-star steps over edge rows. Minima are taken by grouping, never by
-    gathering a node's neighbours, and each round is written to the shared folder.
+    gathering a node's neighbours, and written before they are joined, so that a node with many
+    edges is no task of its own. Each round's tables are deleted when the next are written.
     """
     now = scratch(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("at"), F.least("at", "least").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch(large.filter("a != b"), "large-star")
-        least = large.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m"))
-        small = large.join(least, F.col("a") == F.col("at"))
+        least = scratch(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = join_checked(both.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = scratch(large, "large-star")
+        release(now, least)
+        least = scratch(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = join_checked(large, least, ["a"])
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = scratch(small.filter("a != b").distinct(), "small-star")
+        release(large, least)
         before, state = state, _state(now)
         if before == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
@@ -260,8 +269,9 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
     # Two buckets with the same members need one visit: members are told by their hashes' exclusive or.
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("leader"), F.bit_xor(F.xxhash64("rep")).alias("members")).filter("size > 1")
-    buckets = buckets.groupBy("size", "leader", "members").agg(F.min("bucket").alias("bucket")).drop("members")
-    met = scratch(banded.join(buckets, "bucket"), "met")
+    buckets = scratch(buckets.groupBy("size", "leader", "members").agg(F.min("bucket").alias("bucket")).drop("members"), "buckets")
+    met = scratch(join_checked(banded, buckets, ["bucket"]), "met")
+    release(buckets)
     pairs = met.filter("rep != leader").select("rep", "leader").distinct()
     sig = reps.select("rep", "sig")
     leaders = sig.select(F.col("rep").alias("leader"), F.col("sig").alias("leader_sig"))
@@ -275,9 +285,8 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
 
     # Those unlike their leader, against all of the bucket.
     odd = met.filter("size > 2").join(judged.filter("not near").select("rep", "leader"), ["rep", "leader"])
-    # Written first: a join with a table can be split at a hot bucket, a join with an aggregate cannot.
     open_ = scratch(odd.groupBy("bucket").agg(F.count("*").alias("odd")), "open-buckets")
-    marked = met.join(open_, "bucket").join(judged.filter("not near").select("rep", "leader", F.lit(True).alias("is_odd")), ["rep", "leader"], "left")
+    marked = join_checked(met, open_, ["bucket"]).join(judged.filter("not near").select("rep", "leader", F.lit(True).alias("is_odd")), ["rep", "leader"], "left")
     of = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep"), of(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
@@ -300,29 +309,22 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
                     out_b.append(rep[q])
         return out_a, out_b
 
-    return near.union(_grouped(shipped, ["bucket", "i", "j"], compare, "a long, b long"))
+    made = scratch(near.union(_grouped(shipped, ["bucket", "i", "j"], compare, "a long, b long")), "candidates")
+    release(met, judged, open_)
+    return made
 
 
 def verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, links, texts) from rows (root, size, rep, copies, shingles, sig), all pairs within a root.
+    """(a, b, links, texts) from rows (root, blocks, rep, copies, shingles, sig), all pairs within a root.
 
     Rows with b null carry counts for a: linked documents and linked distinct texts. Rows with b are
-    edges of a spanning forest of the verified links.
+    edges of a spanning forest of the verified links. A group's rows are dealt to its blocks and
+    compared there; a group of several blocks sends each of them packed, so that what near copies
+    share moves once a block and not once a row, to meet every other.
     """
     least = min_matches(threshold)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "shingles", "sig")
 
-    def compare(root, i, j, own_, rep, copies, shingles, sigs):
-        s, sets = _signatures(sigs), [np.frombuffer(x, np.uint64) for x in shingles]
-        mine = np.array(own_)
-        rows_, columns = (np.flatnonzero(mine == k) for k in (i[0], j[0]))
-        x, y = survivors(s[rows_], s[columns], least) if len(rows_) and len(columns) else (np.zeros(0, int),) * 2
-        p, q = rows_[x], columns[y]
-        if i[0] == j[0]:
-            p, q = p[p < q], q[p < q]
+    def pairs(rep, copies, sets, p, q):
         ok = linked(sets, p, q, threshold)
         p, q = p[ok], q[ok]
         many, texts, weight = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64), np.array(copies)
@@ -340,7 +342,42 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
                 n.append(0)
         return a, b, links, n
 
-    return _grouped(dealt, ["root", "i", "j"], compare, "a long, b long, links long, texts long")
+    def within(root, own, blocks, rep, copies, shingles, sigs):
+        s, sets = _signatures(sigs), [np.frombuffer(x, np.uint64) for x in shingles]
+        x, y = survivors(s, s, least)
+        made = [list(c) for c in pairs(rep, copies, sets, x[x < y], y[x < y])]
+        size = len(made[0])
+        out = [*made, [root[0]] * size, [own[0]] * size, [blocks[0]] * size, [None] * size]
+        if blocks[0] > 1:
+            head = np.array([rep, copies, [len(x) for x in sets]], "<i8").tobytes()
+            blob = zstandard.ZstdCompressor(level=3).compress(np.int64(len(rep)).tobytes() + head + b"".join(shingles) + b"".join(sigs))
+            for column, x in zip(out, (None, None, 0, 0, root[0], own[0], blocks[0], blob), strict=True):
+                column.append(x)
+        return out
+
+    def between(root, i, j, own, blob):
+        got = []
+        for k in np.argsort(own).tolist():
+            raw = zstandard.ZstdDecompressor().decompress(blob[k])
+            n = int.from_bytes(raw[:8], "little")
+            rep, copies, size = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
+            at = 8 + 24 * n + 8 * np.concatenate([[0], np.cumsum(size)])
+            sets = [np.frombuffer(raw, "<u8", m, b) for m, b in zip(size.tolist(), at.tolist(), strict=False)]
+            got.append((rep.tolist(), copies.tolist(), sets, np.frombuffer(raw, "<u4", n * HASHES, int(at[-1])).reshape(n, HASHES)))
+        (r1, c1, s1, m1), (r2, c2, s2, m2) = got
+        x, y = survivors(m1, m2, least)
+        return pairs(r1 + r2, c1 + c2, s1 + s2, x, y + len(r1))
+
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("root", "own", "blocks", "rep", "copies", "shingles", "sig")
+    first = scratch(_grouped(dealt, ["root", "own"], within, "a long, b long, links long, texts long, root long, own int, blocks int, blob binary"), "blocks")
+    # Each block meets every other of its group once.
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))).alias("other")
+    sent = first.filter("blob is not null").select("root", "own", other, "blob")
+    sent = sent.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "blob")
+    counted = first.filter("a is not null").select("a", "b", "links", "texts")
+    made = scratch(counted.union(_grouped(sent, ["root", "i", "j"], between, "a long, b long, links long, texts long")), "links")
+    release(first)
+    return made
 
 
 def linked(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
@@ -371,51 +408,102 @@ def linked(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, threshold: floa
     return common >= threshold * union - 1e-9
 
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id, n_links, n_text_links), one row for each row of docs.
+def classes_of(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): every row of docs as (doc_id, mark, hi, lo), and the classes that the rows belong to.
 
-    class_id is the least doc_id of the documents joined by links, n_links the number of other rows
-    whose Jaccard similarity reaches the threshold, n_text_links that of different shingle sets among
-    them. Texts without a word (null, empty, blank) link to nothing; rows repeated are copies of each
-    other; rows without doc_id take no part (class_id null, no links); different texts under one
-    doc_id count as one; an empty table gives none; other columns are left out.
+    `mark` is a hash that tells the texts under one doc_id apart. A class is a set of shingles, named
+    (hi, lo): (hi, lo, copies, class_id, class_mark, links, texts), where class_id and class_mark are
+    the least of the group that links make, links counts the linked rows of other classes and texts
+    these classes. Rows outside all classes have hi null.
     """
-    all_ = scratch(sketch(docs, shingle), "sketches")
-    usable = all_.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = scratch(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).drop("hi", "lo"), "classes")
-    groups = components(candidate_edges(reps, threshold))
-    groups = scratch(groups.join(groups.groupBy("root").agg(F.count("*").alias("size")), "root").select(F.col("node").alias("rep"), "root", "size"), "groups")
-    small = groups.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(groups) if small else groups
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").join(reps.select("rep", "copies"), "rep").dropDuplicates(["rep"])
+    marked = docs.select("doc_id", "text").withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    all_ = scratch(sketch(marked, shingle), "sketches")
+    usable = all_.filter("hi is not null")
+    least = F.min(F.struct("doc_id", "mark"))
+    # A class is numbered when it is written: nodes of graphs are then numbers, whatever the ids are.
+    reps = usable.groupBy("hi", "lo").agg(least.alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = scratch(reps.select(F.monotonically_increasing_id().alias("rep"), "hi", "lo", "least.*", "copies", "n", "bands", "sig"), "classes")
+    names = reps.select("rep", "hi", "lo", "doc_id", "mark", "copies", "n")
+    edges = candidate_edges(reps, threshold)
+    nodes = scratch(components(edges).withColumnRenamed("node", "rep"), "nodes")
+    release(edges)
+    members = nodes.join(names, "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = scratch(members.groupBy("root").agg(blocks.alias("blocks")), "sizes")
+    wanted = scratch(join_checked(members.select("rep", "root", "doc_id", "mark", "copies"), sizes, ["root"]), "groups")
+    # Rows repeated under one doc_id would fetch the same text twice.
+    texts = join_checked(marked, wanted, ["doc_id", "mark"]).select("rep", "root", "blocks", "copies", "text").dropDuplicates(["rep"])
 
     def sets():
         shingler = Shingler()
 
-        def f(rep, root, size, copies, text):
+        def f(rep, root, blocks, copies, text):
             made = [shingler.sets(t, shingle) for t in text]
-            return [rep, root, size, copies, [m.tobytes() for m in made], [minhash(m).tobytes() for m in made]]
+            return [root, blocks, rep, copies, [m.tobytes() for m in made], [minhash(m).tobytes() for m in made]]
 
         return f
 
-    rows = map_columns(texts.select("rep", "root", "size", "copies", "text"), sets, "rep long, root long, size long, copies long, shingles binary, sig binary")
-    checked = scratch(verify(rows, threshold), "links")
-    counts = checked.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    joined = components(checked.filter("b is not null").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
-    known = classes.join(counts, "rep", "left").join(joined, "rep", "left")
-    known = known.select("hi", "lo", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
-    # Rows outside get keys of their own, so that they never meet in one task.
-    out = all_.select("doc_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("hi")).alias("hi"), "lo")
+    rows = map_columns(texts, sets, "root long, blocks int, rep long, copies long, shingles binary, sig binary")
+    checked = verify(rows, threshold)
+    counts = scratch(checked.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")), "counts")
+    joined = scratch(components(checked.filter("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root"), "joined")
+    heads = scratch(joined.join(names, "rep").groupBy("root").agg(least.alias("head")), "heads")
+    known = names.join(counts, "rep", "left").join(join_checked(joined, heads, ["root"]).drop("root"), "rep", "left")
+    none, head = F.lit(0).cast("long"), F.coalesce("head", F.struct("doc_id", "mark"))
+    known = scratch(known.select("hi", "lo", "copies", head["doc_id"].alias("class_id"), head["mark"].alias("class_mark"), F.coalesce("links", none).alias("links"), F.coalesce("texts", none).alias("texts")), "known")
+    release(reps, nodes, sizes, wanted, checked, counts, joined, heads)
+    return all_.select("doc_id", "mark", "hi", "lo"), known
+
+
+def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, class_id, n_links, n_text_links), one row for each row of docs.
+
+    class_id is the least doc_id of the rows joined by links, n_links the number of other rows whose
+    Jaccard similarity reaches the threshold, n_text_links that of different shingle sets among them.
+    Texts without a word (null, empty, blank) link to nothing; rows repeated are copies of each other;
+    rows without doc_id take no part (class_id null, no links). Different texts under one doc_id are
+    rows of their own, each with its own links; should they be the least of two groups, these bear the
+    same class_id. An empty table gives none; other columns are left out.
+    """
+    rows, known = classes_of(docs, threshold, shingle)
+    linked_ = rows.filter("hi is not null").join(known, ["hi", "lo"])
+    linked_ = linked_.select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"))
     none = F.lit(0).cast("long")
-    return out.filter("hi is not null").join(known, ["hi", "lo"]).select("doc_id", "class_id", "n_links", "n_text_links").union(out.filter("hi is null").select("doc_id", F.col("doc_id").alias("class_id"), none, none))
+    return linked_.union(rows.filter("hi is null").select("doc_id", F.col("doc_id").alias("class_id"), none, none))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay if each class keeps its least doc_id, once; rows without doc_id stay."""
-    classes = similarity_join(docs, threshold)
-    gone = classes.filter("doc_id != class_id").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = stay.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.union(stay.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """The rows of docs of which each group of linked rows keeps one, that of the least doc_id (then of the least hash of its text).
+
+    Rows without doc_id or without a word belong to no group and stay, each as often as it is there.
+    Further columns ride along, whatever their names; of equal rows that differ there, any one stays.
+    An empty table stays empty.
+    """
+    rows, known = classes_of(docs, threshold)
+    member = rows.filter("hi is not null").join(known.select("hi", "lo", "class_id", "class_mark"), ["hi", "lo"])
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("mark") == F.col("class_mark"))
+    gone = member.filter(~stays).select("doc_id", "mark").distinct()
+    again = member.filter(stays).groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "mark")
+    packed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.struct(*[named(c) for c in docs.columns]).alias("_row"))
+    left = packed.join(gone, ["doc_id", "mark"], "left_anti")
+    again = scratch(again, "repeated")
+    once = left.join(again, ["doc_id", "mark"], "left_anti").union(left.join(again, ["doc_id", "mark"], "left_semi").select("doc_id", "mark", "_row").dropDuplicates(["doc_id", "mark"]))
+    return once.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+#: DuckDB SQL for similarity_join() over `documents`, whose doc_ids are unique: all pairs that share a shingle, compared exactly.
+SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM worded WHERE len(w) > 0),
+classes AS MATERIALIZED (SELECT s, min(doc_id) AS rep, count(*) AS copies, len(any_value(s)) AS n FROM sets GROUP BY s),
+elements AS MATERIALIZED (SELECT rep, unnest(s) AS e FROM classes),
+pairs AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common FROM elements a JOIN elements b ON a.e = b.e AND a.rep < b.rep GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE 10 * common >= 8 * (x.n + y.n - common)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS root FROM classes UNION SELECT b.b, r.root FROM reach r JOIN both_ways b ON b.a = r.node WHERE r.root < b.b),
+least AS (SELECT node AS rep, min(root) AS class_id FROM reach GROUP BY node),
+counts AS (SELECT l.a AS rep, sum(c.copies) AS links, count(*) AS texts FROM both_ways l JOIN classes c ON c.rep = l.b GROUP BY l.a),
+known AS (SELECT c.s, l.class_id, (coalesce(k.links, 0) + c.copies - 1)::BIGINT AS n_links, coalesce(k.texts, 0)::BIGINT AS n_text_links FROM classes c JOIN least l USING (rep) LEFT JOIN counts k USING (rep))
+SELECT s.doc_id, k.class_id, k.n_links, k.n_text_links FROM sets s JOIN known k ON k.s = s.s
+UNION ALL SELECT doc_id, doc_id, 0::BIGINT, 0::BIGINT FROM documents WHERE doc_id IS NULL OR len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) = 0
+"""

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import map_columns, prepare, scratch
+from captionloom.llm.common import give_back, map_columns, prepare, scratch
 
 LEAST = 100
 K = 24
@@ -39,73 +39,135 @@ COMMON = 50_000
 #: A null doc_id sorts after all others.
 NO_ID = (1 << 63) - 1
 
+#: Distinct regions of common grams that a task holds, some 200 bytes each.
+HELD = 200_000
+
 #: Repeated ids are looked up in memory up to this many, in a join beyond.
 REPEATED = 1_000_000
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(1 << 63)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+_BYTES ^= _BYTES >> np.uint64(29)
 
+#: Window starts hashed at a time (two slabs and a window must stay below PLACES).
+SLAB = 1 << 18
+PLACES = 1 << 20
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+#: Bytes of regions that go into one suffix array.
+ARRAY = 4 << 20
 
 
 def grams(text: np.ndarray) -> np.ndarray:
     """63-bit hashes of all K-byte grams, by doubling."""
-    h, m, size = _mix(text.astype(np.uint64) + np.uint64(1)), np.array([_MUL]), 1
-    at = {}
-    while size < K:
-        at[size] = h, m
+    power = lambda n: np.uint64(pow(int(_MUL), n, 1 << 64))
+    h, size, at = _BYTES[text], 1, {}
+    while True:
+        at[size] = h
         if 2 * size > K:
             break
-        h, m, size = h[:-size] * m + h[size:], m * m, 2 * size
-    rest, (tail, power) = K - size, at.get(K - size, (None, None))
-    if rest:
-        h = h[: len(text) - K + 1] * power + tail[size : size + len(text) - K + 1]
-    return _mix(h) >> np.uint64(1)
-
-
-def anchors(text: np.ndarray, least: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last): runs of window starts that have the same anchor, the leftmost on ties."""
-    if len(text) < least:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = grams(text)
-    if len(common):
-        k = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = np.where(common[k] == h, h | _TOP, h)
-    width, size = least - K + 1, 1
-    v, p = h, np.arange(len(h))
-    while 2 * size <= width:
-        low = v[:-size] <= v[size:]
-        v, p, size = np.where(low, v[:-size], v[size:]), np.where(low, p[:-size], p[size:]), 2 * size
-    if off := width - size:
-        p = np.where(v[:-off] <= v[off:], p[:-off], p[off:])
-    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    return h[p[first]], first, np.append(first[1:], len(p)) - 1
+        h, size = h[:-size] * power(size) + h[size:], 2 * size
+    if rest := K - size:
+        h = h[: len(text) - K + 1] * power(rest) + at[rest][size : size + len(text) - K + 1]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(1)
+
+
+class Common:
+    """Hashes of common grams, looked up behind a bit map that lets few others through."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes)
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def last(self, h: np.ndarray) -> np.ndarray:
+        """h with the top bit set where the gram is common, so that it comes last as an anchor."""
+        if len(self.sorted):
+            maybe = np.flatnonzero(self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            if len(maybe):
+                k = np.minimum(np.searchsorted(self.sorted, h[maybe]), len(self.sorted) - 1)
+                h[maybe[self.sorted[k] == h[maybe]]] |= _TOP
+        return h
+
+
+def anchors(texts: list[bytes], least: int, common: Common) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, first, last): runs of window starts of a text that have the same anchor, the leftmost on ties.
+
+    Texts are hashed together in slabs; a long one is cut, its windows are not. A gram's high bits and its
+    place are one number, so that the least of a window tells both.
+    """
+    found, slab, size = [], [], 0
+
+    def flush():
+        text = np.frombuffer(b"".join([t[a : a + n + least - 1] for t, _, a, n in slab]), np.uint8)
+        h, width, step = common.last(grams(text)), least - K + 1, 1
+        v = h & ~np.uint64(PLACES - 1) | np.arange(len(h), dtype=np.uint64)
+        while 2 * step <= width:
+            v, step = np.minimum(v[:-step], v[step:]), 2 * step
+        if off := width - step:
+            v = np.minimum(v[:-off], v[off:])
+        n = np.array([x[3] for x in slab])
+        ends = np.cumsum(n + least - 1)
+        begin = ends - n - least + 1
+        inside = np.zeros(len(v) + 2, bool)  # inside[k + 1]: window k lies in one text
+        for b, e in zip((begin + 1).tolist(), (begin + n + 1).tolist(), strict=True):
+            inside[b:e] = True
+        change = np.ones(len(v) + 1, bool)  # a text's first window follows windows across the texts' border
+        np.not_equal(v[1:], v[:-1], out=change[1:-1])
+        change |= inside[1:] != inside[:-1]
+        at = np.flatnonzero(change)
+        first, last = at[:-1], at[1:] - 1
+        ok = inside[first + 1]
+        first, last = first[ok], last[ok]
+        owner = np.searchsorted(begin, first, side="right") - 1
+        shift = np.array([x[2] for x in slab]) - begin
+        found.append((h[(v[first] & np.uint64(PLACES - 1)).astype(np.int64)], np.array([x[1] for x in slab])[owner], first + shift[owner], last + shift[owner]))
+
+    for k, t in enumerate(texts):
+        windows = len(t) - least + 1
+        for a in range(0, windows, SLAB):
+            n = min(SLAB, windows - a)
+            slab.append((t, k, a, n))
+            size += n + least
+            if size >= SLAB:
+                flush()
+                slab, size = [], 0
+    if slab:
+        flush()
+    if not found:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` symbols or more, by prefix doubling; equal ones by place."""
+    """Suffixes in order of their first `depth` symbols or more, by prefix doubling of those not yet told apart."""
     n = len(text)
-    key = np.zeros(n, np.uint64)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
-    for j in range(6):  # symbols have 9 bits
-        key = key << np.uint64(9) | padded[j : j + n]
-    size = 6
-    while True:
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-        if size >= depth or rank[order[-1]] == n - 1:
-            return order
-        later = np.zeros(n, np.int64)
-        later[: n - size] = rank[size:] + 1
-        key = rank * (n + 1) + later
+    key = np.zeros(n, np.int64)
+    padded = np.concatenate([text.astype(np.int64), np.zeros(8, np.int64)])
+    for j in range(7):  # symbols have 9 bits
+        key = key << 9 | padded[j : j + n]
+    order = np.argsort(key)
+    s = key[order]
+    same = np.concatenate([[False], s[1:] == s[:-1], [False]])
+    del key, s, padded
+    slot = np.maximum.accumulate(np.where(same[:n], 0, np.arange(n)))
+    rank = np.empty(n, np.int64)
+    rank[order] = slot  # a suffix's rank is the first place of those that equal it
+    at, size = np.flatnonzero(same[:n] | same[1:]), 7
+    while size < depth and len(at):
+        who = order[at]
+        ahead = who + size
+        later = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank[who] * (n + 1) + later
+        by = np.argsort(key)
+        who, s = who[by], key[by]
+        order[at] = who
+        same = np.concatenate([[False], s[1:] == s[:-1], [False]])
+        rank[who] = np.maximum.accumulate(np.where(same[:-1], 0, at))
+        at = at[same[:-1] | same[1:]]
         size *= 2
+    return order
 
 
 def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -116,10 +178,11 @@ def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     not followed.
     """
     n = len(text)
-    bwt = text[order - 1]
+    bwt = text[order - 1].astype(np.uint16)
     by_char = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
     lf[by_char] = np.arange(n)
+    del by_char
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     lo, hi = np.array([0]), np.array([n])
@@ -129,47 +192,82 @@ def boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         lo, hi = lo[~one], hi[~one]
         size = hi - lo
         start = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) - np.repeat(start - lo, size)
-        owner = np.repeat(np.arange(len(lo)), size)
-        order_ = np.argsort(owner * 512 + bwt[at], kind="stable")
-        key, to = (owner * 512 + bwt[at])[order_], lf[at[order_]]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(key)))
+        at = np.arange(int(size.sum())) + np.repeat(lo - start, size)
+        # Places by the BWT's symbol and place: one symbol's places of an interval follow each other.
+        to = lf[at]
+        by = np.argsort(to)
+        to, owner = to[by], np.repeat(np.arange(len(lo)), size)[by]
+        char = bwt[at[by]]
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (char[1:] != char[:-1])])) if len(to) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(to)))
         lo = np.concatenate([to[new], single])
         hi = np.concatenate([to[new] + count, single + 1])
         fresh = ~known[hi]
         lo, hi = lo[fresh], hi[fresh]
-        hi, first = np.unique(hi, return_index=True)
-        lo = lo[first]
-        known[hi] = True
         if not len(lo):
             break
+        # Of intervals with one end, any will do: their ends are what the next level is reached from.
+        place = np.argsort(hi)
+        keep = np.concatenate([[True], hi[place][1:] != hi[place][:-1]])
+        lo, hi = lo[place[keep]], hi[place[keep]]
+        known[hi] = True
     return known[:n]
 
 
 def repeated(regions: list[bytes], doc: np.ndarray, sub: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(region, offset) of the windows of distinct regions that also start earlier in another one."""
     lens = np.array([len(r) for r in regions])
-    text = np.zeros(int(lens.sum()) + len(regions), np.int64)  # 0 parts the regions
+    text = np.frombuffer(b"\0".join(regions) + b"\0", np.uint8).astype(np.int64) + 1
     begin = np.cumsum(lens + 1) - lens - 1
-    for r, b in zip(regions, begin.tolist(), strict=True):
-        text[b : b + len(r)] = np.frombuffer(r, np.uint8)
-        text[b : b + len(r)] += 1
+    text[begin + lens] = 0  # parts the regions
     order = suffix_array(text, least)
-    group = np.cumsum(boundaries(text, order, least))
-    owner = np.searchsorted(begin, order, side="right") - 1
+    edge = boundaries(text, order, least)
+    owner = np.repeat(np.arange(len(regions)), lens + 1)[order]
     offset = order - begin[owner]
     window = offset + least <= lens[owner]
-    group, owner, offset = group[window], owner[window], offset[window]
+    group = np.cumsum(edge)[window]
+    owner, offset = owner[window], offset[window]
+    if not len(group):
+        return owner, offset
+    # Windows in order of doc, sub and place: documents are numbered in that order.
+    by = np.lexsort((sub, doc))
+    fresh = np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (sub[by][1:] != sub[by][:-1])])
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(fresh)
     place = first[owner] + offset
-    by = np.lexsort((place, sub[owner], doc[owner], group))
-    group, owner, offset, place = group[by], owner[by], offset[by], place[by]
-    lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    head = np.repeat(lead, np.diff(np.append(lead, len(group))))
-    later = (doc[owner] != doc[owner[head]]) | (sub[owner] != sub[owner[head]]) | (place != place[head])
+    key = number[owner] * (int(place.max()) + 1) + place
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    later = key != np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(group))))
     return owner[later], offset[later]
 
 
+def repeated_in_passes(regions: list[bytes], doc: np.ndarray, sub: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """repeated(), whose arrays hold at most about ARRAY bytes, for regions of any number.
+
+    Windows that start with the same gram are compared in the same pass, as regions of their own.
+    """
+    total = sum(map(len, regions))
+    if total <= 2 * ARRAY:
+        return repeated(regions, doc, sub, first, least)
+    starts = np.array([len(r) - least + 1 for r in regions])
+    begin = np.cumsum([len(r) for r in regions]) - np.array([len(r) for r in regions])
+    text = np.frombuffer(b"".join(regions), np.uint8)
+    gram = np.concatenate([grams(text[b : b + n + K - 1]) for b, n in zip(begin.tolist(), starts.tolist(), strict=True)])
+    passes = np.uint64(-(-int(starts.sum()) * least // ARRAY))
+    owner, out = np.repeat(np.arange(len(regions)), starts), [(np.zeros(0, np.int64),) * 2]
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+    which = gram % passes
+    for k in range(int(passes)):
+        mine = np.flatnonzero(which == np.uint64(k))
+        if not len(mine):
+            continue
+        o, at = owner[mine], offset[mine]
+        pieces = [regions[r][a : a + least] for r, a in zip(o.tolist(), at.tolist(), strict=True)]
+        found, _ = repeated(pieces, doc[o], sub[o], first[o] + at, least)
+        out.append((o[found], at[found]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(a.astype("<i8").tobytes() for a in arrays))
 
@@ -192,20 +290,23 @@ def _shards(df: DataFrame, column: str, fn, schema: str, parts: int) -> DataFram
 
         def out():
             made = fn(held)
+            held.clear()
             for s in range(0, len(made[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 100_000], t.type) for c, t in zip(made, arrow, strict=True)], schema=arrow)
+            give_back()
 
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if row[at] != key:
                     if held:
                         yield from out()
-                    held, key = [], row[at]
+                    key = row[at]
                 held.append(row)
         if held:
             yield from out()
 
-    return df.repartition(parts, column).sortWithinPartitions(column).mapInArrow(run, schema)
+    # By number: dealt by a hash of it, several shards would meet in one task.
+    return df.repartitionById(parts, F.col(column).cast("int")).sortWithinPartitions(column).mapInArrow(run, schema)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -222,147 +323,158 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def common_grams(docs: DataFrame, least: int) -> np.ndarray:
-    """Sorted hashes of the most frequent anchors in a sixteenth of the documents: they only steer the dealing."""
+    """Hashes of the most frequent anchors in a sixteenth of the documents: they only steer the dealing."""
     some = docs.filter(F.pmod(F.when(F.col("sub") == 0, F.xxhash64(F.lit("grams"), "doc_id")).otherwise(F.xxhash64(F.lit("grams"), "sub")), F.lit(16)) == 0)
 
     def make():
-        none = np.zeros(0, np.uint64)
+        none = Common(np.zeros(0, np.uint64))
 
         def f(doc, text):
-            found = [anchors(np.frombuffer((t or "").encode(), np.uint8), least, none)[0] for t in text]
-            h, n = np.unique(np.concatenate(found), return_counts=True)
+            h, n = np.unique(anchors([(t or "").encode() for t in text], least, none)[0], return_counts=True)
             return [h.astype(np.int64).tolist(), n.tolist()]
 
         return f
 
     counted = map_columns(some.select("doc_id", "text"), make, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).astype(np.uint64))
+    return np.array([r["h"] for r in rows], np.int64).astype(np.uint64)
+
+
+class Regions:
+    """Distinct pieces of text with their earliest places; `gone` holds the runs of window starts found equal to an earlier one."""
+
+    def __init__(self, least: int):
+        self.least, self.first, self.gone = least, {}, []
+
+    def add(self, piece: bytes, d: int, u: int, first: int, h: int) -> None:
+        have = self.first.setdefault(piece, (d, u, first, h))
+        place = (d, u, first)
+        if place < have[:3]:
+            self.gone.append((*have[:3], have[2] + len(piece) - self.least))
+            self.first[piece] = (*place, h)
+        elif place > have[:3]:
+            self.gone.append((*place, first + len(piece) - self.least))
 
 
 def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, sub, first, last): runs of window starts to remove from keyed docs, doc being doc_id or NO_ID."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchor_shards, region_shards = max(8, -(-total // ANCHOR_SHARD)), max(16, -(-total // REGION_SHARD))
-    common = common_grams(docs, least)
+    often = common_grams(docs, least)
 
     def find():
+        common = Common(often)
+
         def f(doc, sub, text):
-            out = [[], [], []]
-            for t in text:
-                out[0].append(anchors(np.frombuffer((t or "").encode(), np.uint8), least, common))
-            h, first, last = (np.concatenate([a[k] for a in out[0]]) for k in range(3))
-            lens = [len(a[0]) for a in out[0]]
-            owner, subs = np.repeat([NO_ID if d is None else d for d in doc], lens), np.repeat(sub, lens)
-            shard = (h % np.uint64(anchor_shards)).astype(np.int64)
+            h, own, first, last = anchors([(t or "").encode() for t in text], least, common)
+            owner, subs = np.array([NO_ID if d is None else d for d in doc], np.int64)[own], np.array(sub, np.int64)[own]
+            # A common gram surely occurs twice: nothing is to be counted, so its anchors go to any shard.
+            hot = h >= _TOP
+            shard = (np.where(hot, (owner ^ subs).view(np.uint64) * _MUL >> np.uint64(20), h) % np.uint64(anchor_shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(anchor_shards + 1))
-            pieces = [(s, by[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            return [[s for s, _ in pieces], [_pack(h[k].view(np.int64), owner[k], subs[k], first[k] * 128 + last[k] - first[k]) for _, k in pieces]]
+            pieces = [(s, by[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+            return [[s for s, _ in pieces], [_pack(h[k].view(np.int64), owner[k], subs[k], first[k] * least + last[k] - first[k]) for _, k in pieces]]
 
         return f
 
     def keep_repeated(rows):
         h, owner, sub, code = np.concatenate([_unpack(r[1], 4) for r in rows], axis=1)
-        by = np.argsort(h, kind="stable")
+        by = np.argsort(h)
         s = h[by]
         same = s[1:] == s[:-1]
-        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (s < 0)
         k = by[twice]
         k = k[np.lexsort((code[k], sub[k], owner[k], h[k]))]
         fresh = np.ones(len(k), bool)  # equal rows are one document, whose anchors count once
         fresh[1:] = (h[k[1:]] != h[k[:-1]]) | (owner[k[1:]] != owner[k[:-1]]) | (sub[k[1:]] != sub[k[:-1]]) | (code[k[1:]] != code[k[:-1]])
         k = k[fresh]
-        return [owner[k].tolist(), sub[k].tolist(), code[k].tolist(), h[k].tolist()]
+        return [owner[k], sub[k], code[k], h[k]]
 
     found = map_columns(docs.select("doc_id", "sub", "text"), find, "shard long, blob binary")
     again = _shards(found, "shard", keep_repeated, "doc long, sub long, code long, h long", anchor_shards)
     # A document's anchors are bounded by its length.
     lists = again.groupBy("doc", "sub").agg(F.collect_list("code").alias("codes"), F.collect_list("h").alias("hs"))
     texts = squeezed(docs).filter(F.col("n_bytes") >= least).join(lists, ["doc", "sub"]).select("doc", "sub", "text", "codes", "hs")
+    schema = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
 
-    def cut():
-        widen = zstandard.ZstdDecompressor()
+    def cut(batches):
+        """Regions as rows of shards, equal ones merged: those of common grams through the whole task, the others in a batch."""
+        widen, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        often_, held = Regions(least), 0
 
-        def f(doc, sub, text, codes, hs):
-            regions: dict[bytes, tuple] = {}
-            gone: list[tuple[int, int, int, int]] = []
-            for d, u, t, cs, own in zip(doc, sub, text, codes, hs, strict=True):
-                raw = widen.decompress(t)
-                for c, h in zip(cs, own, strict=True):
-                    first, more = c >> 7, c & 127
-                    piece = raw[first : first + more + least]
-                    have = regions.get(piece)
-                    if have is None:
-                        regions[piece] = (d, u, first, h)
-                    elif (d, u, first) < have[:3]:
-                        gone.append((*have[:3], have[2] + more))
-                        regions[piece] = (d, u, first, h)
-                    elif (d, u, first) != have[:3]:
-                        gone.append((d, u, first, first + more))
+        def rows_of(*kinds):
             shards: dict[int, list] = {}
-            for piece, (d, u, first, h) in regions.items():
-                shards.setdefault((h ^ h >> 17) % region_shards, []).append((h, d, u, first, piece))
+            gone = []
+            for kind in kinds:
+                for piece, (d, u, first, h) in kind.first.items():
+                    shards.setdefault((h ^ h >> 17) % region_shards, []).append((h, d, u, first, piece))
+                gone += kind.gone
+                kind.gone = []
             out: list[list] = [[], [], [], []]
             for shard, rows in shards.items():
                 rows.sort()
-                lens = np.array([len(r[4]) for r in rows])
-                head = _pack(*(np.array([r[k] for r in rows]) for k in range(4)), lens)
-                for column, x in zip(out, (shard, len(rows), head, zstandard.ZstdCompressor(level=3).compress(b"".join(r[4] for r in rows))), strict=True):
+                head = _pack(*np.array([r[:4] for r in rows], np.int64).T, np.array([len(r[4]) for r in rows]))
+                for column, x in zip(out, (shard, len(rows), head, squeeze.compress(b"".join([r[4] for r in rows]))), strict=True):
                     column.append(x)
             if gone:  # these only pass through, so any shard will do
                 for column, x in zip(out, ((gone[0][0] ^ gone[0][1]) % region_shards, -1, _pack(*np.array(gone).T), None), strict=True):
                     column.append(x)
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-        return f
+        for b in batches:
+            here = Regions(least)
+            for d, u, t, codes, hs in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                raw = widen.decompress(t)
+                for c, h in zip(codes, hs, strict=True):
+                    first, more = divmod(c, least)
+                    (often_ if h < 0 else here).add(raw[first : first + more + least], d, u, first, h)
+            often_.gone, here.gone = [], here.gone + often_.gone
+            yield rows_of(here)
+            if len(often_.first) > HELD:
+                yield rows_of(often_)
+                often_ = Regions(least)
+        yield rows_of(often_)
 
     def expand(rows):
         widen = zstandard.ZstdDecompressor()
         out = [_unpack(r[2], 4) for r in rows if r[1] < 0]
-        regions: dict[bytes, tuple[int, int, int, int]] = {}
-        gone: list[tuple[int, int, int, int]] = []
+        met = Regions(least)
         for _, n, head, body in rows:
-            if n < 0:
-                continue
-            raw, at = widen.decompress(body), 0
-            for h, d, u, first, size in _unpack(head, 5).T.tolist():
-                piece = raw[at : at + size]
-                at += size
-                have = regions.get(piece)
-                if have is None or (d, u, first) < have[:3]:
-                    if have is not None:
-                        gone.append((*have[:3], have[2] + size - least))
-                    regions[piece] = (d, u, first, h)
-                elif (d, u, first) != have[:3]:
-                    gone.append((d, u, first, first + size - least))
-        if gone:
-            out.append(np.array(gone).T)
-        if regions:
-            h = np.array([v[3] for v in regions.values()])
-            _, code, n = np.unique(h, return_inverse=True, return_counts=True)
-            pieces, places, code = list(regions), np.array([v[:3] for v in regions.values()]), code.ravel()
-            rows_, weight = np.flatnonzero(n[code] > 1), 0  # others met nothing but copies of themselves
-            rows_ = rows_[np.argsort(code[rows_], kind="stable")]
-            start = 0
-            for k in range(len(rows_)):
-                weight += len(pieces[rows_[k]])
-                last = k + 1 == len(rows_)
-                if last or weight >= 1 << 20 and code[rows_[k]] != code[rows_[k + 1]]:
-                    part = rows_[start : k + 1]
-                    region, offset = repeated([pieces[i] for i in part.tolist()], places[part, 0], places[part, 1], places[part, 2], least)
-                    by = np.lexsort((offset, region))
-                    region, offset = region[by], offset[by]
-                    if len(region):
-                        new = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-                        end = np.append(new[1:], len(region)) - 1
-                        at = part[region[new]]
-                        out.append(np.stack([places[at, 0], places[at, 1], places[at, 2] + offset[new], places[at, 2] + offset[end]]))
-                    start, weight = k + 1, 0
-        made = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-        return [m.tolist() for m in made]
-
-    shipped = map_columns(texts, cut, "shard long, n long, head binary, body binary")
+            if n >= 0:
+                raw, at = widen.decompress(body), 0
+                for h, d, u, first, size in _unpack(head, 5).T.tolist():
+                    met.add(raw[at : at + size], d, u, first, h)
+                    at += size
+        if met.gone:
+            out.append(np.array(met.gone).T)
+        if met.first:
+            d, u, first, h = np.array(list(met.first.values())).T
+            pieces = list(met.first)
+            by = np.argsort(h, kind="stable")
+            n = np.diff(np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1], [True]])))
+            by = by[np.repeat(n, n) > 1]  # others met nothing but copies of themselves
+            size = np.cumsum([len(pieces[k]) for k in by.tolist()])
+            # Regions of one anchor stay together; arrays end with the anchor that reaches an eighth of ARRAY.
+            ends = np.flatnonzero(np.concatenate([h[by][1:] != h[by][:-1], [True]])) + 1 if len(by) else []
+            start, before = 0, 0
+            for end in ends.tolist() if len(by) else []:
+                if end < len(by) and size[end - 1] - before < ARRAY // 8:
+                    continue
+                part = by[start:end]
+                start, before = end, size[end - 1]
+                region, offset = repeated_in_passes([pieces[k] for k in part.tolist()], d[part], u[part], first[part], least)
+                if len(region):
+                    order = np.lexsort((offset, region))
+                    region, offset = region[order], offset[order]
+                    new = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+                    last = np.append(new[1:], len(region)) - 1
+                    at = part[region[new]]
+                    out.append(np.stack([d[at], u[at], first[at] + offset[new], first[at] + offset[last]]))
+        return list(np.concatenate(out, axis=1)) if out else [np.zeros(0, np.int64)] * 4
+
+    prepare(docs.sparkSession)
+    shipped = texts.mapInArrow(cut, "shard long, n long, head binary, body binary")
     return _shards(shipped, "shard", expand, "doc long, sub long, first long, last long", region_shards)
 
 
@@ -426,3 +538,17 @@ def dedup_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
         return lambda doc_id, n_bytes, text, firsts, lasts: [doc_id, [_kept(t, n, a, b, least)[0].decode(errors="replace") for t, n, a, b in zip(text, n_bytes, firsts, lasts, strict=True)]]
 
     return map_columns(_joined(docs, least), make, "doc_id long, text string")
+
+
+#: DuckDB SQL for dedup_digests() over `documents`, whose doc_ids are unique and not null: all windows, by their MD5. Texts are hexadecimal, two digits a byte.
+SQL = r"""
+WITH hexed AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 200)) AS m FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 99, 0))) AS s FROM hexed)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, s) > 1),
+edges AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS opens FROM later),
+numbered AS (SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM edges),
+spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY doc_id, k),
+before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM before JOIN hexed USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM hexed LEFT JOIN cut USING (doc_id)
+"""

@@ -15,14 +15,22 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captionloom.llm.common import named
+
 CONTEXT = 40
 MASK = "[SECRET]"
+#: A code point that is no character, to mark candidates in a text.
+MARK = "\ufdd0"
 
 #: Names that announce a secret or something else, issuers' prefixes, words of plain text.
 SECRET_NAMES = "token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?secret|secret[_ -]?key"
 OTHER_NAMES = "sha(?:1|256)?|md5|commit|checksum|hash|uuid|guid|id|iban|phone|tel|isbn|doi|version|build|url|mail|fax|card"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|xox[abpr]-|AIza|eyJ|SG\\.|npm_|pypi-"
+#: What a candidate with an issuer's mark starts with.
+ISSUED = f"{PREFIXES}|-----BEGIN "
 PLAIN = "example|sample|test|dummy|placeholder|change|your|insert|mail|http|www|com|org|net|html|version|release|the|and|ing|tion|er|on|re|in|at|en|es|or|de|an|ti|st|al|le|ou|ch|ie|qu"
+#: Words of four letters or more that names, paths and placeholders are made of.
+WORDS = "about access account action address after android answer application array backup base before board body book build cache change check child class client cloud code color column command comment config connect content context control count create custom data database date debug default delete demo device document domain download editor email entry error event example export feature file filter find format frame from function group header hello home house image import index info input install interface item java json label language level library license light line link list load local login mail main master media member message method mode model module name network node none null number object online open option order output page password path pattern people phone photo placeholder post price print private process product project public query read record remote request reset response result return sample schema school screen script search secret section secure select server service session setting share simple size source space staple start state status step storage store string style submit support switch system table target task team template test text thing time title token total track transfer type unit update upload user value version video view water window with word work world write your".split()
 TEST_PATH = "test|spec|example|sample|fixture|mock|doc|readme"
 
 #: Ends of names by length, as look-behinds of one width are all that Python's expressions have: secrets' and others'.
@@ -30,28 +38,42 @@ SECRET_ENDS = {3: "pwd", 4: "auth", 5: "token", 6: "secret|passwd|bearer|apikey"
 OTHER_ENDS = ("id", "key|md5|url|doi|tel|fax", "sha1|hash|uuid|guid|iban|isbn|mail|card", "build|phone", "sha256|commit", "version", "checksum")
 
 
+def _any_of(words: list[str]) -> str:
+    """An expression for any of the words, the longest first, by their first letter: most places fail at that."""
+    by_letter = {x: sorted((w[1:] for w in words if w[0] == x), key=lambda w: (-len(w), w)) for x in sorted({w[0] for w in words})}
+    return "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in by_letter.items())
+
+
+DICTIONARY = _any_of(WORDS)
+
+
 def _candidate() -> str:
     """A candidate is one of, all of it and no part:
 
+    - a private key's block of lines from BEGIN to END;
     - after a secret's name and up to six signs between: whatever has no white space, quote or angle
       bracket, of any length, up to a comma, semicolon or ampersand before the next name;
     - a run of key-like characters with an issuer's prefix;
     - any other such run of 12 characters or more, except a name without a digit (left to the context of its value).
+
+    What most places in a text fail comes first: a name's last letter, a prefix's first, the length.
     """
-    key, inner = r"[A-Za-z0-9+/_\-]", r"[A-Za-z0-9+/_.\-]"
+    key, inner, signs = r"[A-Za-z0-9+/_\-]", r"[A-Za-z0-9+/_.\-]", "[ :=>\"'`]"
     free, last = r"[!#-%(-+\--:=?-\[\]-_a-~\u00a1-\u1fff]", r"[!#-%(*+\-/-9=@-\[^_a-|~\u00a1-\u1fff]"
-    name = "|".join(f"(?<=(?i:{ends})[ :=>\"'`]{{{k}}})" for ends in SECRET_ENDS.values() for k in range(1, 7))
-    named = rf"(?<=[ :=>\"'`])(?:{name})(?![:=]|(?i:{SECRET_NAMES})[ :=>\"'`]){free}*{last}(?:[,;&](?![A-Za-z0-9_.\-]*=){free}*{last}){{0,20}}"
+    block = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:-?[A-Za-z0-9+/=\\:,.() \t\r\n]++){1,9}-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+    after = "|".join(f"(?<=[DHLNRTYdhlnrty]{signs}{{{k}}})(?:" + "|".join(f"(?<=(?i:{ends}){signs}{{{k}}})" for ends in SECRET_ENDS.values()) + ")" for k in range(1, 7))
+    named = rf"(?<={signs})(?:{after})(?![:=]|(?i:{SECRET_NAMES}){signs}){free}*{last}(?:[,;&](?![A-Za-z0-9_.\-]*=){free}*{last}){{0,20}}"
     ends = "".join(f"(?<!(?i:{e}))" for e in SECRET_ENDS.values())
     others = "".join(f"(?<!(?i:{e}))" for e in OTHER_ENDS)
     digit, no_name = r"(?=[A-Za-z+/_.\-]*+[0-9])", rf"(?=[A-Za-z+/_.\-]*+{ends}(?:{others}|(?![\"'`]? ?[:=])))"
-    run = rf"(?:(?:{PREFIXES}){inner}+|(?:{digit}|{no_name}){key}{inner}{{11,}})(?<!\.)(?!{key})={{0,2}}"
-    return rf"{named}|(?<!{key}){run}"
+    first = "".join(sorted({x[0] for x in PREFIXES.split("|")}))
+    run = rf"(?:(?=[{first}])(?:{PREFIXES}){inner}+|(?={key}{inner}{{11}})(?:{digit}|{no_name}){key}{inner}{{11,}})(?<!\.)(?!{key})={{0,2}}"
+    return rf"{block}|{named}|(?<!{key}){run}"
 
 
 CANDIDATE = _candidate()
 
-FEATURES = ("size", "digits", "upper", "lower", "runs", "distinct", "pairs", "plain", "hex", "only_digits", "dots", "dashes", "prefixed", "named", "other", "quoted", "assigned", "mail", "iban", "worded", "test_path")
+FEATURES = ("size", "digits", "upper", "lower", "runs", "distinct", "pairs", "plain", "dictionary", "hex", "only_digits", "dots", "dashes", "prefixed", "named", "other", "quoted", "assigned", "mail", "iban", "worded", "test_path")
 TREES, DEPTH, SEED = 24, 6, 7
 
 #: Bound of the labelled findings that are fitted.
@@ -72,18 +94,19 @@ def _features(c: Column, left: Column, right: Column, path: Column) -> Column:
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / size,
         "pairs": F.regexp_count(F.lower(c), F.lit("[aeiou][bcdfghjklmnpqrstvwxyz]")) / size,
         "plain": 1 - F.length(F.regexp_replace(F.lower(c), PLAIN, "")) / size,
+        "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), DICTIONARY, "")) / size,
         "hex": like(c, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "only_digits": like(c, "^[0-9.+/_-]+$"),
         "dots": share("[^.]"),
         "dashes": share("[^-/_]"),
-        "prefixed": like(c, f"^(?:{PREFIXES})"),
-        "named": like(left, f"(?i)(?:{SECRET_NAMES})[\"' ]{{0,2}}[ :=>]{{0,4}}[\"']?$"),
-        "other": like(left, f"(?i)\\b(?:{OTHER_NAMES})[\"' ]{{0,2}}[ :=#>]{{0,4}}[\"']?$"),
-        "quoted": flag(left.rlike("[\"'`]$") & right.rlike("^[\"'`]")),
-        "assigned": like(left, "[:=] ?[\"'`]?$"),
+        "prefixed": like(c, f"^(?:{ISSUED})"),
+        "named": like(left, f"(?i)(?:{SECRET_NAMES})[\"' ]{{0,2}}[ :=>]{{0,4}}[\"']?\\z"),
+        "other": like(left, f"(?i)\\b(?:{OTHER_NAMES})[\"' ]{{0,2}}[ :=#>]{{0,4}}[\"']?\\z"),
+        "quoted": flag(left.rlike("[\"'`]\\z") & right.rlike("^[\"'`]")),
+        "assigned": like(left, "[:=] ?[\"'`]?\\z"),
         "mail": flag(left.endswith("@") | right.startswith("@")),
         "iban": like(c, "^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{6,}"),
-        "worded": like(left, r"[\p{Ll}.,;|] $"),
+        "worded": like(left, r"[\p{Ll}.,;|] \z"),
         "test_path": like(path, f"(?i)(?:{TEST_PATH})"),
     }
     return F.struct(*[made[k].alias(k) for k in FEATURES])
@@ -109,6 +132,9 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
 
     def secret() -> tuple[str, str, str]:
         kind = r.randrange(12)
+        if kind == 0 and r.random() < 0.3:
+            name = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY"
+            return prose() + "\n", f"-----BEGIN {name}-----\n" + "\n".join(pick(b64, 64) for _ in range(r.randint(2, 12))) + f"\n-----END {name}-----", "\n" + word()
         if kind >= 9:  # chosen by people, or short: known by the name before them
             body = ["".join(term(1, 3).title() for _ in range(r.randint(2, 5))), (term(1, 3).title() + pick("!@#$%*?_", r.randint(1, 2)) + pick(string.digits, r.randint(1, 4))).replace("a", r.choice("a@"), 1), pick(alnum + "!@#$%*", r.randint(6, 15)), pick(string.ascii_letters, r.randint(12, 40))][r.randrange(4)]
             g = sign()
@@ -122,7 +148,9 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
         return prose() + r.choice(names) + g, body, (g[-1] if g[-1] in "\"'" else r.choice([" ", "\n", " " + word()]))
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(18)
+        kind = r.randrange(19)
+        if kind == 18:  # a line of a certificate or of another public block
+            return r.choice(["-----BEGIN CERTIFICATE-----\n", "-----BEGIN PUBLIC KEY-----\n", pick(b64, 30) + "\n"]), pick(b64, r.choice([64, 64, 76, r.randint(20, 60)])), "\n" + r.choice([pick(b64, 30), "-----END CERTIFICATE-----", "-----END PUBLIC KEY-----"])
         if kind == 12:
             return r.choice([prose(), " ", " "]), r.choice([str, str.title, str.upper])(term(5, 9))[:30].ljust(12, "e"), r.choice([" ", ", ", ".", ""]) + word()
         if kind == 13:
@@ -224,7 +252,13 @@ def judged(docs: DataFrame, trees: list[tuple], path: str | None = "source") ->
     """docs with `_pieces` (the text between candidates), `_matches` (candidates) and `_found` (array of candidate, score)."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     text = F.coalesce("text", F.lit(""))
-    cut = docs.withColumn("_pieces", F.split(text, CANDIDATE, -1)).withColumn("_matches", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    # The expression runs once over a text: candidates are set between marks, and the text is cut at these.
+    # A text that holds the mark itself is cut the long way.
+    matches = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    long_way = F.flatten(F.zip_with(F.split(text, CANDIDATE, -1), F.concat(matches, F.array(F.lit(None).cast("string"))), lambda p, m: F.array(p, m)))
+    marked = F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}")
+    parts = F.when(text.contains(MARK), F.slice(long_way, F.lit(1), F.size(long_way) - 1)).otherwise(F.split(marked, MARK, -1))
+    cut = docs.withColumn("_parts", parts).withColumn("_pieces", F.filter("_parts", lambda _, k: k % 2 == 0)).withColumn("_matches", F.filter("_parts", lambda _, k: k % 2 == 1)).drop("_parts")
     # The texts before and after come as arrays: taken by index inside the function, the text would be split anew for each candidate.
     n = F.size("_matches")
     before = F.zip_with("_matches", F.slice("_pieces", F.lit(1), n), lambda m, p: F.struct(m.alias("m"), F.right(p, F.lit(CONTEXT)).alias("left")))
@@ -254,16 +288,21 @@ def scan(docs: DataFrame, trees: list[tuple], path: str | None = "source") -> Da
     hits = F.filter(F.zip_with("_found", starts, lambda f, start: F.struct(f.alias("f"), start.alias("start"))), lambda z: z["f"]["score"] >= 0.5)
     rows = scored.select("doc_id", F.explode_outer(hits).alias("z"))
     c = F.col("z.f.candidate")
-    kind = F.when(c.rlike(f"^(?:{PREFIXES})"), "issued").when(c.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("mixed")
+    kind = F.when(c.rlike(f"^(?:{ISSUED})"), "issued").when(c.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("mixed")
     return rows.filter(F.col("z").isNotNull()).select("doc_id", F.col("z.start").alias("start"), F.length(c).cast("long").alias("length"), kind.alias("kind"), F.sha2(c, 256).alias("secret_sha256"), F.round("z.f.score", 6).alias("score"))
 
 
 def redact(docs: DataFrame, trees: list[tuple], path: str | None = "source") -> DataFrame:
-    """docs with each secret in the text replaced by MASK, and n_chars (if there) counted anew. Null texts stay null."""
-    scored = judged(docs, trees, path)
+    """docs with each secret in the text replaced by MASK, and n_chars (if there) counted anew.
+
+    Null texts stay null and empty ones empty; each of several equal rows is masked; an empty table
+    stays empty; the other columns ride along, whatever their names.
+    """
+    where = [F.col(path).cast("string").alias("_path")] if path and path in docs.columns else []
+    packed = docs.select("text", *where, F.struct(*[named(c) for c in docs.columns]).alias("_row"))
+    scored = judged(packed, trees, "_path")
     masked = F.concat(F.transform("_found", lambda f: F.when(f["score"] >= 0.5, F.lit(MASK)).otherwise(f["candidate"])), F.array(F.lit("")))
     text = F.when(F.col("text").isNotNull(), F.array_join(F.zip_with("_pieces", masked, lambda p, m: F.concat(p, m)), ""))
-    out = scored.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = scored.select("_row", text.alias("_text"))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return out.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col("_row").getField(c).alias(c) for c in docs.columns])

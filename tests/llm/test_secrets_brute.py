@@ -14,8 +14,8 @@ def features(c, left, right, path):
     low = c.lower()
     return {
         "size": min(len(c), 200.0), "digits": share("[^0-9]"), "upper": share("[^A-Z]"), "lower": share("[^a-z]"), "runs": len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", c)) / len(c), "distinct": len(set(c)) / len(c),
-        "pairs": len(re.findall("[aeiou][bcdfghjklmnpqrstvwxyz]", low)) / len(c), "plain": 1 - len(re.sub(s.PLAIN, "", low)) / len(c), "hex": like(c, "^(?:[0-9a-f]+|[0-9A-F]+)$"), "only_digits": like(c, "^[0-9.+/_-]+$"), "dots": share("[^.]"), "dashes": share("[^-/_]"),
-        "prefixed": like(c, f"^(?:{s.PREFIXES})"), "named": like(left, f"(?i)(?:{s.SECRET_NAMES})[\"' ]{{0,2}}[ :=>]{{0,4}}[\"']?\\Z"), "other": like(left, f"(?i)\\b(?:{s.OTHER_NAMES})[\"' ]{{0,2}}[ :=#>]{{0,4}}[\"']?\\Z"), "quoted": float(left[-1:] in "\"'`" and left != "" and right[:1] in "\"'`" and right != ""),
+        "pairs": len(re.findall("[aeiou][bcdfghjklmnpqrstvwxyz]", low)) / len(c), "plain": 1 - len(re.sub(s.PLAIN, "", low)) / len(c), "dictionary": 1 - len(re.sub(s.DICTIONARY, "", low)) / len(c), "hex": like(c, "^(?:[0-9a-f]+|[0-9A-F]+)$"), "only_digits": like(c, "^[0-9.+/_-]+$"), "dots": share("[^.]"), "dashes": share("[^-/_]"),
+        "prefixed": like(c, f"^(?:{s.ISSUED})"), "named": like(left, f"(?i)(?:{s.SECRET_NAMES})[\"' ]{{0,2}}[ :=>]{{0,4}}[\"']?\\Z"), "other": like(left, f"(?i)\\b(?:{s.OTHER_NAMES})[\"' ]{{0,2}}[ :=#>]{{0,4}}[\"']?\\Z"), "quoted": float(left[-1:] in "\"'`" and left != "" and right[:1] in "\"'`" and right != ""),
         "assigned": like(left, "[:=] ?[\"'`]?\\Z"), "mail": float(left.endswith("@") or right.startswith("@")), "iban": like(c, "^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{6,}"), "worded": float(bool(re.search(r"[.,;|] \Z", left)) or (len(left) > 1 and left[-1] == " " and left[-2].islower())), "test_path": like(path, f"(?i)(?:{s.TEST_PATH})"),
     }
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import WORD, map_columns
+from captionloom.llm.common import WORD, add_columns, named
 
 _WORD = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -88,21 +88,14 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
     A null, empty or blank text has no words: all measures but n_symbols are 0 and it fails. Rows are
     judged one by one: repeated rows and ties get equal verdicts, an empty table stays empty. Columns
-    of docs named like a measure give way to it.
+    of docs named like a measure, in any case of letters, give way to it; others ride along as they are.
     """
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    carry = [c for c in docs.columns if c not in {*names, "base_failed", "kept"}]
-    at = carry.index("text")
 
     def make():
-        def f(*columns):
-            rows = [measure(t) for t in columns[at]]
-            return [*columns, *map(list, zip(*rows, strict=True))]
+        return lambda text: list(zip(*map(measure, text), strict=True))
 
-        return f
-
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*carry).schema)
-    got = map_columns(docs.select(*carry), make, f"{fields}, {SCHEMA}")
+    keep = [c for c in docs.columns if c.lower() not in ("base_failed", "kept")]
+    got = add_columns(docs.select(*map(named, keep)), make, SCHEMA, "text")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fails = F.lit(False)
     for k in NGRAMS:
@@ -110,3 +103,24 @@ def score_quality(docs: DataFrame) -> DataFrame:
     fails |= F.col("dup_line_chars") > LIMITS["lines"] * F.col("word_chars")
     fails |= F.col("n_symbols") > LIMITS["symbols"] * F.col("n_words")
     return got.withColumn("base_failed", base).withColumn("kept", ~(base | fails))
+
+
+#: DuckDB SQL for the query over `documents`, whose doc_ids are unique: words numbered, n-grams counted as strings.
+SQL = r"""
+WITH worded AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM worded) CROSS JOIN (SELECT unnest([4, 8, 16]) AS k) WHERE i + k - 1 <= len(w)),
+twice AS (SELECT doc_id, k, unnest(list(i)) AS i FROM grams GROUP BY doc_id, k, g HAVING count(*) > 1),
+inside AS (SELECT DISTINCT doc_id, k, i + unnest(range(0, k)) AS i FROM twice),
+repeats AS (SELECT doc_id, count(*) FILTER (WHERE k = 8) AS n8, coalesce(sum(length(word)) FILTER (WHERE k = 4), 0) AS c4, coalesce(sum(length(word)) FILTER (WHERE k = 8), 0) AS c8, coalesce(sum(length(word)) FILTER (WHERE k = 16), 0) AS c16
+  FROM inside JOIN words USING (doc_id, i) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), '')) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM worded)),
+same AS (SELECT doc_id, count(*) - 1 AS again, (count(*) - 1) * any_value(chars) AS chars FROM lines WHERE n > 0 GROUP BY doc_id, line),
+dup AS (SELECT doc_id, sum(again) AS n_dup, sum(chars) AS c_dup FROM same GROUP BY doc_id),
+measured AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n8, 0)::BIGINT AS n_repeat_words, coalesce(c_dup, 0) AS c_dup, coalesce(c4, 0) AS c4, coalesce(c8, 0) AS c8, coalesce(c16, 0) AS c16
+  FROM worded LEFT JOIN repeats USING (doc_id) LEFT JOIN dup USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 2 * c4 > word_chars OR 20 * c8 > 7 * word_chars OR 4 * c16 > word_chars OR 20 * c_dup > 9 * word_chars OR 4 * n_symbols > n_words) AS kept FROM judged
+"""

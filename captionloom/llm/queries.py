@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_mix_sources, op2_secret_scan, op3_suffix_dedup, op4_byte_bpe, op5_token_ids, op6_spotsigs, op7_language_id, op8_toxicity, op9_quality_rules, op10_ngram_jaccard)
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op9_quality_rules": quality.SQL, "op10_ngram_jaccard": ngram_join.SQL}

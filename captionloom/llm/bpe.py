@@ -4,7 +4,8 @@ Bytes are mapped to Latin-1 characters, so that an automaton over strings finds
 entry in a piece of text. A piece is encoded by taking the longest match at each place and stepping
 back to the next shorter prefix whenever two neighbours could not stand next to each other after the
 merges were applied in rank order. Whether two ids are compatible is memoised. The result equals the
-merges' result, in time linear in the piece.
+merges' result, in time linear in the piece. Texts with characters that tiktoken classes otherwise than
+`regex` does are split with stand-ins of tiktoken's classes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from captionloom.llm.common import map_columns
@@ -31,6 +33,28 @@ SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _SPACE_RUN = regex.compile(r" \s| \Z")
 
 
+#: The classes of characters that a pattern may name.
+_CLASS = regex.compile(r"\\[pP]\{\^?\w+\}|\\[sSwWdD]")
+_CHARACTERS = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+
+
+@lru_cache(maxsize=4)
+def stand_ins(pattern: str) -> dict[int, str]:
+    """code point -> a character that `regex` classes as tiktoken classes the code point, where the two differ.
+
+    The two know different versions of Unicode. An encoder of single bytes whose pattern is one class
+    keeps just the members of the class, which gives tiktoken's tables.
+    """
+    single = {bytes([k]): k for k in range(256)}
+    theirs, ours = np.zeros(0x110000, np.int64), np.zeros(0x110000, np.int64)
+    for k, name in enumerate(sorted(set(_CLASS.findall(pattern)))):
+        library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+        for table, members in ((theirs, library.decode(library.encode_ordinary(_CHARACTERS))), (ours, "".join(regex.findall(name, _CHARACTERS)))):
+            table[np.frombuffer(members.encode("utf-32-le"), "<u4")] += 1 << k
+    agreed = {int(theirs[c]): chr(c) for c in np.flatnonzero(theirs == ours)[::-1] if 0xA0 < c < 0xD800 and chr(c) not in pattern}
+    return {int(c): agreed[int(theirs[c])] for c in np.flatnonzero(theirs != ours)}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -76,6 +100,10 @@ class Codec:
         #: By what follows a single space, that space included in the result.
         self.after_space = Memo(lambda rest: join(" " + rest))
         self.by_space = pattern == SPACE_LED
+        self.stand_ins = stand_ins(pattern)
+        self.odd = np.zeros(0x110000, bool)
+        self.odd[list(self.stand_ins)] = True
+        self.spans = regex.compile(pattern).finditer
 
     def halves_of(self, token: int) -> tuple[int, int] | None:
         """The two ids whose merge makes the token last; None for one that no merge makes."""
@@ -161,6 +189,9 @@ class Codec:
         """
         if not text:
             return b""
+        if not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+            cuts = self.spans(text.translate(self.stand_ins))
+            return b"".join([self.pieces[text[m.start() : m.end()]] for m in cuts])
         if not self.by_space or _SPACE_RUN.search(text):
             return self.join(text)
         first, *rest = text.split(" ")
@@ -200,7 +231,11 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: number of ids, SHA-256 of the ids, SHA-256 of the bytes decoded from them."""
+    """Per row: doc_id, number of ids, SHA-256 of the ids, SHA-256 of the bytes decoded from them.
+
+    Null and empty texts have no ids; repeated rows are encoded each; an empty table gives none;
+    further columns are left out.
+    """
 
     def make():
         c = codec(path, pattern)

@@ -1,9 +1,10 @@
 """Toxicity scores: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 The features are densities of learned lexicons, nearness of lexicon words to the second person,
-capitals, punctuation and obfuscation rates. The lexicon comes from the labelled sample: words whose
-document counts differ between the labels beyond chance. Trees and calibration are fitted in numpy on
-the sample's feature rows; scoring is one pass over the texts.
+capitals, punctuation and obfuscation rates. The lexicon is a short list of insults and what the labelled
+sample adds: words whose document counts differ between the labels beyond chance. Trees and calibration are fitted in numpy on
+the sample's feature rows, the calibration on scores of rows that their trees have not seen; scoring is
+one pass over the texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import map_columns, scratch
+from captionloom.llm.common import map_columns, release, scratch
 from captionloom.llm.langid import held_out
 
 #: Bound of the labelled sample, in documents, and of the lexicon, in words.
@@ -31,6 +32,14 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 #: Second-person words in English, French, German and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur ya tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch sie ti tú tus usted ustedes vosotros".split())
 NEAR = 4
+#: Common insults in the same languages, and the log odds that they have until a sample tells.
+INSULTS = frozenset(
+    "idiot idiots moron morons stupid loser losers trash garbage scum pathetic worthless disgusting clown dumb ugly filthy coward liar fool jerk bastard bitch asshole crap shit damn fuck fucking hate vermin imbecile "
+    "imbécile crétin stupide débile ordure connard connasse salaud salope merde abruti minable dégoûtant nul raclure "
+    "idiotin dumm dummkopf trottel arschloch scheiße scheisse abschaum versager widerlich erbärmlich hässlich miststück schwachkopf "
+    "idiota estúpido estúpida imbécil tonto basura escoria patético mierda cabrón asqueroso inútil payaso perdedor".split()
+)
+GIVEN = 4.0
 
 FEATURES = ("log_words", "strong_rate", "strong_log", "strong_kinds", "weak_rate", "weight_rate", "weight_max", "near_second", "second_rate", "capitals", "shouting", "exclaim", "punctuation", "masked_rate", "masked_hits", "stretched")
 
@@ -139,11 +148,11 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], list, float]:
     return edges, trees, base
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: points of a rising step function, each mean drawn in by half a row."""
-    blocks: list[list[float]] = []  # sum, rows, first, last
-    for r, v in sorted(zip(raw.tolist(), y.tolist(), strict=True)):
-        blocks.append([v, 1, r, r])
+def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: points of a rising step function of weighted means, each drawn in by half a row."""
+    blocks: list[list[float]] = []  # sum, weight, first, last
+    for r, v, w in sorted(zip(raw.tolist(), y.tolist(), weight.tolist(), strict=True)):
+        blocks.append([v * w, w, r, r])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, last = blocks.pop()
             blocks[-1][0] += s
@@ -160,46 +169,57 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled, not held-out documents, at most about SAMPLE_DOCS of them drawn by a hash.
 
-    Labels of one document that differ count as the larger; null labels are none; equal texts count
-    once. Without both labels the model is a constant.
+    A label has half of the sample, or what the other leaves, so that a rare one is still learned;
+    rows are weighed by what they stand for when scores are calibrated. Lexicon and trees come from
+    seven tenths of the sample and the calibration from the rest, which neither has seen. Labels of one
+    document that differ count as the larger; null labels are none; equal texts count once. Without
+    both labels the model is a constant.
     """
-    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rate = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
+    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    count = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    quota = {y: max(SAMPLE_DOCS // 2, SAMPLE_DOCS - count.get(1 - y, 0)) for y in (0, 1)}
+    rate = {y: min(1.0, quota[y] / max(1, count.get(y, 0))) for y in (0, 1)}
     mixed = F.pmod(F.xxhash64(F.lit("tox-1"), "doc_id"), F.lit(1 << 30))
-    drawn = usable.filter(mixed < rate * (1 << 30)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(2 * SAMPLE_DOCS)
+    drawn = usable.filter(mixed < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]) * (1 << 30))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    sample = scratch(texts.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")), "toxic-sample")
+    fits = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(10)) < 7
+    sample = scratch(texts.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("fits", fits), "toxic-sample")
+    size = {(r["fits"], r["toxic"]): r["count"] for r in sample.groupBy("fits", "toxic").count().collect()}
+    pos, neg = (size.get((True, y), 0) for y in (1, 0))
+    pos_all, neg_all = pos + size.get((False, 1), 0), neg + size.get((False, 0), 0)
+    if not pos_all or not neg_all:
+        release(sample)
+        return Model({}, [np.zeros(0)] * len(FEATURES), [], 0.0, (np.array([0.0]), np.array([float(pos_all > 0)])))
+    lexicon = _lexicon(sample.filter("fits"), pos, neg)
+
+    def make():
+        return lambda text, toxic, fits: [toxic, fits, [[float(v) for v in features(t, lexicon)] for t in text]]
+
+    rows = map_columns(sample.select("text", "toxic", "fits"), make, "toxic int, fits boolean, x array<double>").collect()  # numbers of the bounded sample
+    release(sample)
+    rows.sort(key=lambda r: (r["x"], r["toxic"], r["fits"]))
+    x, y, fit = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float), np.array([r["fits"] for r in rows])
+    if not pos or not neg or fit.all():  # a handful of rows: nothing can be set aside
+        fit, rest = np.ones(len(y), bool), np.ones(len(y), bool)
+    else:
+        rest = ~fit
+    model = Model(lexicon, *boost(x[fit], y[fit]), (np.array([0.0]), np.array([0.0])))
+    model.points = isotonic(model.raw(x[rest]), y[rest], np.where(y[rest] == 1, 1 / rate[1], 1 / rate[0]))
+    return model
+
+
+def _lexicon(sample: DataFrame, pos: int, neg: int) -> dict[str, float]:
+    """Words with log odds of the label: INSULTS, and those of the sample whose document counts differ beyond chance."""
 
     def words():
         return lambda text, toxic: list(zip(*[(w, y) for t, y in zip(text, toxic, strict=True) for w in set(_WORD.findall(t.lower())) if len(w) <= 40], strict=True)) or [[], []]
 
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
-        flat = float(pos > 0)
-        return Model({}, [np.zeros(0)] * len(FEATURES), [], 0.0, (np.array([0.0]), np.array([flat])))
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))
     counted = map_columns(sample.select("text", "toxic"), words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    tested = counted.filter(F.col("a") >= 4).select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    lexicon = {r["word"]: float(r["odds"]) for r in tested.filter(F.col("z") > 3).orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()}
-
-    rows = _featured(sample.select("doc_id", "text", "toxic"), lexicon).collect()  # numbers of the bounded sample
-    rows.sort(key=lambda r: (r["mixed"], r["x"]))
-    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    fit = np.arange(len(y)) % 10 < 7
-    edges, trees, base = boost(x[fit], y[fit])
-    model = Model(lexicon, edges, trees, base, (np.array([0.0]), np.array([0.0])))
-    rest = ~fit if (~fit).any() else fit
-    model.points = isotonic(model.raw(x[rest]), y[rest])
-    return model
-
-
-def _featured(sample: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    def make():
-        return lambda doc, text, toxic: [doc, toxic, [[float(v) for v in features(t, lexicon)] for t in text]]
-
-    return map_columns(sample, make, "doc_id long, toxic int, x array<double>").withColumn("mixed", F.xxhash64(F.lit("split"), "doc_id"))
+    tested = counted.filter(F.col("a") >= 4).select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).filter(F.col("z") > 3)
+    learned = {r["word"]: float(r["odds"]) for r in tested.orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()}
+    return dict.fromkeys(INSULTS, GIVEN) | learned
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

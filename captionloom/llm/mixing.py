@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import WORD
+from captionloom.llm.common import WORD, named
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -59,22 +59,28 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
     # The sum is taken within each task first, so a hot source sends one row a task.
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    planned = targets(sizes, weights, share, most).withColumnRenamed("source", "planned_source")
+    planned_source = "_".join(["planned_source", *docs.columns])  # no column of docs has this name
+    planned = targets(sizes, weights, share, most).withColumnRenamed("source", planned_source)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    joined = sized.join(planned, F.col("source").eqNullSafe(F.col("planned_source")), "left").drop("planned_source")
+    joined = sized.join(planned, F.col("source").eqNullSafe(F.col(f"`{planned_source}`")), "left").drop(planned_source)
     return joined.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mixed corpus: the columns of docs, each row as often as it is taken; any other columns ride along."""
-    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The mixed corpus: the columns of docs, each row as often as it is taken.
+
+    Any other columns ride along, whatever their names; see with_copies() for nulls, repeated rows and
+    empty tables.
+    """
+    packed = docs.select("doc_id", "source", "text", F.struct(*[named(c) for c in docs.columns]).alias("_row"))
     picked = with_copies(packed, weights, share, most).filter(F.col("copies") > 0)
-    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row for each row of docs; see with_copies(). Other columns are left out."""
     d = with_copies(docs.select("doc_id", "source", "text"))
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

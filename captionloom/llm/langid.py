@@ -1,32 +1,35 @@
 """Language identification by cross-parsing.
 
 A suffix automaton over labelled text of each language gives the longest match from any place of a
-new text; walking it cuts the text into the fewest phrases that occur in the language's text. The
-language that needs the fewest phrases a character wins. Phrases end at words' ends, so that the
-number of phrases of a word can be remembered: words repeat, and a text's count is a sum of lookups.
+new text; walking it cuts the whole text, across words, into the fewest phrases that occur in the
+language's text. Phrases are normalised to the cross-entropy that they estimate: a phrase points to a
+place in the learned text, which takes the logarithm of its length in bits, so c phrases for n
+characters are c log2(learned length) / n bits a character. The language with the fewest wins.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import math
+import unicodedata
 
-import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionloom.llm.common import map_columns
 
-#: Bounds of the labelled sample: documents fetched and characters learned for each language.
+#: Bounds of the labelled sample: documents and characters learned for each language, and characters
+#: for all languages together, which the languages share if they are many. They bound a worker's memory.
 DOCS_PER_LANG = 150
 CHARS_PER_LANG = 50_000
+CHARS = 600_000
 UNKNOWN = "und"
 
-#: Words whose phrase counts a worker remembers.
-WORDS = 300_000
+#: Characters that tell which language to parse with first; the answer does not depend on it.
+GLANCE = 200
 
-_RUN = re.compile(r"[^\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -35,81 +38,99 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def plain(text: str) -> str:
+    """Letters and their marks in small type, composed, with one space for whatever is between and at both ends."""
+    return _OTHER.sub(" ", f" {unicodedata.normalize('NFC', text).lower()} ")
+
+
 class SuffixAutomaton:
-    """All substrings of a text as paths from state 0."""
+    """All substrings of a text as paths from the root; a state is a dict from characters to states."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        link, size, last = [-1], [0], 0
-        nxt = self.next
+        self.size = len(text)
+        self.root: dict = {}
+        nodes, link, size, last = [self.root], [-1], [0], 0
+        number = {id(self.root): 0}
         for ch in text:
-            new, p = len(nxt), last
-            nxt.append({})
+            node: dict = {}
+            new, p = len(nodes), last
+            nodes.append(node)
+            number[id(node)] = new
             size.append(size[last] + 1)
             link.append(0)
-            while p >= 0 and ch not in nxt[p]:
-                nxt[p][ch] = new
+            while p >= 0 and ch not in nodes[p]:
+                nodes[p][ch] = node
                 p = link[p]
             if p >= 0:
-                q = nxt[p][ch]
+                to = nodes[p][ch]
+                q = number[id(to)]
                 if size[p] + 1 == size[q]:
                     link[new] = q
                 else:
-                    twin = len(nxt)
-                    nxt.append(dict(nxt[q]))
+                    twin, copy = len(nodes), dict(to)
+                    nodes.append(copy)
+                    number[id(copy)] = twin
                     size.append(size[p] + 1)
                     link.append(link[q])
-                    while p >= 0 and nxt[p].get(ch) == q:
-                        nxt[p][ch] = twin
+                    while p >= 0 and nodes[p].get(ch) is to:
+                        nodes[p][ch] = copy
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
 
-    def phrases(self, text: str) -> int:
-        """How many longest matches cover the text; a character never seen is a phrase."""
-        nxt, state, n = self.next, 0, 0
-        for ch in text:
-            step = nxt[state].get(ch)
-            if step is None:
-                if state:
-                    n += 1
-                    step = nxt[0].get(ch)
-                if step is None:
-                    n, step = n + 1, 0
-            state = step
-        return n + (state > 0)
+    def phrases(self, text: str, most: float = math.inf) -> tuple[int, int]:
+        """How many longest matches cover the text, and 0; a character never seen is a phrase.
+
+        With more than `most` phrases the parse ends: (most + 1, the characters that are left).
+        """
+        root, state, n, nothing = self.root, {}, 0, {}
+        rest = iter(text)
+        for ch in rest:
+            state = state.get(ch)
+            if state is None:  # a phrase begins
+                n += 1
+                if n > most:
+                    return n, rest.__length_hint__() + 1
+                state = root.get(ch, nothing)
+        return n, 0
 
 
-class CrossParser(dict):
-    """word -> phrases it needs in each language."""
+class CrossParser:
+    """Automata of the languages' samples; `bits` is what a phrase of each language takes."""
 
     def __init__(self, samples: dict[str, str]):
-        super().__init__()
         self.languages = sorted(samples)
         self.automata = [SuffixAutomaton(samples[k]) for k in self.languages]
+        self.bits = [math.log2(a.size + 2) for a in self.automata]
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORDS:
-            self.clear()
-        padded = f" {word} "
-        self[word] = got = tuple(a.phrases(padded) for a in self.automata)
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with the fewest phrases (ties: the first by name) and a score of 0 to 1.
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the language of the least cross-entropy (ties: the first by name) and a score of 0 to 1.
 
-        The score is the runner-up's share of both counts, stretched from [0.5, 1] to [0, 1].
+        A language that needs more bits than the best has lost, wherever its parse stands: the score is
+        the share of the text that then is left to the best of the losers, 1 without any. Texts are
+        parsed with one language after the other, whose automaton so stays in the cache.
         """
-        if not text or not self.languages or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        words = _RUN.findall(text.lower())
-        if not words:
-            return UNKNOWN, 0.0
-        total = np.array(list(map(self.__getitem__, words)), np.int64).sum(axis=0)
-        order = np.argsort(total, kind="stable")
-        best = int(total[order[0]])
-        second = int(total[order[1]]) if len(order) > 1 else 0
-        return self.languages[order[0]], (second - best) / second if second else 1.0
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        known = {k: plain(t) for k, t in enumerate(texts) if t and self.languages and _LETTER.search(t)}
+        count = len(self.languages)
+        glance = [{k: a.phrases(t[:GLANCE])[0] * b for k, t in known.items()} for a, b in zip(self.automata, self.bits, strict=True)]
+        likely = {k: min(range(count), key=lambda m: glance[m][k]) for k in known}
+        least = {k: 0.0 for k in known}
+        for m, a in enumerate(self.automata):
+            for k in [k for k in known if likely[k] == m]:
+                least[k] = a.phrases(known[k])[0] * self.bits[m]
+        left: dict[int, list[int]] = {k: [0] * count for k in known}
+        for m, (a, b) in enumerate(zip(self.automata, self.bits, strict=True)):
+            for k in [k for k in known if likely[k] != m]:
+                left[k][m] = a.phrases(known[k], math.floor(least[k] / b + 1e-9))[1]
+        for k, t in known.items():
+            best, stays = likely[k], left[k]
+            if not all(x for m, x in enumerate(stays) if m != best):  # a rival came as far: all are compared anew
+                bits = [a.phrases(t)[0] * b for a, b in zip(self.automata, self.bits, strict=True)]
+                best = min(range(count), key=lambda m: (bits[m], m))
+                stays = [a.phrases(t, math.floor(bits[best] / b + 1e-9))[1] for a, b in zip(self.automata, self.bits, strict=True)]
+            out[k] = self.languages[best], min((x for m, x in enumerate(stays) if m != best), default=len(t)) / len(t)
+        return out
 
 
 _parsers: dict[str, CrossParser] = {}
@@ -124,25 +145,28 @@ def _parser(samples: dict[str, str]) -> CrossParser:
 
 
 def learn(docs: DataFrame) -> dict[str, str]:
-    """language -> text to learn from: whole texts in order of a hash, up to the two bounds.
+    """language -> text to learn from: texts in order of a hash, up to the bounds of the sample.
 
-    Rows without lang or text, and held-out rows, are left out; no labelled rows give no languages.
+    About DOCS_PER_LANG documents of each language are drawn by the hash, cut to the characters that a
+    language may have, and taken until it has them. Rows without lang or text, and held-out rows, are
+    left out; no labelled rows give no languages.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    rates = {r["lang"]: min(1.0, DOCS_PER_LANG / r["n"]) for r in counts.collect()}  # a row for each language
+    if not rates:
         return {}
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, DOCS_PER_LANG / n)).otherwise(rate)
+    chars = min(CHARS_PER_LANG, CHARS // len(rates))
+    table = F.broadcast(docs.sparkSession.createDataFrame(list(rates.items()), "lang string, rate double"))
     mixed = F.xxhash64(F.lit("lang-1"), "doc_id")
-    drawn = usable.filter(F.pmod(mixed, F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text", mixed.alias("mixed"))
+    drawn = usable.select("lang", "text", mixed.alias("mixed")).join(table, "lang").filter(F.pmod("mixed", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    drawn = drawn.select("lang", "mixed", F.xxhash64("text").alias("tie"), F.substring("text", 1, chars).alias("text"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("mixed", "tie").rowsBetween(Window.unboundedPreceding, -1))
+    # At most twice `chars` of a language: the last text may go over.
+    rows = drawn.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < chars).collect()
     texts: dict[str, list[str]] = {}
-    for r in drawn.limit(2 * DOCS_PER_LANG * len(counts)).sort("mixed", "text").collect():
-        have = texts.setdefault(r["lang"], [])
-        if sum(map(len, have)) < CHARS_PER_LANG:
-            words = _RUN.findall(r["text"].lower())
-            have.append(" ".join(["", *words, ""]))
+    for r in sorted(rows, key=lambda r: (r["lang"], r["before"], r["text"])):
+        texts.setdefault(r["lang"], []).append(plain(r["text"]))
     return {k: "\n".join(v) for k, v in texts.items()}
 
 
@@ -157,7 +181,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         parser = _parser(samples)
 
         def f(doc, text):
-            got = [parser.predict(t) for t in text]
+            got = parser.predict(text)
             return [doc, [g[0] for g in got], [g[1] for g in got]]
 
         return f

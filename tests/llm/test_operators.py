@@ -214,7 +214,35 @@ def test_language_id(spark, empty):
 
 def test_suffix_automaton_counts_longest_matches():
     a = langid.SuffixAutomaton("abcabd")
-    assert [a.phrases(t) for t in ("", "abc", "abdabc", "xa", "abx", "ddd")] == [0, 1, 2, 2, 2, 3]
+    assert [a.phrases(t)[0] for t in ("", "abc", "abdabc", "xa", "abx", "ddd")] == [0, 1, 2, 2, 2, 3]
+
+
+def test_cross_parsing_against_plain_search():
+    import random
+
+    r = random.Random(12)
+    sample = {k: langid.plain("".join(r.choice(letters) for _ in range(n))) for k, letters, n in (("aa", "abcd ", 900), ("bb", "bcdeä ", 300), ("cc", "xyz é", 500))}
+    parser = langid.CrossParser(sample)
+
+    def cuts(text, learned):
+        """Ends of the phrases, found by searching the sample for ever longer strings."""
+        out, at = [], 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in learned:
+                size += 1
+            out.append(at)
+            at += size
+        return out
+
+    for _ in range(300):
+        text = langid.plain("".join(r.choice(r.choice(["abcd ", "bcdeä ", "xyz é", "Q1.\u0301"])) for _ in range(r.randint(1, 500))) + "a")
+        found = [cuts(text, sample[k]) for k in parser.languages]
+        bits = [len(f) * math.log2(len(sample[k]) + 2) for f, k in zip(found, parser.languages, strict=True)]
+        assert [a.phrases(text) for a in parser.automata] == [(len(f), 0) for f in found]
+        best = min(range(3), key=lambda k: (bits[k], k))
+        left = [len(text) - f[most] if len(f) > most else 0 for k, f in enumerate(found) if k != best for most in [math.floor(bits[best] / math.log2(len(sample[parser.languages[k]]) + 2) + 1e-9)]]
+        assert parser.predict([text])[0] == (parser.languages[best], pytest.approx(min(left) / len(text)))
 
 
 def test_toxicity(spark, empty):

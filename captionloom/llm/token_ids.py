@@ -14,9 +14,10 @@ file appear whole or not at all, whichever executors are lost.
 
 from __future__ import annotations
 
+import json
 import os
-import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,16 +29,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionloom.llm.bpe import _SPACE_RUN, SPACE_LED, Memo
-from captionloom.llm.common import map_columns, prepare, scratch
-from captionloom.session import shared_folder
+from captionloom.llm.common import map_columns, prepare, scratch, scratch_folder
 
 END_ID = 2
 
 #: Ids in a shard; a shard is what one task sorts and writes.
 SHARD_IDS = 16_000_000
 
+#: Code points that may be characters of classes, private use apart.
+ODD_END = 0x40000
+
+#: Characters before it are letters in every version of Unicode, if in one.
+LATIN_END = "\u0250"
+
 #: Stretches of text, and pieces, that a worker remembers the ids of.
-STRETCHES = 700_000
+STRETCHES = 900_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 _PLACES = np.arange(4, dtype=np.uint8)
@@ -64,40 +70,87 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+@lru_cache(maxsize=1)
+def odd_characters() -> bytes:
+    """A bit for each code point below ODD_END: whether the tokenizers library classes it otherwise than `regex` does.
+
+    Beyond are private use and planes without characters.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    odd, every = np.zeros(ODD_END, bool), "".join(chr(c) for c in range(ODD_END) if not 0xD800 <= c <= 0xF8FF)
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        left = pre_tokenizers.Split(Regex(f"{name}+"), behavior="removed").pre_tokenize_str(every)
+        odd[np.frombuffer("".join(p for p, _ in left).encode("utf-32-le"), "<u4")] ^= True
+        odd[np.frombuffer("".join(regex.findall(name, every)).encode("utf-32-le"), "<u4")] ^= True
+        odd[np.frombuffer(every.encode("utf-32-le"), "<u4")] ^= True
+    return np.packbits(odd).tobytes()
+
+
+def space_led(path: str) -> bool:
+    """Whether a tokenizers file is plain byte-level BPE: no normalizer, the SPACE_LED split over bytes, merges alone."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    off = [file.get("normalizer"), file.get("truncation"), file.get("padding"), *[model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]]
+    return not any(off) and model.get("type") == "BPE" and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+
+
 class LibraryEncoder:
     """Encodes texts with a tokenizers file, asking the library's model once for each distinct piece.
 
-    The file's pre-split is SPACE_LED over bytes, so texts can be cut at single spaces (see
-    bpe.Codec.encode), and stretches and pieces already seen are looked up. Texts that hold a special
-    token's string go to the library whole.
+    Where the file's pre-split is SPACE_LED over bytes, texts can be cut at single spaces (see
+    bpe.Codec.encode), and stretches and pieces already seen are looked up. The library gets whole texts
+    of any other file, those that hold an added token's string, and those with a character of `odd`,
+    which it splits after tables of its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
+        self.plain = space_led(path)
+        self.odd = np.unpackbits(np.frombuffer(odd, np.uint8)).astype(bool)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile(SPACE_LED).findall
-        alphabet = self.library.model
         # Byte-level files spell bytes as printable characters: those that are so already, then the rest from 256 on.
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         rest = [b for b in range(256) if b not in set(printable)]
         spelling = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        ask = alphabet.tokenize
-
-        def ids(piece: str) -> bytes:
-            # Letters stand for themselves; only the leading space has another spelling.
-            plain = piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
-            spelled = piece.replace(" ", spelling[32]) if plain else piece.encode().decode("latin-1").translate(spelling)
-            return np.array([t.id for t in ask(spelled)], "<u4").tobytes()
-
-        self.pieces = Memo(ids, STRETCHES)
+        ask, space = self.library.model.tokenize, spelling[32]
+
+        def ids(spelled: str) -> bytes:
+            return array("I", [t.id for t in ask(spelled)]).tobytes()
+
+        def of_piece(piece: str) -> bytes:
+            return ids(piece.encode().decode("latin-1").translate(spelling))
+
+        def of_stretch(rest: str) -> bytes:
+            # A word of letters is one piece, which is spelled as it is but for the space; a mark after
+            # it is another. Anything else is split.
+            if rest.isascii():
+                if rest.isalpha():
+                    return ids(space + rest)
+                if rest[:-1].isalpha() and rest[-1] in ",.;:!?":
+                    return self.after_space[rest[:-1]] + self.pieces[rest[-1]]
+            elif rest.isalpha() and max(rest) < LATIN_END:
+                return of_piece(" " + rest)
+            return self.join(" " + rest)
+
+        self.pieces, self.after_space = Memo(of_piece, STRETCHES), Memo(of_stretch, STRETCHES)
         look = self.pieces.__getitem__
         self.join = lambda text: b"".join(map(look, self.split(text)))
-        # A word of letters is one piece; anything else is split.
-        self.after_space = Memo(lambda rest: look(" " + rest) if rest.isascii() and rest.isalpha() else self.join(" " + rest), STRETCHES)
+
+    def whole(self, text: str) -> bool:
+        """Whether the library must see the text as a whole."""
+        if not self.plain or any(s in text for s in self.special):
+            return True
+        if text.isascii():
+            return False
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        return bool(self.odd[points[points < ODD_END]].any())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as unsigned 32-bit bytes; null is an empty text."""
@@ -105,8 +158,8 @@ class LibraryEncoder:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif any(s in t for s in self.special):
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            elif self.whole(t):
+                out.append(array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
             elif _SPACE_RUN.search(t):
                 out.append(self.join(t))
             else:
@@ -116,15 +169,16 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def library_encoder(path: str, odd: bytes) -> LibraryEncoder:
+    return LibraryEncoder(path, odd)
 
 
 def encode_with_library(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and `ids` (zstd of unsigned 32-bit ids, the end id last) of each whole text."""
+    odd = odd_characters()
 
     def make():
-        encoder, squeeze, end = library_encoder(path), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes()
+        encoder, squeeze, end = library_encoder(path, odd), zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes()
         # Two-byte ids squeeze better; four bytes where the vocabulary needs them.
         kind = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
 
@@ -166,8 +220,8 @@ def write_corpus(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
     """Encode every whole text, rank the ids by frequency and write the corpus to `folder`.
 
     Null and empty texts are the end id alone; documents with equal or null doc_id stay apart (null
-    first, equal ones in one shard in any order); an empty table writes a corpus of no blocks;
-    further columns are ignored.
+    first, equal ones in one shard in order of a hash of their ids, so that reruns agree); an empty
+    table writes a corpus of no blocks; further columns are ignored.
     """
     spark = docs.sparkSession
     encoded = scratch(encode_with_library(docs, path, end_id), "encoded")
@@ -191,7 +245,7 @@ def write_corpus(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
     shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD_IDS))
     (
         encoded.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
         .select("doc_id", "n_tokens", "ids")
         .mapInArrow(blocks, schema)
         .write.option("compression", "zstd")
@@ -238,7 +292,6 @@ def _read(spark: SparkSession, folder: str, column: str, digest) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Write the corpus to the shared folder and return what its files hold; see write_corpus()."""
+    """Write the corpus to the shared folder and return what its files hold, a row for each of docs; see write_corpus()."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/captionloom-tokens-{uuid.uuid4().hex}"
-    return corpus_digests(spark, write_corpus(docs, path, folder, end_id))
+    return corpus_digests(spark, write_corpus(docs, path, scratch_folder(spark, "tokens"), end_id))

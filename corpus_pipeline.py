@@ -9,33 +9,35 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from captionloom.llm import bpe, mixing, ngram_join, quality, secrets
-from captionloom.llm.common import documents, scratch
+from captionloom.llm.common import documents, named, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Null, empty and blank texts are rejected."""
-    return quality.score_quality(docs).filter("kept").select(*docs.columns)
+    """Documents that the quality rules reject go. Null, empty and blank texts are rejected; equal rows fare alike; other columns ride along."""
+    packed = docs.select("doc_id", "text", F.struct(*[named(c) for c in docs.columns]).alias("_row"))
+    return quality.score_quality(packed).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the least doc_id."""
+    """One document of each group of near duplicates stays, that of the least doc_id; rows without doc_id or word stay; an empty table stays empty."""
     return ngram_join.keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays."""
+    """Secrets are masked in the text; every row stays, null and empty texts as they are; see secrets.redact()."""
     return secrets.redact(docs, secrets.forest(spark))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources meet their targets."""
+    """Documents are repeated or left out so that sources meet their targets; null sources are one; see mixing.with_copies()."""
     return mixing.mix(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document and digests of the round trip, a row for each copy."""
+    """The ids of each document and digests of the round trip, a row for each copy; null texts are empty ones."""
     return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -76,4 +76,4 @@ def subtitle(translations: DataFrame, media: DataFrame, policy: cues.Policy) ->
     """Cues of each job with what is wrong with them, and both caption files."""
     made = cues.build_cues(translations, media, policy)
     timed = made.select("job_id", "index", to_ms(F.col("start")).alias("start_ms"), to_ms(F.col("end")).alias("end_ms"), "text")
-    return Subtitled(made, cues.validate_cues(made, media, policy), cues.text_coverage(translations, made), captions.render_srt(timed, ["job_id"]), captions.render_vtt(timed, ["job_id"]))
+    return Subtitled(made, cues.validate_cues(made, media, policy), cues.text_coverage(translations, made), captions.render_srt(timed, ["job_id"], media), captions.render_vtt(timed, ["job_id"], media))

@@ -48,23 +48,29 @@ def parse_vtt(files: DataFrame, keys: list[str], column: str = "content") -> Dat
     return rows.select(*keys, (index - 1).alias("seq"), index.alias("index"), parse_timestamp(strip(F.get(sides, F.lit(0)))).alias("start_ms"), parse_timestamp(end).alias("end_ms"), text.alias("text"))
 
 
-def _rendered(cues: DataFrame, keys: list[str], block, start: Column, end: str) -> DataFrame:
+def _rendered(cues: DataFrame, keys: list[str], block, start: str, jobs: DataFrame | None) -> DataFrame:
+    """Cues in order of seq (or index) with texts stripped, a null one being empty; jobs without cues have none in their file."""
     by = "seq" if "seq" in cues.columns else "index"
-    rows = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, "start_ms", "end_ms", "text"))).alias("_cues"))
-    return rows.select(*keys, F.concat(start, F.array_join(F.transform("_cues", block), "\n\n"), F.lit(end)).alias("content"))
+    text = strip(F.coalesce("text", F.lit(""))).alias("text")
+    rows = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, "start_ms", "end_ms", text))).alias("_cues"))
+    if jobs is not None:
+        rows = jobs.select(*keys).distinct().join(rows, keys, "left")
+    body = F.concat(F.array_join(F.transform("_cues", block), "\n\n"), F.lit("\n"))
+    return rows.select(*keys, F.concat(F.lit(start), F.when(F.size("_cues") > 0, body).otherwise("")).alias("content"))
 
 
 def _times(c: Column, mark: str) -> Column:
     return F.concat(format_timestamp(c["start_ms"], mark), F.lit(" --> "), format_timestamp(c["end_ms"], mark))
 
 
-def render_srt(cues: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, content): cues numbered from 1 in order of seq (or index)."""
-    return _rendered(cues, keys, lambda c, k: F.concat((k + 1).cast("string"), F.lit("\n"), _times(c, ","), F.lit("\n"), c["text"]), F.lit(""), "\n")
+def render_srt(cues: DataFrame, keys: list[str], jobs: DataFrame | None = None) -> DataFrame:
+    """(keys, content): cues numbered from 1; of `jobs` (keys), those without cues have an empty file."""
+    return _rendered(cues, keys, lambda c, k: F.concat((k + 1).cast("string"), F.lit("\n"), _times(c, ","), F.lit("\n"), c["text"]), "", jobs)
 
 
-def render_vtt(cues: DataFrame, keys: list[str]) -> DataFrame:
-    return _rendered(cues, keys, lambda c: F.concat(_times(c, "."), F.lit("\n"), c["text"]), F.lit("WEBVTT\n\n"), "\n")
+def render_vtt(cues: DataFrame, keys: list[str], jobs: DataFrame | None = None) -> DataFrame:
+    """(keys, content): cues under the header; of `jobs` (keys), those without cues have the header alone."""
+    return _rendered(cues, keys, lambda c: F.concat(_times(c, "."), F.lit("\n"), c["text"]), "WEBVTT\n\n", jobs)
 
 
 def parity(srt: DataFrame, vtt: DataFrame, keys: list[str]) -> DataFrame:

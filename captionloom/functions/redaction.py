@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,18 +40,26 @@ def refused_fields(entries):
     return entries.withColumn("reason", reason).filter("reason is not null")
 
 
+def redact_value(text: str) -> str:
+    """redact_text() for a Python string."""
+    for pattern, by in RULES:
+        text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", by), text)
+    return text
+
+
 def refused_paths(value, path: str = "$") -> list[str]:
-    """The places in a nested Python value that may not be stored; for artifacts the driver writes itself."""
-    import re
+    """The places in a nested Python value that may not be stored; for artifacts the driver writes itself.
 
+    A text is refused if redacting would change it, so that redacted evidence can be stored.
+    """
     if isinstance(value, dict):
-        found = []
-        for k, v in value.items():
-            name = str(k).casefold().replace("-", "_")
-            found += [f"{path}.{k}"] if any(name == p or name.startswith(p + "_") or name.endswith("_" + p) for p in KEY_PARTS) else refused_paths(v, f"{path}.{k}")
-        return found
+        inside = [(f"{path}.{k}", v, _is_sensitive_name(str(k))) for k, v in value.items()]
+        return [p for where, v, bad in inside for p in ([where] if bad else refused_paths(v, where))]
     if isinstance(value, list | tuple):
-        return [f for k, v in enumerate(value) for f in refused_paths(v, f"{path}[{k}]")]
-    if isinstance(value, str) and any(re.search(p, value) for p, _ in RULES):
-        return [path]
-    return []
+        return [p for k, v in enumerate(value) for p in refused_paths(v, f"{path}[{k}]")]
+    return [path] if isinstance(value, str) and redact_value(value) != value else []
+
+
+def _is_sensitive_name(name: str) -> bool:
+    name = f"_{name.casefold().replace('-', '_')}_"
+    return any(name.startswith(f"_{p}_") or name.endswith(f"_{p}_") for p in KEY_PARTS)

@@ -55,9 +55,18 @@ def timing_iou(reference: DataFrame, candidate: DataFrame, job: str = "job_id",
 
 
 def overlapping(rows: DataFrame, windows: DataFrame, key: str, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """Rows that overlap any window (key, from, to) of their key; touching is no overlap."""
-    w = windows.select(F.col(key).alias("_key"), F.col("from").alias("_from"), F.col("to").alias("_to"))
-    return rows.join(w, (rows[key] == w["_key"]) & (rows[end] > w["_from"]) & (rows[start] < w["_to"]), "left_semi")
+    """Rows that overlap any window (key, from, to) of their key; touching is no overlap.
+
+    A row overlaps one if the latest end among the windows that begin before the row ends lies behind
+    the row's start. So rows and windows are sorted together once, and no pair is made.
+    """
+    named = F.struct(*[F.col(c) for c in rows.columns])
+    kind = rows.schema[end].dataType
+    mine = rows.select(F.col(key).alias("_key"), F.col(end).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(kind).alias("_to"), named.alias("_row"))
+    given = windows.select(F.col(key).alias("_key"), F.col("from").cast(kind).alias("_at"), F.lit(1).alias("_kind"), F.col("to").cast(kind).alias("_to"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
+    order = Window.partitionBy("_key").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    latest = mine.union(given).withColumn("_latest", F.max("_to").over(order))
+    return latest.filter((F.col("_kind") == 0) & (F.col("_latest") > F.col("_row")[start])).select("_row.*")
 
 
 def with_gaps(cues: DataFrame, key: str, total: DataFrame) -> DataFrame:

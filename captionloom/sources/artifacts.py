@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import stat
 import tempfile
 from pathlib import Path
@@ -27,11 +28,32 @@ class SensitiveDataError(ValueError):
 
 
 def file_hashes(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
-    """(path, bytes, sha256) of files up to `most_bytes`; larger ones have a null hash, hash them by sha256_file()."""
+    """(path, bytes, sha256) of all files below `path`, which the executors reach.
+
+    Files up to `most_bytes` are hashed by the built-in function as one value each; a value cannot hold
+    larger ones, which are read in pieces, a file in a task.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.filter(F.col("length") <= most_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > most_bytes).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"))
-    return small.union(large)
+    large = files.filter(F.col("length") > most_bytes).select("path", F.col("length").alias("bytes"))
+
+    def pieces(batches):
+        from urllib.parse import quote
+
+        from pyarrow import RecordBatch, fs
+
+        for b in batches:
+            hashes = []
+            for uri in b.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", uri), safe=":/@"))
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while block := f.read(_STEP):
+                        digest.update(block)
+                hashes.append(digest.hexdigest())
+            yield RecordBatch.from_pydict({"path": b.column(0), "bytes": b.column(1), "sha256": hashes})
+
+    return small.union(large.mapInArrow(pieces, "path string, bytes long, sha256 string"))
 
 
 def sha256_file(path: str | os.PathLike) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,21 @@ def blocked_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hour
     return counted.select(F.col("window.start").alias("start"), "stage", "events", "blocked")
 
 
-def run_to_end(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregate over all input there is and return its last result.
+def run_to_end(result: DataFrame, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Run a streaming aggregate over all input there is and return its last result; without input, no rows.
 
-    Batches go through foreachBatch to the shared folder, where the checkpoint is too: a restart goes
-    on where it stopped and rewrites at most its last batch.
+    Batches go through foreachBatch to `folder`, where the checkpoint is too: called again with the same
+    folder, the query goes on where it stopped, and rewrites at most its last batch. Without a folder
+    it starts anew in one of its own in the shared folder.
     """
     spark = result.sparkSession
-    folder = f"{shared_folder(spark)}/captionloom-stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/captionloom-stream-{uuid.uuid4().hex}"
     sink = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/result")
     query = result.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{folder}/result")
+    try:
+        return spark.read.schema(result.schema).parquet(f"{folder}/result")
+    except AnalysisException as e:  # no batch has run, as there was no input
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], result.schema)

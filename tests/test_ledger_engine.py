@@ -172,3 +172,29 @@ def test_event_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.stage, r.events, r.blocked) for r in spark.table("rates").collect()} == {("a", 2, 1), ("b", 1, 0)}
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    (tmp_path / "a b.bin").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "small.bin").write_bytes(b"y")
+    got = {r.path.rsplit("/", 1)[1].replace("%20", " "): (r.bytes, r.sha256) for r in file_hashes(spark, str(tmp_path), most_bytes=10).collect()}
+    assert got == {n: (s, sha256_file(tmp_path / n)) for n, s in (("a b.bin", 3_000_000), ("small.bin", 1))}
+
+
+def test_redacted_evidence_can_be_stored():
+    from captionloom.functions.redaction import refused_paths
+
+    assert refused_paths({"note": "Cookie: [REDACTED]", "line": ["token=[REDACTED]", "[REDACTED_URL]"], "stage": "x"}) == []
+    assert refused_paths({"note": "Cookie: abc", "line": ["token=abc"], "access-key": 1, "a": {"url": 2}}) == ["$.note", "$.line[0]", "$.access-key", "$.a.url"]
+
+
+def test_a_stream_without_input_has_no_rows(spark, tmp_path):
+    from captionloom.streaming import events
+
+    (tmp_path / "in").mkdir()
+    run = lambda: sorted(tuple(r)[:3] for r in events.run_to_end(events.stage_states(events.read_events(spark, str(tmp_path / "in"))), folder=str(tmp_path / "state")).collect())
+    assert run() == []
+    (tmp_path / "in" / "one.json").write_text('{"job_id": "a", "stage": "render", "status": "running", "at": "2024-01-01T00:00:00Z"}\n')
+    assert run() == [("a", "render", "running")]
+    (tmp_path / "in" / "two.json").write_text('{"job_id": "a", "stage": "render", "status": "complete", "at": "2024-01-01T01:00:00Z"}\n')
+    assert run() == [("a", "render", "complete")]  # goes on from its checkpoint

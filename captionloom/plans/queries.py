@@ -69,17 +69,36 @@ def _pairs(spark, sf_dir):
     return metrics.spread(b.join(a, "job_id"), "job_id", "candidate")
 
 
-@query()
-def wer_by_candidate(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("job_id", "candidate", _long(F.size("expected")).alias("n_words"), F.round(metrics.word_error_rate(F.col("expected"), F.col("got")), 6).alias("wer"))
-
-
 SQL_TEXTS = f"""{SQL_SEGMENTS}, {SQL_CANDIDATES},
 ours AS (SELECT job_id, coalesce(string_agg(trim(text), ' ' ORDER BY seq) FILTER (WHERE trim(text) <> ''), '') AS text FROM seg GROUP BY ALL),
 theirs AS (SELECT job_id, candidate, coalesce(string_agg(trim(text), ' ' ORDER BY seq) FILTER (WHERE trim(text) <> ''), '') AS text FROM cand GROUP BY ALL)"""
 
+#: Word distances row by row of the table of distances; a row's running minimum stands for the step from the left.
+SQL_WER = f"""
+pair AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t.job_id, candidate)::INTEGER AS p, t.job_id, candidate, {TOKENS.format('o.text')} AS e, {TOKENS.format('t.text')} AS g FROM theirs t JOIN ours o USING (job_id)),
+word AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY w)::INTEGER AS code FROM (SELECT DISTINCT unnest(e || g) AS w FROM pair)),
+ew AS MATERIALIZED (SELECT p, i, code FROM (SELECT p, unnest(range(1, len(e) + 1))::INTEGER AS i, unnest(e) AS w FROM pair) JOIN word USING (w)),
+gw AS MATERIALIZED (SELECT p, j, code FROM (SELECT p, unnest(range(1, len(g) + 1))::INTEGER AS j, unnest(g) AS w FROM pair) JOIN word USING (w)),
+dp(p, i, j, code, d) AS (SELECT p, 0, 0, 0, 0 FROM pair UNION ALL SELECT p, 0, j, code, j FROM gw),
+table_of(p, i, j, code, d) AS (SELECT * FROM dp UNION ALL
+  SELECT p, i + 1, j, code, (min(t - j) OVER (PARTITION BY p ORDER BY j) + j)::INTEGER FROM (
+    SELECT m.p, m.i, m.j, m.code, least(m.d + 1, coalesce(lag(m.d) OVER (PARTITION BY m.p ORDER BY m.j) + (m.code <> ew.code)::INTEGER, m.d + 1)) AS t FROM table_of m JOIN ew ON ew.p = m.p AND ew.i = m.i + 1)),
+wd AS (SELECT job_id, candidate, len(e)::BIGINT AS n_words, CASE WHEN len(e) = 0 THEN (len(g) > 0)::INT::DOUBLE ELSE d / len(e)::DOUBLE END AS wer FROM table_of JOIN pair USING (p) WHERE i = len(e) AND j = len(g))"""
+
+#: Character distances: levenshtein() counts bytes, so characters beyond ASCII become ones that folded tokens never hold.
+SQL_CER = f"""
+chars AS (SELECT job_id, candidate, array_to_string({TOKENS.format('o.text')}, '') AS x, array_to_string({TOKENS.format('t.text')}, '') AS y FROM theirs t JOIN ours o USING (job_id)),
+beyond AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS far FROM (SELECT DISTINCT unnest(string_split(x || y, '')) AS c FROM chars) WHERE strlen(c) > 1),
+plain AS (SELECT job_id, candidate, length(x) AS n, length(y) AS m, translate(x, far, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{{|}}~', 1, length(far))) AS x, translate(y, far, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{{|}}~', 1, length(far))) AS y FROM chars, beyond),
+cd AS (SELECT job_id, candidate, n::BIGINT AS n_chars, CASE WHEN n = 0 THEN (m > 0)::INT::DOUBLE ELSE levenshtein(x, y) / n::DOUBLE END AS cer FROM plain)"""
+
+
+@query(f"WITH RECURSIVE {SQL_TEXTS}, {SQL_WER} SELECT job_id, candidate, n_words, round(wer, 6) AS wer FROM wd")
+def wer_by_candidate(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("job_id", "candidate", _long(F.size("expected")).alias("n_words"), F.round(metrics.word_error_rate(F.col("expected"), F.col("got")), 6).alias("wer"))
 
-@query()
+
+@query(f"WITH {SQL_TEXTS}, {SQL_CER} SELECT job_id, candidate, n_chars, round(cer, 6) AS cer FROM cd")
 def cer_by_candidate(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
     return rows.select("job_id", "candidate", _long(F.length(F.array_join("expected", ""))).alias("n_chars"), F.round(metrics.char_error_rate(F.col("expected"), F.col("got")), 6).alias("cer"))
@@ -146,23 +165,30 @@ def timing_iou(spark, sf_dir):
 
 def _evaluations(spark, sf_dir):
     segs = views.segments(spark, sf_dir)
-    return metrics.evaluate(segs, views.candidates(segs), views.per_job(segs, views.TERMS[:2], "term"), views.per_job(segs, views.TERMS[:1], "number"))
+    return metrics.evaluate(segs, views.candidates(segs), views.per_job(segs, views.TERMS, "term"), views.per_job(segs, views.NUMBERS, "number"))
+
 
+SQL_RECALLS = f"""rec AS (SELECT job_id, candidate, {SQL_RECALL.format(tok=TOKENS.format('text'), terms=', '.join(repr(t) for t in views.TERMS))}::DOUBLE AS glossary_term_recall,
+  {SQL_RECALL.format(tok=TOKENS.format('text'), terms=', '.join(repr(t) for t in views.NUMBERS))}::DOUBLE AS number_recall FROM theirs)"""
+SQL_EVALUATED = f"{SQL_TEXTS}, {SQL_WER}, {SQL_CER}, {SQL_RECALLS}, {SQL_PUNCTUATION}, {SQL_IOU}, ev AS (SELECT * FROM wd JOIN cd USING (job_id, candidate) JOIN rec USING (job_id, candidate) JOIN f1 USING (job_id, candidate) JOIN iou USING (job_id, candidate))"
+SQL_GATES = """gd AS (SELECT *, concat_ws(',', CASE WHEN wer > 0.20 THEN 'wer' END, CASE WHEN cer > 0.14 THEN 'cer' END, CASE WHEN number_recall < 1 THEN 'number_recall' END, CASE WHEN glossary_term_recall < 1 THEN 'glossary_term_recall' END, CASE WHEN timing_iou < 0.5 THEN 'timing_iou' END) AS failed_gates,
+  wer + 0.35::DOUBLE * cer + 0.15::DOUBLE * (1 - glossary_term_recall) + 0.15::DOUBLE * (1 - number_recall) + 0.05::DOUBLE * (1 - punctuation_f1) + 0.10::DOUBLE * (1 - timing_iou) AS score FROM ev)"""
+SQL_WINNERS = "w AS (SELECT job_id, candidate FROM gd WHERE failed_gates = '' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY wer, candidate <> 'native', score, candidate) = 1)"
 
 METRICS = ("wer", "cer", "glossary_term_recall", "number_recall", "punctuation_f1", "timing_iou")
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_EVALUATED} SELECT job_id, candidate, " + ", ".join(f"round({m}, 6)::DOUBLE AS {m}" for m in METRICS) + " FROM ev")
 def evaluate_candidates(spark, sf_dir):
     return _evaluations(spark, sf_dir).select("job_id", "candidate", *[F.round(m, 6).alias(m) for m in METRICS])
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_EVALUATED}, {SQL_GATES} SELECT job_id, candidate, failed_gates, round(score, 6) AS score, CASE WHEN failed_gates = '' THEN 'eligible' ELSE 'rejected' END AS status FROM gd")
 def candidate_gates(spark, sf_dir):
     return metrics.gated(_evaluations(spark, sf_dir)).select("job_id", "candidate", F.array_join("failed_gates", ",").alias("failed_gates"), F.round("score", 6).alias("score"), "status")
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_EVALUATED}, {SQL_GATES}, {SQL_WINNERS} SELECT j.job_id, w.candidate AS selected, CASE WHEN j.n < 2 THEN 'ASR_CANDIDATES_INSUFFICIENT' WHEN w.candidate IS NULL THEN 'ASR_QUALITY_GATES_FAILED' END AS code FROM (SELECT job_id, count(*) AS n FROM gd GROUP BY job_id) j LEFT JOIN w USING (job_id)")
 def select_winner(spark, sf_dir):
     return metrics.select_winner(_evaluations(spark, sf_dir))
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import sys
+from pathlib import Path
 
 from captionloom.plans import ledger
 from captionloom.plans.config import ConfigError, load_config
 from captionloom.plans.engine import Engine, StageBlocked, plan
-from captionloom.sources.artifacts import SensitiveDataError, Workspace
+from captionloom.sources.artifacts import SensitiveDataError, Workspace, file_hashes
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "run":
             c.add_argument("--stages", default="")
             c.add_argument("--dry-run", action="store_true")
+            c.add_argument("--resume", action="store_true")
     return out
 
 
@@ -47,11 +50,29 @@ def act(args: argparse.Namespace, stages: dict | None = None) -> dict:
             return {"job_id": args.job_id, "stages": names}
     from captionloom.session import build_session
 
-    engine = Engine(build_session(), str(space.root / "logs"), stages or {}, config.single)
+    engine = _engine(build_session(), config, space, args.job_id, stages or {})
     if args.command == "status":
         found = [r.asDict() for r in engine.status().collect()]
         return {"job_id": args.job_id, "jobs": found}
-    return {"job_id": args.job_id, "stages": engine.run(names)}
+    return {"job_id": args.job_id, "stages": engine.run(names, resume=getattr(args, "resume", False))}
+
+
+def _engine(spark, config, space: Workspace, job_id: str, stages: dict) -> Engine:
+    """An engine for one job's workspace, which knows the job's source if it was ingested."""
+    from pyspark.sql import functions as F
+
+    def present(spark):
+        files = file_hashes(spark, str(space.root))
+        path = F.regexp_replace(files["path"], "^file:/+", "/")
+        return files.select(F.lit(job_id).alias("job_id"), F.substring(path, len(str(space.root)) + 2, 1 << 20).alias("path"), "sha256")
+
+    jobs = spark.createDataFrame([(job_id,)], "job_id string")
+    digest = hashlib.sha256(Path(config.path).read_bytes()).hexdigest()
+    engine = Engine(spark, str(space.root / "logs"), stages, config.single, jobs, present, digest)
+    if (space.root / "source" / "discovery.json").exists() and engine.records().filter("stage = 'acquire'").isEmpty():
+        receipt = space.read_json("source/discovery.json")
+        engine.acquired(spark.createDataFrame([(job_id, receipt["source_path"], receipt["bytes"], receipt["sha256"])], "job_id string, path string, bytes long, sha256 string"))
+    return engine
 
 
 def main(argv: list[str] | None = None, stages: dict | None = None) -> int:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from captionloom import schemas
 from captionloom.plans import ledger
 
-Stage = Callable[[SparkSession], DataFrame]
+#: A stage: (session, the jobs to do as (job_id)) -> what it made as (job_id, path, bytes, sha256).
+Stage = Callable[[SparkSession, DataFrame], DataFrame]
+
+#: What is on the jobs' disks now: session -> (job_id, path, sha256), paths as in the stages' outputs.
+Present = Callable[[SparkSession], DataFrame]
 
 
 class StageBlocked(RuntimeError):
@@ -47,47 +53,105 @@ def plan(single: bool, stages: list[str] | None = None) -> list[str]:
 
 
 class Engine:
-    """Stages are functions returning DataFrames of outputs (job_id, path, bytes, sha256); records go to a table.
+    """Runs stages for many jobs at once and records each job's state in a table, the ledger.
 
-    One run covers all jobs of a stage, also those that the ledger's queries would let resume; the context is not recorded.
+    `jobs` (job_id) are all there are; without it, those of the ledger. A stage is recorded as running,
+    then as complete with its outputs and the context that it ran under, or as blocked with a code. With
+    `resume`, a stage does the jobs alone whose records the ledger finds no longer valid: whose outputs
+    changed or are gone, whose configuration or context files changed, or before which a stage ran anew.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, stages: dict[str, Stage], single: bool = True):
+    def __init__(self, spark: SparkSession, folder: str, stages: dict[str, Stage], single: bool = True, jobs: DataFrame | None = None, present: Present | None = None, config_sha256: str = ""):
         self.spark, self.folder, self.stages, self.single = spark, folder.rstrip("/"), stages, single
+        self.given, self.present, self.config_sha256 = jobs, present, config_sha256
 
     def records(self) -> DataFrame:
+        schema = f"{schemas.STAGE_STATE}, recorded_at string"
         try:
-            return self.spark.read.schema(f"{schemas.STAGE_STATE}, recorded_at string").json(f"{self.folder}/records")
-        except Exception as e:  # the folder appears with the first record
+            return self.spark.read.schema(schema).json(f"{self.folder}/records")
+        except AnalysisException as e:  # the folder appears with the first record
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], f"{schemas.STAGE_STATE}, recorded_at string")
-
-    def _record(self, rows: DataFrame) -> None:
-        rows.withColumn("recorded_at", F.lit(datetime.now(UTC).isoformat())).write.mode("append").json(f"{self.folder}/records")
+            return self.spark.createDataFrame([], schema)
+
+    def jobs(self) -> DataFrame:
+        return (self.records() if self.given is None else self.given).select("job_id").distinct()
+
+    def files(self) -> DataFrame:
+        return self.spark.createDataFrame([], "job_id string, path string, sha256 string") if self.present is None else self.present(self.spark)
+
+    def contexts(self, jobs: DataFrame) -> DataFrame:
+        """(job_id, stage, context_sha256) of all stages, after the files that are there now."""
+        wanted = sorted({p for files in ledger.CONTEXT_FILES.values() for p in files})
+        have = self.files().filter(F.col("path").isin(wanted)).groupBy("job_id").agg(F.map_from_entries(F.collect_set(F.struct("path", "sha256"))).alias("_have"))
+        both = jobs.join(have, "job_id", "left")
+        now = {p: F.try_element_at("_have", F.lit(p)) for p in wanted}
+        made = [F.struct(F.lit(s).alias("stage"), ledger.context_hash(s, F.lit(self.config_sha256), now).alias("context_sha256")) for s in ("acquire", *ledger.ALL_STAGES)]
+        return both.select("job_id", F.explode(F.array(*made)).alias("c")).select("job_id", "c.*")
+
+    def resumable(self) -> DataFrame:
+        """(job_id, stage, resumable) for the ledger's jobs."""
+        latest = ledger.latest_state(self.records())
+        # The source is what it is, whatever the configuration.
+        contexts = self.contexts(self.jobs()).filter("stage != 'acquire'")
+        return ledger.resume_decisions(ledger.own_records_valid(latest, self.files(), contexts), self.single)
+
+    def acquired(self, outputs: DataFrame) -> None:
+        """Record the jobs' sources (job_id, path, bytes, sha256), which every chain of stages starts from."""
+        self._complete("acquire", outputs, outputs.select("job_id").distinct(), _now())
+
+    def _record(self, rows: DataFrame, stage: str, status: str, **given: Column | str | None) -> None:
+        """Append a row for each job; what is not given is null."""
+        none = F.lit(None)
+        columns = {"stage": F.lit(stage), "status": F.lit(status), "recorded_at": F.lit(_now())} | {k: v if isinstance(v, Column) else F.lit(v) for k, v in given.items()}
+        schema = StructType.fromDDL(f"{schemas.STAGE_STATE}, recorded_at string")
+        rows.select(*[F.col("job_id") if f.name == "job_id" else columns.get(f.name, none).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").json(f"{self.folder}/records")
+
+    def _complete(self, stage: str, made: DataFrame, jobs: DataFrame, started: str) -> None:
+        outputs = made.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("_outputs"))
+        rows = outputs.join(self.contexts(jobs).filter(F.col("stage") == stage).select("job_id", "context_sha256"), "job_id", "left")
+        self._record(rows, stage, "complete", started_at=started, completed_at=_now(), context_sha256=F.col("context_sha256"), outputs=F.col("_outputs"))
 
     def _events(self, stage: str, status: str, code: str | None = None) -> None:
-        self.spark.createDataFrame([(stage, status, code)], "stage string, status string, code string").write.mode("append").json(f"{self.folder}/events")
+        self.spark.createDataFrame([(stage, status, code, _now())], "stage string, status string, code string, at string").write.mode("append").json(f"{self.folder}/events")
 
-    def run(self, stages: list[str] | None = None, dry_run: bool = False) -> list[str]:
-        """The stages that ran. A stage that fails is recorded as blocked under its code and raises StageBlocked."""
+    def run(self, stages: list[str] | None = None, dry_run: bool = False, resume: bool = False) -> list[str]:
+        """The stages that ran for any job. A stage that fails is recorded as blocked under its code and raises StageBlocked."""
         names = plan(self.single, stages)
         if dry_run:
             return names
+        ran = []
         for name in names:
+            jobs = self.jobs()
+            if resume:
+                jobs = jobs.join(self.resumable().filter((F.col("stage") == name) & F.col("resumable")), "job_id", "left_anti")
+                if jobs.isEmpty():
+                    continue
+            # What is to be done is fixed before the records change.
+            todo = self._fixed(jobs, name)
+            started = _now()
+            self._record(todo, name, "running", started_at=started)
             self._events(name, "running")
             try:
-                made = self.stages[name](self.spark)
-                now = datetime.now(UTC).isoformat()
-                none = F.lit(None).cast("string")
-                outputs = made.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("outputs"))
-                self._record(outputs.select("job_id", F.lit(name).alias("stage"), F.lit("complete").alias("status"), F.lit(now).alias("started_at"), F.lit(now).alias("completed_at"), none.alias("failed_at"), none.alias("code"), none.alias("context_sha256"), "outputs"))
+                self._complete(name, self.stages[name](self.spark, todo), todo, started)
             except Exception as e:
                 code = e.code if isinstance(e, StageBlocked) else next((c for kind, c in CODES if isinstance(e, kind)), "INTERNAL_FAILURE")
+                self._record(todo, name, "blocked", started_at=started, failed_at=_now(), code=code)
                 self._events(name, "blocked", code)
                 raise StageBlocked(code) from e
             self._events(name, "complete")
-        return names
+            ran.append(name)
+        return ran
+
+    def _fixed(self, jobs: DataFrame, stage: str) -> DataFrame:
+        """jobs, written to the ledger's folder and read back."""
+        path = f"{self.folder}/todo/{stage}"
+        jobs.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(jobs.schema).parquet(path)
 
     def status(self) -> DataFrame:
         return ledger.overall_status(ledger.latest_state(self.records()))
+
+
+def _now() -> str:
+    return datetime.now(UTC).isoformat()

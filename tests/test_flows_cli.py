@@ -86,3 +86,22 @@ def test_cli(tmp_path, capsys, spark):
     assert cli.main(["ingest", *common, str(tmp_path / "v.mp4")]) == 0 and str(tmp_path) not in capsys.readouterr().out
     assert cli.main(["ingest", *common, str(tmp_path / "none.mp4")]) == 2 and json.loads(capsys.readouterr().err) == {"error": "LOCAL_IO_FAILURE"}
     assert cli.main(["run", *common, "--stages", "nothing"]) == 2 and json.loads(capsys.readouterr().err) == {"error": "UNKNOWN_STAGE"}
+
+
+def test_cli_runs_and_resumes_stages(tmp_path, capsys, spark):
+    file = tmp_path / "c.toml"
+    file.write_text(CONFIG.format(root=tmp_path / "jobs"))
+    common = ["--config", str(file), "--job-id", "j2"]
+    (tmp_path / "v.mp4").write_bytes(b"media")
+    assert cli.main(["ingest", *common, str(tmp_path / "v.mp4")]) == 0
+    audio = tmp_path / "jobs" / "j2" / "audio" / "a.wav"
+
+    def normalize(s, jobs):
+        audio.write_bytes(b"sound")
+        return jobs.selectExpr("job_id", "'audio/a.wav' AS path", "5L AS bytes", "sha2('sound', 256) AS sha256")
+
+    run = lambda *more: (capsys.readouterr(), cli.main(["run", *common, "--stages", "normalize", *more], {"normalize": normalize}), json.loads(capsys.readouterr().out)["stages"])[1:]
+    assert run("--resume") == (0, ["normalize"]) and run("--resume") == (0, []) and run() == (0, ["normalize"])
+    audio.write_bytes(b"other")
+    assert run("--resume") == (0, ["normalize"])
+    assert cli.main(["status", *common]) == 0 and json.loads(capsys.readouterr().out)["jobs"] == [{"job_id": "j2", "status": "in_progress"}]

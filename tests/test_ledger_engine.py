@@ -137,17 +137,59 @@ def test_engine(spark, tmp_path):
     assert plan(True)[0] == "normalize" and len(plan(True)) == 7 and len(plan(False)) == 9
     with pytest.raises(StageBlocked, match="UNKNOWN_STAGE"):
         plan(True, ["nothing"])
-    done = lambda s: s.createDataFrame([("j", "out", 1, "h")], "job_id string, path string, bytes bigint, sha256 string")
+    done = lambda s, jobs: jobs.selectExpr("job_id", "'out' AS path", "1L AS bytes", "'h' AS sha256")
 
-    def broken(_):
+    def broken(_, jobs):
         raise ProviderError("no")
 
-    e = Engine(spark, str(tmp_path), {s: done for s in ledger.ALL_STAGES} | {"translate": broken})
+    e = Engine(spark, str(tmp_path), {s: done for s in ledger.ALL_STAGES} | {"translate": broken}, jobs=spark.createDataFrame([("j",)], "job_id string"))
     assert e.run(dry_run=True) == list(ledger.DEFAULT_STAGES)
     assert e.run(["normalize", "manifest"]) == ["normalize", "manifest"] and e.status().first().status == "complete"
     with pytest.raises(StageBlocked) as caught:
         e.run(["translate"])
-    assert caught.value.code == "PROVIDER_FAILURE"
+    assert caught.value.code == "PROVIDER_FAILURE" and e.status().first().status == "blocked"
+    last = {r.stage: r for r in ledger.latest_state(e.records()).collect()}
+    assert (last["translate"].status, last["translate"].code) == ("blocked", "PROVIDER_FAILURE") and last["translate"].failed_at > last["translate"].started_at
+    assert last["manifest"].status == "complete" and last["manifest"].started_at < last["manifest"].completed_at and len(last["manifest"].context_sha256) == 64
+
+
+def test_engine_resumes_what_is_still_valid(spark, tmp_path):
+    """Files of two jobs as a table; what a stage does is told by what it is given."""
+    disk = {(j, "source/v.mp4"): f"source of {j}" for j in "ab"}
+    did = []
+
+    def stage(name):
+        def run(s, jobs):
+            mine = sorted(r.job_id for r in jobs.collect())
+            did.append((name, "".join(mine)))
+            for j in mine:
+                disk[j, f"out/{name}"] = f"{name} of {j} {len(did)}"
+            return s.createDataFrame([(j, f"out/{name}", 1, disk[j, f"out/{name}"]) for j in mine], "job_id string, path string, bytes bigint, sha256 string")
+
+        return run
+
+    present = lambda s: s.createDataFrame([(j, p, h) for (j, p), h in disk.items()], "job_id string, path string, sha256 string")
+    stages = {s: stage(s) for s in ledger.ALL_STAGES}
+    make = lambda config="one": Engine(spark, str(tmp_path), stages, True, spark.createDataFrame([("a",), ("b",)], "job_id string"), present, config)
+    some = ["normalize", "transcribe", "translate"]
+    e = make()
+    e.acquired(spark.createDataFrame([(j, "source/v.mp4", 1, f"source of {j}") for j in "ab"], "job_id string, path string, bytes bigint, sha256 string"))
+    assert e.run(some, resume=True) == some and did == [(s, "ab") for s in some]
+    did.clear()
+    assert make().run(some, resume=True) == [] and did == []
+    disk["b", "out/transcribe"] = "changed"
+    assert make().run(some, resume=True) == ["transcribe", "translate"] and did == [("transcribe", "b"), ("translate", "b")]
+    did.clear()
+    disk["a", "asr/reference.json"] = "new"  # what translating looks at
+    assert make().run(some, resume=True) == ["translate"] and did == [("translate", "a")]
+    did.clear()
+    assert make("two").run(some[:1], resume=True) == some[:1] and did == [("normalize", "ab")]
+    did.clear()
+    e = make("two")
+    e.acquired(spark.createDataFrame([("a", "source/v.mp4", 1, "source of a")], "job_id string, path string, bytes bigint, sha256 string"))
+    assert e.run(["normalize"], resume=True) == ["normalize"] and did == [("normalize", "a")]  # the source came anew
+    did.clear()
+    assert make("two").run(["normalize"]) == ["normalize"] and did == [("normalize", "ab")]
 
 
 def test_providers(spark):

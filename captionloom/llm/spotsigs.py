@@ -14,15 +14,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from captionloom.llm.common import map_columns, prepare
+from captionloom.llm.common import map_columns, prepare, scratch
 
 CHAIN = 2
 
+#: Likeness below this counts as none, where no other threshold is given.
+FLOOR = 0.05
+
 #: Documents in a stretch that one task sorts.
 STRETCH = 10_000
 
@@ -101,30 +104,89 @@ def length_class(n: int, threshold: float) -> int:
     return int(math.log(max(1, n)) / -math.log(threshold)) if threshold < 1 else n
 
 
-def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
-    """Jaccard similarity of two fingerprints; 0 as soon as their lengths put it below the threshold. Two empty ones are alike."""
+def likeness(a: np.ndarray, b: np.ndarray, threshold: float = FLOOR) -> float:
+    """Jaccard similarity of two fingerprints if it reaches the threshold, else 0. Two empty ones are alike.
+
+    Sets of partitions that are no neighbours are not compared. The others are, in ranges of values: what
+    is common so far and the smaller rest of each range bound the overlap, and the comparison stops once
+    that is less than the threshold takes.
+    """
     small, large = sorted((len(a), len(b)))
     if not large:
         return 1.0
-    if small < threshold * large or threshold and abs(length_class(small, threshold) - length_class(large, threshold)) > 1:
+    if threshold and (not small or abs(length_class(small, threshold) - length_class(large, threshold)) > 1):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (small + large - both)
+    wanted = threshold / (1 + threshold) * (small + large) - 1e-9
+    parts = min(8, 1 + large // 256)
+    edges = np.array([k * (1 << 32) // parts for k in range(1, parts)], np.uint64)
+    at, bt = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (a, b))
+    rest = np.minimum(np.diff(at), np.diff(bt))
+    both, open_ = 0, int(rest.sum())
+    for k in range(parts):
+        if both + open_ < wanted:
+            return 0.0
+        open_ -= int(rest[k])
+        if rest[k]:
+            both += len(np.intersect1d(a[at[k] : at[k + 1]], b[bt[k] : bt[k + 1]], assume_unique=True))
+    return both / (small + large - both) if both >= wanted else 0.0
+
+
+def like_fingerprints(docs: DataFrame, queries: Column, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, other_id, likeness): for each row that `queries` selects, all other rows at least so like it.
+
+    Texts of one fingerprint are one class, searched for once. Classes are keyed by the partition of their
+    set length and by the signatures of which two like sets must share one: the first n - ceil(t n) + 1 in
+    order. A query looks into its own partition and both neighbours; what it meets is compared by
+    likeness(). Rows without doc_id take no part; two empty fingerprints are alike; an empty table
+    gives none.
+    """
+    made = scratch(fingerprints(docs.filter("doc_id is not null").withColumn("_asks", F.coalesce(queries, F.lit(False))), "_asks"), "fingerprints")
+    classes = made.groupBy("fingerprint").agg(F.max("_asks").alias("asks"))
+
+    def keys():
+        def f(fingerprint, asks):
+            out = [[], [], [], []]
+            for text, ask in zip(fingerprint, asks, strict=True):
+                x = from_text(text)
+                own = length_class(len(x), threshold)
+                first = x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1].tolist() or [-1]
+                for role, near in ((False, (own,)), *([(True, (own - 1, own, own + 1))] if ask else [])):
+                    for p in near:
+                        for c, v in zip(out, ([text] * len(first), [p] * len(first), first, [role] * len(first)), strict=True):
+                            c.extend(v)
+            return out
+
+        return f
 
+    keyed = scratch(map_columns(classes, keys, "fingerprint string, part int, signature long, asks boolean"), "signatures")
+    asked = keyed.filter("asks").select(F.col("fingerprint").alias("asked"), "part", "signature")
+    met = keyed.filter("not asks").select("fingerprint", "part", "signature").join(asked, ["part", "signature"]).select("asked", "fingerprint").distinct()
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_signatures, fingerprint) of each whole text; repeated rows get equal ones, an empty table none."""
+    def compare():
+        return lambda asked, fingerprint: [asked, fingerprint, [likeness(from_text(a), from_text(b), threshold) for a, b in zip(asked, fingerprint, strict=True)]]
+
+    like = map_columns(met, compare, "asked string, fingerprint string, likeness double").filter(F.col("likeness") >= threshold)
+    found = like.join(made.filter("_asks").select("doc_id", F.col("fingerprint").alias("asked"), F.col("row").alias("_a")), "asked").join(made.select(F.col("doc_id").alias("other_id"), "fingerprint", F.col("row").alias("_b")), "fingerprint")
+    return found.filter("_a != _b").select("doc_id", "other_id", "likeness")
+
+
+def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, n_signatures, fingerprint) of each whole text; repeated rows get equal ones, an empty table none.
+
+    With boolean columns to `carry`, these and `row`, a number of the row, come too.
+    """
 
     def make():
         hasher = Hasher()
 
-        def f(doc, text):
+        def f(doc, text, *more):
             made = [signatures(t, hasher) for t in text]
-            return [doc, [len(m) for m in made], [to_text(m) for m in made]]
+            return [doc, [len(m) for m in made], [to_text(m) for m in made], *more]
 
         return f
 
-    return map_columns(docs.select("doc_id", "text"), make, "doc_id long, n_signatures long, fingerprint string")
+    got = map_columns(docs.select("doc_id", "text", *carry), make, "".join(["doc_id long, n_signatures long, fingerprint string", *[f", {c} boolean" for c in carry]]))
+    return got.withColumn("row", F.monotonically_increasing_id()) if carry else got
 
 
 def with_neighbours(docs: DataFrame, fn, schema: str) -> DataFrame:
@@ -185,10 +247,12 @@ def _deal(rows: DataFrame, cuts: np.ndarray, heads: dict[int, int | None] | None
 
 
 def edit_digests(docs: DataFrame) -> DataFrame:
-    """Fingerprints of texts and of their edited texts, and how alike they are.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each of docs.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all)
-    of the next document's. Null texts are empty ones; equal texts have equal fingerprints.
+    of the next document's. Likeness below FLOOR is 0. Null texts are empty ones; equal texts have equal
+    fingerprints; equal doc_ids follow each other in order of their texts' hashes, nulls come last; an
+    empty table gives none; other columns are left out.
     """
 
     def make():

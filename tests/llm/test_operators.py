@@ -193,6 +193,10 @@ def test_spotsigs(docs, rows, empty):
     long = [r for r in got if r.n_chars > 300 and r.doc_id not in (6, None)]
     assert sum(r.near_edited for r in long) / len(long) > 0.4 > 0.2 > sum(r.near_next for r in long if r.near_next < 0.5) / len(long)
     assert spotsigs.edit_digests(empty).count() == spotsigs.fingerprints(empty).count() == 0
+    for r in got:  # through the pruned comparison, against sets
+        x, e = (set(spotsigs.from_text(f).tolist()) for f in (r.fingerprint, r.edited_fingerprint))
+        exact = len(x & e) / len(x | e) if x | e else 1.0
+        assert r.near_edited == pytest.approx(exact if exact >= spotsigs.FLOOR else 0.0)
     a, b = spotsigs.signatures("the quick fox and the lazy dog", spotsigs.Hasher()), spotsigs.signatures("the", spotsigs.Hasher())
     assert spotsigs.likeness(a, b, 0.9) == 0.0 and spotsigs.likeness(a, a, 0.9) == 1.0
 

@@ -331,7 +331,18 @@ def translation_validation(spark, sf_dir):
     return translation.validate_translation(views.in_seconds(segs), views.translations(segs), ["and"])
 
 
-@query()
+#: Words that are no numbers are put out of the way first: then digits joined by single marks are all there is.
+SQL_NUMBERS = r"""
+digits AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[\p{L}\p{M}\p{N}\p{Pc}]*[\p{L}\p{M}\p{Nl}\p{No}\p{Pc}][\p{L}\p{M}\p{N}\p{Pc}]*', 'x', 'g'), '\d+(?:[.,]\d+)*') AS found FROM documents),
+tok AS (SELECT doc_id, t, replace(replace(t, '.', ''), ',', '.') AS x, replace(t, ',', '') AS y FROM (SELECT doc_id, unnest(found) AS t FROM digits)),
+canon AS (SELECT doc_id,
+  CASE WHEN regexp_full_match(x, '\d+(\.\d+)?') THEN regexp_replace(regexp_replace(regexp_replace(x, '^0+(\d)', '\1'), '(\.\d*?)0+$', '\1'), '\.$', '') ELSE 'malformed:' || t END AS a,
+  CASE WHEN regexp_full_match(y, '\d+(\.\d+)?') THEN regexp_replace(regexp_replace(regexp_replace(y, '^0+(\d)', '\1'), '(\.\d*?)0+$', '\1'), '\.$', '') ELSE 'malformed:' || t END AS b FROM tok),
+ca AS (SELECT doc_id, a AS v, count(*) AS m FROM canon GROUP BY ALL), cb AS (SELECT doc_id, b AS v, count(*) AS n FROM canon GROUP BY ALL),
+diff AS (SELECT doc_id, sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0)) AS missing, sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)) AS unexpected FROM ca FULL JOIN cb USING (doc_id, v) GROUP BY doc_id)"""
+
+
+@query(f"WITH {SQL_NUMBERS} SELECT doc_id, len(found)::BIGINT AS n, coalesce(missing, 0)::BIGINT AS missing, coalesce(unexpected, 0)::BIGINT AS unexpected FROM digits LEFT JOIN diff USING (doc_id)")
 def translation_number_diff(spark, sf_dir):
     """Numbers of documents read with either locale's rules: what one reading has beyond the other."""
     d = views.table(spark, sf_dir, "documents").select("doc_id", numbers(F.col("text"), "decimal_comma").alias("a"), numbers(F.col("text"), "decimal_point").alias("b"))
@@ -344,10 +355,11 @@ def glossary_presence(spark, sf_dir):
     return views.segments(spark, sf_dir).select("job_id", "seq", "text", terms.alias("term")).select("job_id", "seq", "term", contains_term(F.col("text"), F.col("term")).alias("present"))
 
 
-#: Words cut to a line's width, then a line filled word by word; finished lines stand before it in the same string.
-SQL_WRAP = f"""
+def _sql_wrap(table: str) -> str:
+    """Words cut to a line's width, then a line filled word by word; finished lines stand before it in the same string."""
+    return f"""
 cut AS (SELECT job_id, seq, unnest(list_transform(range(0, greatest((length(w) - 1) // {POLICY.max_chars_per_line}, 0) + 1), lambda x: substr(w, x * {POLICY.max_chars_per_line} + 1, {POLICY.max_chars_per_line}))) AS piece, n, unnest(range(0, greatest((length(w) - 1) // {POLICY.max_chars_per_line}, 0) + 1)) AS m
-  FROM (SELECT job_id, seq, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS n FROM (SELECT job_id, seq, list_filter(regexp_split_to_array(text, '[\\s\\x{{85}}\\x0b\\x1c-\\x1f\\p{{Z}}]+'), lambda x: x <> '') AS ws FROM seg))),
+  FROM (SELECT job_id, seq, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS n FROM (SELECT job_id, seq, list_filter(regexp_split_to_array(text, '[\\s\\x{{85}}\\x0b\\x1c-\\x1f\\p{{Z}}]+'), lambda x: x <> '') AS ws FROM {table}))),
 piece AS MATERIALIZED (SELECT job_id, seq, piece, row_number() OVER (PARTITION BY job_id, seq ORDER BY n, m) AS i FROM cut),
 fill(job_id, seq, i, text, width) AS (SELECT job_id, seq, i, piece, length(piece) FROM piece WHERE i = 1 UNION ALL
   SELECT f.job_id, f.seq, p.i, CASE WHEN f.width + 1 + length(p.piece) <= {POLICY.max_chars_per_line} THEN f.text || ' ' || p.piece ELSE f.text || chr(10) || p.piece END,
@@ -355,7 +367,8 @@ fill(job_id, seq, i, text, width) AS (SELECT job_id, seq, i, piece, length(piece
 filled AS (SELECT job_id, seq, arg_max(text, i) AS text FROM fill GROUP BY job_id, seq)"""
 
 
-@query(f"WITH RECURSIVE {SQL_SEGMENTS}, {SQL_WRAP} SELECT job_id, seq, CASE WHEN f.text IS NULL THEN 0 ELSE len(string_split(f.text, chr(10))) END::BIGINT AS n_lines, coalesce(list_max(list_transform(string_split(f.text, chr(10)), lambda x: length(x))), 0)::BIGINT AS longest, md5(coalesce(f.text, '')) AS digest FROM seg LEFT JOIN filled f USING (job_id, seq)")
+
+@query(f"WITH RECURSIVE {SQL_SEGMENTS}, {_sql_wrap('seg')} SELECT job_id, seq, CASE WHEN f.text IS NULL THEN 0 ELSE len(string_split(f.text, chr(10))) END::BIGINT AS n_lines, coalesce(list_max(list_transform(string_split(f.text, chr(10)), lambda x: length(x))), 0)::BIGINT AS longest, md5(coalesce(f.text, '')) AS digest FROM seg LEFT JOIN filled f USING (job_id, seq)")
 def wrap_lines(spark, sf_dir):
     lines = cue_ops.wrap_lines(F.col("text"), POLICY.max_chars_per_line)
     rows = views.segments(spark, sf_dir).select("job_id", "seq", lines.alias("lines"))
@@ -383,12 +396,40 @@ def _cues(spark, sf_dir):
     return cue_ops.build_cues(views.translations(segs), views.durations(segs), POLICY), segs
 
 
-@query()
+#: Merged segments with their chunks, then one after the other: where it starts depends on where the last one ended.
+SQL_LAYOUT = f"""{SQL_DURATION}, {SQL_MERGE},
+merged AS (SELECT job_id, seq, arg_max(s, r) AS s, arg_max(e, r) AS e, arg_max(text, r) AS text FROM walk GROUP BY job_id, seq),
+{_sql_wrap('merged')},
+line AS (SELECT job_id, seq, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM filled),
+chunk AS (SELECT job_id, seq, n // {POLICY.max_lines} AS k, string_agg(line, chr(10) ORDER BY n) AS text, greatest(1, sum(length(line)))::DOUBLE AS size FROM line GROUP BY ALL),
+whole AS (SELECT job_id, seq, list(text ORDER BY k) AS texts, list(size ORDER BY k) AS sizes, sum(size) AS total FROM chunk GROUP BY ALL),
+block AS MATERIALIZED (SELECT job_id, seq, s, least(e, duration) AS e, texts, sizes, total, len(sizes) AS n, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS r FROM whole JOIN merged USING (job_id, seq) JOIN dur USING (job_id)),
+place(job_id, r, ended, begins, lens) AS (SELECT DISTINCT job_id, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE[] FROM block UNION ALL
+  SELECT job_id, r, CASE WHEN fits THEN least(e, begins + list_sum(lens) + {POLICY.minimum_gap_seconds}::DOUBLE * (n - 1)) ELSE ended END, begins, CASE WHEN fits THEN lens END FROM (
+    SELECT *, list_transform(range(1, n + 1), lambda i: shares[i] - CASE WHEN excess > 0 THEN least(greatest(0.0::DOUBLE, shares[i] - {POLICY.min_cue_seconds}::DOUBLE), greatest(0.0::DOUBLE, excess
+      - coalesce(list_sum(list_transform(list_filter(range(1, n + 1), lambda j: shares[j] > shares[i] OR shares[j] = shares[i] AND j < i), lambda j: greatest(0.0::DOUBLE, shares[j] - {POLICY.min_cue_seconds}::DOUBLE))), 0.0::DOUBLE))) ELSE 0.0::DOUBLE END) AS lens FROM (
+    SELECT *, list_sum(shares) - room AS excess FROM (
+    SELECT *, list_transform(sizes, lambda x: least({POLICY.max_cue_seconds}::DOUBLE, greatest({POLICY.min_cue_seconds}::DOUBLE, room * x / total))) AS shares, e > begins AND room > 0 AS fits FROM (
+    SELECT *, e - begins - {POLICY.minimum_gap_seconds}::DOUBLE * (n - 1) AS room FROM (
+    SELECT b.*, p.ended, greatest(0.0::DOUBLE, b.s, coalesce(p.ended + {POLICY.minimum_gap_seconds}::DOUBLE, 0.0::DOUBLE)) AS begins FROM place p JOIN block b ON b.job_id = p.job_id AND b.r = p.r + 1)))))),
+shown AS (SELECT job_id, r, begins, e, lens, texts, unnest(range(1, n + 1)) AS i FROM place JOIN block USING (job_id, r) WHERE lens IS NOT NULL),
+made AS (SELECT job_id, r, i, texts[i] AS text, least(e, begins + list_sum(lens[1:i]) + {POLICY.minimum_gap_seconds}::DOUBLE * (i - 1)) AS closes,
+  CASE WHEN i = 1 THEN begins ELSE least(e, begins + list_sum(lens[1:i - 1]) + {POLICY.minimum_gap_seconds}::DOUBLE * (i - 2)) + {POLICY.minimum_gap_seconds}::DOUBLE END AS opens FROM shown),
+laid AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY r, i)::INTEGER AS index, opens, closes, text FROM made)"""
+
+
+@query(f"WITH RECURSIVE {SQL_SEGMENTS}, {SQL_TRANSLATIONS}, {SQL_LAYOUT} SELECT job_id, index, floor(opens * 1000 + 0.0137::DOUBLE)::BIGINT AS start_ms, floor(closes * 1000 + 0.0137::DOUBLE)::BIGINT AS end_ms, md5(text) AS digest FROM laid")
 def build_cues(spark, sf_dir):
-    return _cues(spark, sf_dir)[0].select("job_id", "index", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.md5("text").alias("digest"))
+    """Times in whole milliseconds; cues may begin half-way between two, so some hundredths are added before the rest is cut."""
+    ms = lambda c: _long(F.floor(F.col(c) * 1000 + 0.0137))
+    return _cues(spark, sf_dir)[0].select("job_id", "index", ms("start").alias("start_ms"), ms("end").alias("end_ms"), F.md5("text").alias("digest"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SQL_SEGMENTS}, {SQL_TRANSLATIONS}, {SQL_LAYOUT}, "
+    "said AS (SELECT job_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY seq), '\\s+', ' ', 'g')) AS a FROM tr GROUP BY job_id), seen AS (SELECT job_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY index), '\\s+', ' ', 'g')) AS b FROM laid GROUP BY job_id) "
+    "SELECT job_id, coalesce(a, '') = coalesce(b, '') AS covered FROM said FULL JOIN seen USING (job_id)"
+)
 def cue_coverage(spark, sf_dir):
     made, segs = _cues(spark, sf_dir)
     return cue_ops.text_coverage(views.translations(segs), made)
@@ -564,8 +605,12 @@ def stream_event_windows(spark, sf_dir):
     return made.select("stage", F.unix_micros("start").alias("start_us"), "events", "blocked")
 
 
-@query()
-def near_copy_cer(spark, sf_dir):
+@query(
+    f"WITH {SQL_SEGMENTS}, folded AS (SELECT job_id, seq, array_to_string({TOKENS.format('text')}, '') AS y FROM seg), pairs AS (SELECT job_id, seq, lag(y) OVER (PARTITION BY job_id ORDER BY seq) AS x, y FROM folded), "
+    "beyond AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS far FROM (SELECT DISTINCT unnest(string_split(y, '')) AS c FROM folded) WHERE strlen(c) > 1), pool AS (SELECT far, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~', 1, length(far)) AS near FROM beyond) "
+    "SELECT job_id, seq, levenshtein(translate(x, far, near), translate(y, far, near))::BIGINT AS distance FROM pairs, pool WHERE x IS NOT NULL"
+)
+def consecutive_turns_cer(spark, sf_dir):
     """Character distance of consecutive turns of a conversation, folded: a check on many short pairs."""
     segs = views.segments(spark, sf_dir).select("job_id", "seq", F.array_join(tokens(F.col("text")), "").alias("t"))
     before = F.lag("t").over(Window.partitionBy("job_id").orderBy("seq"))

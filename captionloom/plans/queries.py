@@ -11,7 +11,7 @@ from captionloom.functions import redaction
 from captionloom.functions.text import char_distance, contains_term, format_timestamp, is_blank, numbers, parse_timestamp, tokens
 from captionloom.operators import cues as cue_ops
 from captionloom.operators import intervals, metrics, transcripts, translation
-from captionloom.plans import ledger, views
+from captionloom.plans import ledger, rereads, views
 from captionloom.plans.views import SQL_CANDIDATES, SQL_SEGMENTS, SQL_TRANSLATIONS
 from captionloom.sources import captions
 from captionloom.streaming import events as event_stream
@@ -616,3 +616,64 @@ def consecutive_turns_cer(spark, sf_dir):
     before = F.lag("t").over(Window.partitionBy("job_id").orderBy("seq"))
     pairs = segs.withColumn("p", before).filter("p is not null")
     return pairs.select("job_id", "seq", _long(char_distance(F.col("p"), F.col("t"))).alias("distance"))
+
+
+@query(f"WITH {SQL_SEGMENTS}, {SQL_CUES} SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1)::INTEGER AS seq, 'native-' || row_number() OVER (PARTITION BY job_id ORDER BY seq) AS id, start_ms / 1000.0::DOUBLE AS \"start\", end_ms / 1000.0::DOUBLE AS \"end\", trim(text) AS text, 'native_caption' AS source FROM cue WHERE trim(text) <> ''")
+def native_segments(spark, sf_dir):
+    """Caption files of each job, every other one SRT, read as transcripts."""
+    said = _said(views.segments(spark, sf_dir))
+    even = F.col("job_id").cast("long") % 2 == 0
+    files = captions.render_vtt(said.filter(even), ["job_id"]).withColumn("path", F.lit("source/native.pt-BR.VTT")).union(captions.render_srt(said.filter(~even), ["job_id"]).withColumn("path", F.lit("source/native.srt")))
+    return rereads.native_segments(files, ["job_id"]).select("job_id", F.col("seq").cast("int").alias("seq"), "id", "start", "end", "text", "source")
+
+
+SQL_ATTEMPTS = "att AS (SELECT job_id, candidate, CASE WHEN (d + length(candidate)) % 7 = 0 THEN 'unavailable' WHEN (d + ascii(candidate)) % 5 = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM evals)"
+
+
+def _attempts(spark, sf_dir):
+    d = _simple(spark, sf_dir).select("job_id", "candidate", F.col("job_id").cast("long").alias("d"))
+    outcome = F.when((F.col("d") + F.length("candidate")) % 7 == 0, "unavailable").when((F.col("d") + F.ascii("candidate")) % 5 == 0, "failed").otherwise("ok")
+    return d.select("job_id", "candidate", outcome.alias("outcome"))
+
+
+@query(f"WITH {SQL_GATED}, {SQL_ATTEMPTS} SELECT job_id, candidate, CASE outcome WHEN 'unavailable' THEN 'excluded' WHEN 'failed' THEN 'failed' ELSE CASE WHEN failed_gates = '' THEN 'eligible' ELSE 'rejected' END END AS status FROM att JOIN gd USING (job_id, candidate)")
+def bake_off_status(spark, sf_dir):
+    return rereads.bake_off_status(metrics.gated(_simple(spark, sf_dir)), _attempts(spark, sf_dir))
+
+
+@query(
+    f"WITH {SQL_GATED}, {SQL_ATTEMPTS}, ok AS (SELECT gd.* FROM gd JOIN att USING (job_id, candidate) WHERE outcome = 'ok'), n AS (SELECT job_id, count(*) FILTER (WHERE outcome = 'ok') AS n FROM att GROUP BY job_id), "
+    "w AS (SELECT job_id, candidate FROM ok WHERE failed_gates = '' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY wer, candidate <> 'native', score, candidate) = 1) "
+    "SELECT job_id, CASE WHEN n >= 2 THEN w.candidate END AS selected, CASE WHEN n < 2 THEN 'ASR_CANDIDATES_INSUFFICIENT' WHEN w.candidate IS NULL THEN 'ASR_QUALITY_GATES_FAILED' END AS code FROM n LEFT JOIN w USING (job_id)"
+)
+def bake_off(spark, sf_dir):
+    return rereads.bake_off(metrics.gated(_simple(spark, sf_dir)), _attempts(spark, sf_dir))
+
+
+def _artifacts(spark, sf_dir):
+    """Artifacts of a job for each document, some of them missing, broken or empty."""
+    d = views.table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.col("doc_id").cast("string").alias("job_id"))
+    pick = lambda m, *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("d") % m % len(texts) + 1).cast("int"))
+    row = lambda path, content: d.select("job_id", F.lit(path).alias("path"), content.alias("content"))
+    segment = '{"id": "a", "start": 0, "end": 1, "text": "t"}'
+    files = [
+        row(rereads.CLIPS, pick(3, '{"clips": [{"ordinal": 1, "path": "p", "start": 0.5}]}', '{"clips": []}', "no json")), row(rereads.TRANSLATION, pick(5, f'{{"segments": [{segment}]}}', None, '{"segments": [{"id": "a"}]}', "no json", '{"segments": []}')),
+        row(rereads.SUBTITLES, pick(4, "1\n00:00:00,000 --> 00:00:01,000\nt\n", None, "", "no cue")), row("validation/transcript.json", pick(3, '{"status": "PASS"}', '{"status": "BLOCKED"}', "no json")), row(rereads.SOFT_OUTPUTS[0], pick(2, "x", None)), row(rereads.SOFT_OUTPUTS[1], pick(6, None, "x", None, None, "x", None)),
+    ]
+    out = files[0]
+    for f in files[1:]:
+        out = out.union(f)
+    return d.select("job_id"), out.filter("content is not null")
+
+
+@query(
+    "WITH d AS (SELECT doc_id AS d, doc_id::VARCHAR AS job_id FROM documents WHERE doc_id IS NOT NULL) SELECT job_id, CASE d % 3 WHEN 1 THEN 'EVAL_CLIPS_MISSING' WHEN 2 THEN 'ARTIFACT_INVALID' END AS clips, CASE d % 5 WHEN 1 THEN 'TRANSLATION_MISSING' WHEN 2 THEN 'TRANSLATION_INVALID' WHEN 3 THEN 'ARTIFACT_INVALID' END AS translation, "
+    "CASE d % 4 WHEN 1 THEN 'SUBTITLES_MISSING' WHEN 2 THEN 'SUBTITLES_EMPTY' WHEN 3 THEN 'SUBTITLES_EMPTY' END AS subtitles, CASE d % 3 WHEN 1 THEN 'TRANSCRIPT_NOT_PASSING' WHEN 2 THEN 'ARTIFACT_INVALID' END AS transcript, CASE WHEN (d % 2 = 0)::INT + (d % 6 IN (1, 4))::INT <> 1 THEN 'SOFT_OUTPUT_MISSING' END AS soft FROM d"
+)
+def reread_codes(spark, sf_dir):
+    jobs, files = _artifacts(spark, sf_dir)
+    out = rereads.clip_records(jobs, files)[1].withColumnRenamed("code", "clips")
+    parts = {"translation": rereads.translations(jobs, files)[1], "subtitles": rereads.cues(jobs, files)[1], "transcript": rereads.passing(jobs, files, "validation/transcript.json", "TRANSCRIPT_NOT_PASSING"), "soft": rereads.soft_outputs(jobs, files)}
+    for name, coded in parts.items():
+        out = out.join(coded.select("job_id", F.col("code").alias(name)), "job_id")
+    return out

@@ -148,14 +148,14 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
         return prose() + r.choice(names) + g, body, (g[-1] if g[-1] in "\"'" else r.choice([" ", "\n", " " + word()]))
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(19)
+        kind = r.randrange(20)
         if kind == 18:  # a line of a certificate or of another public block
             return r.choice(["-----BEGIN CERTIFICATE-----\n", "-----BEGIN PUBLIC KEY-----\n", pick(b64, 30) + "\n"]), pick(b64, r.choice([64, 64, 76, r.randint(20, 60)])), "\n" + r.choice([pick(b64, 30), "-----END CERTIFICATE-----", "-----END PUBLIC KEY-----"])
         if kind == 12:
             return r.choice([prose(), " ", " "]), r.choice([str, str.title, str.upper])(term(5, 9))[:30].ljust(12, "e"), r.choice([" ", ", ", ".", ""]) + word()
         if kind == 13:
             return prose() + r.choice(names) + " ", r.choice([str, str.title])(term(1, 6)), r.choice([" ", ", ", "."]) + word()
-        if kind == 14:
+        if kind in (14, 19):
             g = sign()
             return prose() + r.choice(names) + g, r.choice(["None", "null", "true", "false", "string", "String", "undefined", "required", "*" * r.randint(3, 12), "x" * r.randint(3, 20), "$" + term(2, 3).upper(), "${" + term(2, 4).upper(), term(1, 3), str(r.randint(0, 99)), term(1, 3) + "." + term(2, 4), term(1, 2) + "." + term(1, 3) + "("]), closed(g)
         if kind == 15:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionloom.llm import bpe, langid, mixing, ngram_join, quality, secrets, spotsigs, suffix_dedup, token_ids, toxicity
+from captionloom.llm import bpe, divergence, langid, mixing, ngram_join, quality, secrets, spotsigs, suffix_dedup, token_ids, toxicity
 from captionloom.llm.common import documents
 
 
@@ -59,9 +59,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_join(documents(spark, sf_dir))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_secret_scan, op3_suffix_dedup, op4_byte_bpe, op5_token_ids, op6_spotsigs, op7_language_id, op8_toxicity, op9_quality_rules, op10_ngram_jaccard)
+    for f in (op1_mix_sources, op2_secret_scan, op3_suffix_dedup, op4_byte_bpe, op5_token_ids, op6_spotsigs, op7_language_id, op8_toxicity, op9_quality_rules, op10_ngram_jaccard, op13_source_divergence)
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op9_quality_rules": quality.SQL, "op10_ngram_jaccard": ngram_join.SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op9_quality_rules": quality.SQL, "op10_ngram_jaccard": ngram_join.SQL, "op13_source_divergence": divergence.SQL}

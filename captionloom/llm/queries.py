@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionloom.llm import alignment, bpe, divergence, langid, mixing, ngram_join, quality, secrets, spotsigs, suffix_dedup, token_ids, toxicity
+from captionloom.llm import alignment, bpe, divergence, langid, mixing, ngram_join, pitman_yor, quality, secrets, spotsigs, suffix_dedup, token_ids, toxicity
 from captionloom.llm.common import documents
 
 
@@ -65,13 +65,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_secret_scan, op3_suffix_dedup, op4_byte_bpe, op5_token_ids, op6_spotsigs, op7_language_id, op8_toxicity, op9_quality_rules, op10_ngram_jaccard, op11_token_alignment, op13_source_divergence)
+    for f in (op1_mix_sources, op2_secret_scan, op3_suffix_dedup, op4_byte_bpe, op5_token_ids, op6_spotsigs, op7_language_id, op8_toxicity, op9_quality_rules, op10_ngram_jaccard, op11_token_alignment, op12_pitman_yor, op13_source_divergence)
 }
 
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op3_suffix_dedup": suffix_dedup.SQL, "op9_quality_rules": quality.SQL, "op10_ngram_jaccard": ngram_join.SQL, "op13_source_divergence": divergence.SQL}

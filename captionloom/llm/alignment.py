@@ -98,7 +98,7 @@ class Aligner:
         if any(re.search(r"[^▁]▁", p) for _, p in pieces) or "".join(self.b.encode("x  y", out_type=str)) != "▁x▁▁y":
             raise ValueError(f"{path_b} joins words, or does not keep white space")
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.name_a, self.name_b = ([str(i) for i in range(len(t))] for t in (self.bytes_a, self.bytes_b))
+        self.names_a, self.names_b = (np.array([f"{i}{after}" for after in marks for i in range(len(t))], object) for t, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;\n")))
         self.keep = keep
         self.forget()
 
@@ -111,7 +111,7 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         """Align units not known yet, all at once."""
-        ids_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # The model adds the space, but not to an empty text.
         ids_b = [ids or [self.space_b] for ids in self.b.encode([u[1:] for u in new], num_threads=1)]
         raw = [u.encode() for u in new]
@@ -130,14 +130,16 @@ class Aligner:
             codes = flat_a[owner_a[link]] * self.size_b + flat_b[owner_b[link]]
             ends = np.cumsum(size)
             numbers[good, 2], numbers[good, 3] = (np.diff(np.searchsorted(at, ends), prepend=0) for at in (cut, link))
-            first_a, first_b = ([*o[cut].tolist(), len(flat)] for o, flat in ((owner_a, flat_a), (owner_b, flat_b)))
-            named_a, named_b = [self.name_a[i] for i in flat_a.tolist()], [self.name_b[i] for i in flat_b.tolist()]
-            written = [f"{','.join(named_a[first_a[g] : first_a[g + 1]])}|{','.join(named_b[first_b[g] : first_b[g + 1]])}" for g in range(len(cut))]
-            done = 0
-            for k, n in zip(good.tolist(), numbers[good, 2].tolist(), strict=True):
-                groups[k] = ";".join(written[done : done + n]).encode()
-                done += n
-        self.chars += sum(map(len, new))
+            # Each token's name, then what follows it: a comma within a side of a group, a bar, a semicolon or, after a unit, a line's end.
+            group = np.cumsum(moved_a & moved_b) - 1
+            group_a, group_b = (group[np.cumsum(lengths[flat]) - lengths[flat]] for flat, lengths in ((flat_a, self.length_a), (flat_b, self.length_b)))
+            last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
+            after_b = last_b.astype(np.int64)
+            after_b[np.cumsum(numbers[good, 1]) - 1] = 2
+            named = np.concatenate([self.names_a[flat_a + len(self.bytes_a) * last_a], self.names_b[flat_b + self.size_b * after_b]])
+            written = "".join(named[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()).encode().split(b"\n")
+            for k, line in zip(good.tolist(), written, strict=False):  # nothing follows the last line's end
+                groups[k] = line
         self.index.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(numbers[:, 3])])
         self.numbers = np.concatenate([self.numbers, numbers])

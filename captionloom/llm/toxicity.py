@@ -26,7 +26,8 @@ THRESHOLD = 0.7
 ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 32, 15
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"(?<![^\W_])[0-9@$*!|]+[^\W\d_]++(?:[0-9@$*!|.-]+[^\W\d_]++)*[0-9@$*|]*|(?<![^\W\d_])[^\W\d_]++(?:(?:[0-9@$*!|.-]+[^\W\d_]++)+[0-9@$*|]*|[0-9@$*|]+)")
+#: A match begins only where a run of signs or of letters does, and no run is given back: a text is read once, whatever it holds.
+_MASKED = re.compile(r"(?<![^\W_])(?<![@$*!|])[0-9@$*!|]++[^\W\d_]++(?:[0-9@$*!|.-]++[^\W\d_]++)*+[0-9@$*|]*+|(?<![^\W\d_])[^\W\d_]++(?:(?:[0-9@$*!|.-]++[^\W\d_]++)++[0-9@$*|]*+|[0-9@$*|]++)")
 #: Signs that stand for letters in disguised words.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 #: Second-person words in English, French, German and Spanish.
@@ -40,20 +41,43 @@ INSULTS = frozenset(
     "idiota estúpido estúpida imbécil tonto basura escoria patético mierda cabrón asqueroso inútil payaso perdedor".split()
 )
 GIVEN = 4.0
+#: Lengths of the beginnings of words that the lexicon may hold; they are written with a star at the end.
+STEMS = (4, 5, 6, 7)
+#: Words that a worker remembers the weights of.
+REMEMBERED = 300_000
 
-FEATURES = ("log_words", "strong_rate", "strong_log", "strong_kinds", "weak_rate", "weight_rate", "weight_max", "near_second", "second_rate", "capitals", "shouting", "exclaim", "punctuation", "masked_rate", "masked_hits", "stretched")
+FEATURES = ("stem_rate", "stem_log", "stem_kinds", "stem_weight", "log_words", "strong_rate", "strong_log", "strong_kinds", "weak_rate", "weight_rate", "weight_max", "near_second", "second_rate", "capitals", "shouting", "exclaim", "punctuation", "masked_rate", "masked_hits", "stretched")
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """The FEATURES of a text; all zero for null and empty texts."""
-    text = text or ""
+class Weights(dict):
+    """word -> (its log odds or None, its stem's or 0) by a lexicon; bounded."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> tuple[float | None, float]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self.lexicon.get(word), max((self.lexicon.get(f"{word[:n]}*", 0.0) for n in STEMS if len(word) >= n), default=0.0)
+        if len(word) <= 40:
+            self[word] = found
+        return found
+
+
+def features(text: str | None, known: Weights | dict[str, float]) -> list[float]:
+    """The FEATURES of a text by a lexicon; all zero for null and empty texts."""
+    known = known if isinstance(known, Weights) else Weights(known)
+    text, lexicon = text or "", known.lexicon
     raw = _WORD.findall(text)
     n = len(raw)
     if not n:
         return [0.0] * len(FEATURES)
     words = _WORD.findall(text.lower())
-    hits = [i for i, w in enumerate(words) if w in lexicon]
-    weights = [lexicon[words[i]] for i in hits]
+    weighed = list(map(known.__getitem__, words))
+    hits = [i for i, (w, _) in enumerate(weighed) if w is not None]
+    weights = [weighed[i][0] for i in hits]
+    stems = [i for i, (_, w) in enumerate(weighed) if w]
     strong = [words[i] for i, w in zip(hits, weights, strict=True) if w >= 3]
     masked = _MASKED.findall(text.lower())
     found = 0
@@ -72,6 +96,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     upper = sum(w.isupper() and len(w) > 1 for w in raw)
     marks = sum(map(text.count, "!?.,;:"))
     return [
+        100 * len(stems) / n, np.log1p(len(stems)), len({words[i] for i in stems}), sum(weighed[i][1] for i in stems) / n,
         np.log1p(n), 100 * len(strong) / n, np.log1p(len(strong)), len(set(strong)), 100 * (len(hits) - len(strong)) / n, sum(weights) / n, max(weights, default=0.0), 100 * near / n,
         100 * second / n, sum(w[0].isupper() for w in raw) / n, upper / n, 100 * text.count("!") / chars, 100 * marks / chars, 100 * len(masked) / n, np.log1p(found), float(bool(re.search(r"(\w)\1\1\1", text))),
     ]
@@ -193,7 +218,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon = _lexicon(sample.filter("fits"), pos, neg)
 
     def make():
-        return lambda text, toxic, fits: [toxic, fits, [[float(v) for v in features(t, lexicon)] for t in text]]
+        known = Weights(lexicon)
+        return lambda text, toxic, fits: [toxic, fits, [[float(v) for v in features(t, known)] for t in text]]
 
     rows = map_columns(sample.select("text", "toxic", "fits"), make, "toxic int, fits boolean, x array<double>").collect()  # numbers of the bounded sample
     release(sample)
@@ -209,17 +235,32 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _lexicon(sample: DataFrame, pos: int, neg: int) -> dict[str, float]:
-    """Words with log odds of the label: INSULTS, and those of the sample whose document counts differ beyond chance."""
+    """Words with log odds of the label: INSULTS, and those of the sample whose document counts differ beyond chance.
+
+    Beginnings of words are counted as well: an inflected or compounded insult is rare in each of its
+    forms. A stem is kept if more than one word has it, and only the shortest of those found alike.
+    """
 
     def words():
-        return lambda text, toxic: list(zip(*[(w, y) for t, y in zip(text, toxic, strict=True) for w in set(_WORD.findall(t.lower())) if len(w) <= 40], strict=True)) or [[], []]
+        def f(text, toxic):
+            out: tuple[list, list] = ([], [])
+            for t, y in zip(text, toxic, strict=True):
+                found = {w for w in _WORD.findall(t.lower()) if len(w) <= 40}
+                found |= {f"{w[:n]}*" for w in found for n in STEMS if len(w) >= n}
+                out[0].extend(found)
+                out[1].extend([y] * len(found))
+            return out
+
+        return f
 
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))
     counted = map_columns(sample.select("text", "toxic"), words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    tested = counted.filter(F.col("a") >= 4).select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).filter(F.col("z") > 3)
-    learned = {r["word"]: float(r["odds"]) for r in tested.orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()}
-    return dict.fromkeys(INSULTS, GIVEN) | learned
+    tested = counted.filter(F.col("a") >= 4).select("word", "a", "n", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).filter(F.col("z") > 3)
+    stem = F.col("word").endswith("*")
+    learned = {r["word"]: r for kind in (~stem, stem) for r in tested.filter(kind).orderBy(F.desc("z"), F.length("word"), "word").limit(LEXICON_WORDS).collect()}
+    alike = lambda w, r: w.endswith("*") and any((x := learned.get(f"{w[:n]}*")) is not None and (x["a"], x["n"]) == (r["a"], r["n"]) for n in STEMS if n < len(w) - 1)
+    return dict.fromkeys(INSULTS, GIVEN) | {w: float(r["odds"]) for w, r in learned.items() if not alike(w, r)}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,8 +271,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def make():
+        known = Weights(model.lexicon)
+
         def f(doc, text):
-            s = model.score(np.array([features(t, model.lexicon) for t in text]))
+            s = model.score(np.array([features(t, known) for t in text]))
             return [doc, s.tolist(), (s >= THRESHOLD).astype(int).tolist()]
 
         return f

@@ -19,11 +19,11 @@ from captionloom.llm.common import named
 
 CONTEXT = 40
 MASK = "[SECRET]"
-#: A code point that is no character, to mark candidates in a text.
-MARK = "\ufdd0"
+#: Code points that are no characters: to mark candidates in a text, and to write marks that stand there already.
+MARK, ESCAPE, IS_MARK, IS_ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
 #: Names that announce a secret or something else, issuers' prefixes, words of plain text.
-SECRET_NAMES = "token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?secret|secret[_ -]?key"
+SECRET_NAMES = "token|secret|passw(?:or)?d|passwd|passphrase|pass|pwd|account[_ -]?key|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?secret|secret[_ -]?key"
 OTHER_NAMES = "sha(?:1|256)?|md5|commit|checksum|hash|uuid|guid|id|iban|phone|tel|isbn|doi|version|build|url|mail|fax|card"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|xox[abpr]-|AIza|eyJ|SG\\.|npm_|pypi-"
 #: What a candidate with an issuer's mark starts with.
@@ -34,7 +34,8 @@ WORDS = "about access account action address after android answer application ar
 TEST_PATH = "test|spec|example|sample|fixture|mock|doc|readme"
 
 #: Ends of names by length, as look-behinds of one width are all that Python's expressions have: secrets' and others'.
-SECRET_ENDS = {3: "pwd", 4: "auth", 5: "token", 6: "secret|passwd|bearer|apikey", 7: "api[_ -]key", 8: "password", 9: "accesskey|secretkey", 10: "access[_ -]key|secret[_ -]key|privatekey|credential", 11: "private[_ -]key"}
+#: `pass` is one only before a colon or an equals sign.
+SECRET_ENDS = {3: "pwd", 4: "auth|pass(?=[ \"'`]{0,2}[:=])", 5: "token", 6: "secret|passwd|bearer|apikey", 7: "api[_ -]key", 8: "password", 9: "accesskey|secretkey", 10: "access[_ -]key|secret[_ -]key|privatekey|credential|accountkey|passphrase", 11: "private[_ -]key|account[_ -]key"}
 OTHER_ENDS = ("id", "key|md5|url|doi|tel|fax", "sha1|hash|uuid|guid|iban|isbn|mail|card", "build|phone", "sha256|commit", "version", "checksum")
 
 
@@ -51,29 +52,39 @@ def _candidate() -> str:
     """A candidate is one of, all of it and no part:
 
     - a private key's block of lines from BEGIN to END;
-    - after a secret's name and up to six signs between: whatever has no white space, quote or angle
-      bracket, of any length, up to a comma, semicolon or ampersand before the next name;
+    - after a secret's name and any signs between (more than six of them if there is white space):
+      whatever has no white space, quote or angle bracket, of any length, up to a comma, semicolon or
+      ampersand before the next name;
+    - the password in a location with a user's name (`scheme://user:password@host`);
     - a run of key-like characters with an issuer's prefix;
     - any other such run of 12 characters or more, except a name without a digit (left to the context of its value).
 
-    What most places in a text fail comes first: a name's last letter, a prefix's first, the length.
+    Groups 1 and 3 are what stands before a candidate and belongs to the match, groups 2 and 4 then are
+    the candidate; otherwise group 5 is. What most places in a text fail comes first: a name's last letter, a prefix's
+    first, the length.
     """
-    key, inner, signs = r"[A-Za-z0-9+/_\-]", r"[A-Za-z0-9+/_.\-]", "[ :=>\"'`]"
-    free, last = r"[!#-%(-+\--:=?-\[\]-_a-~\u00a1-\u1fff]", r"[!#-%(*+\-/-9=@-\[^_a-|~\u00a1-\u1fff]"
-    block = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:-?[A-Za-z0-9+/=\\:,.() \t\r\n]++){1,9}-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
-    after = "|".join(f"(?<=[DHLNRTYdhlnrty]{signs}{{{k}}})(?:" + "|".join(f"(?<=(?i:{ends}){signs}{{{k}}})" for ends in SECRET_ENDS.values()) + ")" for k in range(1, 7))
-    named = rf"(?<={signs})(?:{after})(?![:=]|(?i:{SECRET_NAMES}){signs}){free}*{last}(?:[,;&](?![A-Za-z0-9_.\-]*=){free}*{last}){{0,20}}"
+    key, inner, signs = r"[A-Za-z0-9+/_\-]", r"[A-Za-z0-9+/_.\-]", "[ \t:=>\"'`]"
+    # Beyond ASCII everything but general and ideographic punctuation.
+    beyond = "\u00a1-\u1fff\u2070-\u2fff\u3040-\ufdcf\ufdd1-\U0010ffff"
+    free, last = r"[!#-%(-+\--:=?-\[\]-_a-~" + beyond + "]", r"[!#-%(*+\-/-9=@-\[^_a-|~" + beyond + "]"
+    block = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[\t\n\r -,.-~]|-(?!----))*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+    after = "|".join(f"(?<=[DEHLNRSTYdehlnrsty]{signs}{{{k}}})(?:" + "|".join(f"(?<=(?i:{ends}){signs}{{{k}}})" for ends in SECRET_ENDS.values()) + ")" for k in range(1, 7))
+    value = rf"(?![:=]|(?i:{SECRET_NAMES}){signs}){free}*{last}(?:[,;&](?![A-Za-z0-9_.\-]*+=){free}*{last})*+"
+    named = rf"(?<={signs})(?:{after}){value}"
+    every = "|".join(f"(?<=(?i:{ends}))" for ends in SECRET_ENDS.values())
+    far = rf"(?<=[DEHLNRSTYdehlnrsty])(?={signs}{{7}})(?:{every}){signs}*+"
+    login = r"://[^\s:/@\"'<>]*+:(?=[^\s/@\"'<>]++@)"
     ends = "".join(f"(?<!(?i:{e}))" for e in SECRET_ENDS.values())
     others = "".join(f"(?<!(?i:{e}))" for e in OTHER_ENDS)
     digit, no_name = r"(?=[A-Za-z+/_.\-]*+[0-9])", rf"(?=[A-Za-z+/_.\-]*+{ends}(?:{others}|(?![\"'`]? ?[:=])))"
     first = "".join(sorted({x[0] for x in PREFIXES.split("|")}))
     run = rf"(?:(?=[{first}])(?:{PREFIXES}){inner}+|(?={key}{inner}{{11}})(?:{digit}|{no_name}){key}{inner}{{11,}})(?<!\.)(?!{key})={{0,2}}"
-    return rf"{block}|{named}|(?<!{key}){run}"
+    return rf"({far})({value})|({login})([^\s/@\"'<>]++)|({block}|{named}|(?<!{key}){run})"
 
 
 CANDIDATE = _candidate()
 
-FEATURES = ("size", "digits", "upper", "lower", "runs", "distinct", "pairs", "plain", "dictionary", "hex", "only_digits", "dots", "dashes", "prefixed", "named", "other", "quoted", "assigned", "mail", "iban", "worded", "test_path")
+FEATURES = ("size", "digits", "upper", "lower", "runs", "distinct", "pairs", "plain", "dictionary", "hex", "only_digits", "dots", "dashes", "prefixed", "named", "other", "quoted", "assigned", "mail", "iban", "worded", "test_path", "login")
 TREES, DEPTH, SEED = 24, 6, 7
 
 #: Bound of the labelled findings that are fitted.
@@ -108,6 +119,7 @@ def _features(c: Column, left: Column, right: Column, path: Column) -> Column:
         "iban": like(c, "^[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{6,}"),
         "worded": like(left, r"[\p{Ll}.,;|] \z"),
         "test_path": like(path, f"(?i)(?:{TEST_PATH})"),
+        "login": flag(left.rlike("://[^\\s:/@]*:\\z") & right.startswith("@")),
     }
     return F.struct(*[made[k].alias(k) for k in FEATURES])
 
@@ -120,18 +132,24 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
     parts = PLAIN.split("|")
     word = lambda lo=1, hi=4: "".join(r.choice(parts) for _ in range(r.randint(lo, hi)))
     prose = lambda: " ".join(word() for _ in range(r.randint(1, 4))) + r.choice([" ", " ", ". ", ", ", "\n", " | "])
-    names = ["token", "secret", "password", "passwd", "pwd", "api_key", "apiKey", "access_key", "auth_token", "client_secret", "private_key", "SECRET_KEY", "bearer"]
+    names = ["pass", "DB_PASS", "passphrase", "AccountKey", "token", "secret", "password", "passwd", "pwd", "api_key", "apiKey", "access_key", "auth_token", "client_secret", "private_key", "SECRET_KEY", "bearer"]
     others = ["sha1", "sha256", "md5", "commit", "checksum", "uuid", "iban", "id", "version", "build", "phone", "isbn", "etag", "color", "size"]
     paths = ["src/main.py", "app/settings.yaml", "src3", "src0", "web", "tests/test_auth.py", "docs/readme.md", "examples/sample.env", ""]
-    glue = lambda: r.choice(["=", " = ", ": ", ":", "=\"", " = \"", ": '", "\": \"", " "])
+    glue = lambda: r.choice(["=", " = ", ": ", ":", "=\"", " = \"", ": '", "\": \"", " ", " " * r.randint(3, 20) + "= "])
 
     syllables = lambda lo, hi: "".join(r.choice("bcdfghjklmnprstvwz") + r.choice("aeiou") + r.choice(["", "", "n", "r", "s", "l"]) for _ in range(r.randint(lo, hi)))
     term = lambda lo, hi: r.choice([word, syllables])(lo, hi)
-    sign = lambda: r.choice(["=", " = ", ": ", ":", "=\"", " = \"", ": '", "\": \""])
+    sign = lambda: r.choice(["=", " = ", ": ", ":", "=\"", " = \"", ": '", "\": \"", " " * r.randint(3, 20) + "= \""])
     closed = lambda g: g[-1] if g[-1] in "\"'" else r.choice([" ", "\n", " " + word()])
 
     def secret() -> tuple[str, str, str]:
-        kind = r.randrange(12)
+        kind = r.randrange(13)
+        if kind == 12:  # in a location, or in another script
+            if r.random() < 0.7:
+                body = r.choice([pick(alnum, r.randint(8, 24)), term(1, 3).title() + pick(string.digits + "!$%*", r.randint(2, 5)) + pick(alnum, 4)])
+                return prose() + r.choice(["postgres", "mysql", "mongodb+srv", "redis", "https", "amqp", "ftp"]) + "://" + r.choice([term(1, 2), "admin", "root", ""]) + ":", body, "@" + term(1, 3) + r.choice([".example.org/x", ":5432/db", "/"])
+            g = sign()
+            return prose() + r.choice(names[4:]) + g, "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(r.randint(2, 6))) + pick(alnum + "!@#", r.randint(3, 8)), closed(g)
         if kind == 0 and r.random() < 0.3:
             name = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY"
             return prose() + "\n", f"-----BEGIN {name}-----\n" + "\n".join(pick(b64, 64) for _ in range(r.randint(2, 12))) + f"\n-----END {name}-----", "\n" + word()
@@ -148,7 +166,9 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
         return prose() + r.choice(names) + g, body, (g[-1] if g[-1] in "\"'" else r.choice([" ", "\n", " " + word()]))
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(20)
+        kind = r.randrange(21)
+        if kind == 20:  # a location with a placeholder
+            return prose() + r.choice(["postgres", "mysql", "redis", "https", "http"]) + "://" + r.choice(["user", "username", "admin", term(1, 2)]) + ":", r.choice(["password", "pass", "pwd", "secret", "xxxx", "****", "$PASSWORD", "${DB_PASS}", "{password}", "%s", "your-password", "changeme", "PASSWORD"]), "@" + r.choice(["localhost", "host", term(1, 3) + ".com"])
         if kind == 18:  # a line of a certificate or of another public block
             return r.choice(["-----BEGIN CERTIFICATE-----\n", "-----BEGIN PUBLIC KEY-----\n", pick(b64, 30) + "\n"]), pick(b64, r.choice([64, 64, 76, r.randint(20, 60)])), "\n" + r.choice([pick(b64, 30), "-----END CERTIFICATE-----", "-----END PUBLIC KEY-----"])
         if kind == 12:
@@ -249,19 +269,28 @@ def _vote(tree, f: Column) -> Column:
 
 
 def judged(docs: DataFrame, trees: list[tuple], path: str | None = "source") -> DataFrame:
-    """docs with `_pieces` (the text between candidates), `_matches` (candidates) and `_found` (array of candidate, score)."""
+    """docs with `_pieces` (the text between candidates), `_matches` (candidates) and `_found` (array of candidate, score).
+
+    Null and empty texts have one empty piece and no candidate; repeated rows are judged alike; an empty
+    table stays empty; texts are read whole, whatever their length; columns of docs so named give way.
+    """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     text = F.coalesce("text", F.lit(""))
     # The expression runs once over a text: candidates are set between marks, and the text is cut at these.
-    # A text that holds the mark itself is cut the long way.
-    matches = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    long_way = F.flatten(F.zip_with(F.split(text, CANDIDATE, -1), F.concat(matches, F.array(F.lit(None).cast("string"))), lambda p, m: F.array(p, m)))
-    marked = F.regexp_replace(text, CANDIDATE, f"{MARK}$0{MARK}")
-    parts = F.when(text.contains(MARK), F.slice(long_way, F.lit(1), F.size(long_way) - 1)).otherwise(F.split(marked, MARK, -1))
-    cut = docs.withColumn("_parts", parts).withColumn("_pieces", F.filter("_parts", lambda _, k: k % 2 == 0)).withColumn("_matches", F.filter("_parts", lambda _, k: k % 2 == 1)).drop("_parts")
+    # Marks that a text holds already are written otherwise meanwhile.
+    has_mark = text.contains(MARK)
+    unmarked = F.when(has_mark, F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + IS_ESCAPE)), F.lit(MARK), F.lit(ESCAPE + IS_MARK))).otherwise(text)
+    back = lambda x: F.replace(F.replace(x, F.lit(ESCAPE + IS_MARK), F.lit(MARK)), F.lit(ESCAPE + IS_ESCAPE), F.lit(ESCAPE))
+    split = F.split(F.regexp_replace(unmarked, CANDIDATE, f"$1$3{MARK}$2$4$5{MARK}"), MARK, -1)
+    carry = [c for c in docs.columns if c not in ("_parts", "_pieces", "_matches", "_found")]
+    cut = docs.select(*[named(c) for c in carry], split.alias("_split"), has_mark.alias("_has_mark"))
+    cut = cut.select(*[named(c) for c in carry], F.when(F.col("_has_mark"), F.transform("_split", back)).otherwise(F.col("_split")).alias("_parts"))
+    cut = cut.withColumn("_pieces", F.filter("_parts", lambda _, k: k % 2 == 0)).withColumn("_matches", F.filter("_parts", lambda _, k: k % 2 == 1)).drop("_parts")
     # The texts before and after come as arrays: taken by index inside the function, the text would be split anew for each candidate.
+    # White space of any length between a name and its value counts as a space.
     n = F.size("_matches")
-    before = F.zip_with("_matches", F.slice("_pieces", F.lit(1), n), lambda m, p: F.struct(m.alias("m"), F.right(p, F.lit(CONTEXT)).alias("left")))
+    near = lambda p: F.when(F.right(p, F.lit(CONTEXT)).rlike(r"\s{3}"), F.right(F.regexp_replace(p, r"\s{2,}+", " "), F.lit(CONTEXT))).otherwise(F.right(p, F.lit(CONTEXT)))
+    before = F.zip_with("_matches", F.slice("_pieces", F.lit(1), n), lambda m, p: F.struct(m.alias("m"), near(p).alias("left")))
     around = F.zip_with(before, F.slice("_pieces", F.lit(2), n), lambda x, p: F.struct(x["m"].alias("candidate"), _features(x["m"], x["left"], F.left(p, F.lit(CONTEXT)), where).alias("f")))
     described = cut.withColumn("_described", around)
     votes = lambda f: sum((_vote(t, f) for t in trees), F.lit(0.0)) / len(trees)

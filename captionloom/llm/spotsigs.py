@@ -23,9 +23,6 @@ from captionloom.llm.common import map_columns, prepare, scratch
 
 CHAIN = 2
 
-#: Likeness below this counts as none, where no other threshold is given.
-FLOOR = 0.05
-
 #: Documents in a stretch that one task sorts.
 STRETCH = 10_000
 
@@ -104,9 +101,11 @@ def length_class(n: int, threshold: float) -> int:
     return int(math.log(max(1, n)) / -math.log(threshold)) if threshold < 1 else n
 
 
-def likeness(a: np.ndarray, b: np.ndarray, threshold: float = FLOOR) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
     """Jaccard similarity of two fingerprints if it reaches the threshold, else 0. Two empty ones are alike.
 
+    Without a threshold it is exact. With one:
+
     Sets of partitions that are no neighbours are not compared. The others are, in ranges of values: what
     is common so far and the smaller rest of each range bound the overlap, and the comparison stops once
     that is less than the threshold takes.
@@ -250,7 +249,7 @@ def edit_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each of docs.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all)
-    of the next document's. Likeness below FLOOR is 0. Null texts are empty ones; equal texts have equal
+    of the next document's; likeness is exact, however small. Null texts are empty ones; equal texts have equal
     fingerprints; equal doc_ids follow each other in order of their texts' hashes, nulls come last; an
     empty table gives none; other columns are left out.
     """

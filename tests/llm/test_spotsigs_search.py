@@ -52,3 +52,12 @@ def test_search_finds_all_like_texts(docs, empty):
                     want[i, j, round(near, 9)] += 1
         assert got == want and want
     assert spotsigs.like_fingerprints(empty, asks).count() == 0
+
+
+def test_small_likeness_is_exact():
+    hasher = spotsigs.Hasher()
+    a = spotsigs.signatures(" ".join(f"the word{k} and thing{k}" for k in range(400)), hasher)
+    b = spotsigs.signatures(" ".join(f"the other{k} and stuff{k}" for k in range(390)) + " the word3 and thing3 the word4", hasher)
+    exact = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    assert 0 < exact < 0.01
+    assert spotsigs.likeness(a, b) == exact and spotsigs.likeness(a, b, 0.05) == 0.0

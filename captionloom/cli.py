@@ -11,7 +11,7 @@ from pathlib import Path
 from captionloom.plans import ledger
 from captionloom.plans.config import ConfigError, load_config
 from captionloom.plans.engine import Engine, StageBlocked, plan
-from captionloom.sources.artifacts import SensitiveDataError, Workspace, file_hashes
+from captionloom.sources.artifacts import Fingerprints, SensitiveDataError, Workspace
 
 
 def parser() -> argparse.ArgumentParser:
@@ -61,8 +61,12 @@ def _engine(spark, config, space: Workspace, job_id: str, stages: dict) -> Engin
     """An engine for one job's workspace, which knows the job's source if it was ingested."""
     from pyspark.sql import functions as F
 
+    hashes = Fingerprints(spark, str(space.root / "logs" / "fingerprints"))
+
     def present(spark):
-        files = file_hashes(spark, str(space.root))
+        # The ledger's own folder changes while it is looked at.
+        folders = [str(p) for p in sorted(space.root.iterdir()) if p.is_dir() and p.name != "logs"]
+        files = hashes.files(folders) if folders else spark.createDataFrame([], "path string, bytes long, sha256 string")
         path = F.regexp_replace(files["path"], "^file:/+", "/")
         return files.select(F.lit(job_id).alias("job_id"), F.substring(path, len(str(space.root)) + 2, 1 << 20).alias("path"), "sha256")
 

@@ -49,10 +49,12 @@ def context_hash(stage: str, config_sha256: Column, files: dict[str, Column]) ->
     return F.sha2(F.concat_ws("\n", *parts), 256)
 
 
-def own_records_valid(latest: DataFrame, present: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+def own_records_valid(latest: DataFrame, present: DataFrame, contexts: DataFrame | None = None, every: bool = False) -> DataFrame:
     """(job_id, stage, completed_at, valid): complete, with outputs that all exist unchanged, under an equal context.
 
-    `present` has (job_id, path, sha256) of existing files, `contexts` (job_id, stage, context_sha256).
+    `present` has (job_id, path, sha256) of existing files, `contexts` (job_id, stage, context_sha256). A
+    record whose context is not among them is judged without it or, with `every`, refused, unless it
+    is the source's.
     """
     outputs = latest.select("job_id", "stage", F.explode_outer("outputs").alias("o")).select("job_id", "stage", F.col("o.path").alias("path"), F.col("o.sha256").alias("wanted"))
     have = present.select("job_id", "path", F.col("sha256").alias("have"))
@@ -61,7 +63,8 @@ def own_records_valid(latest: DataFrame, present: DataFrame, contexts: DataFrame
     ok = (F.col("status") == "complete") & F.col("_same")
     if contexts is not None:
         out = out.join(contexts.select("job_id", "stage", F.col("context_sha256").alias("_now")), ["job_id", "stage"], "left")
-        ok &= F.col("_now").isNull() | F.col("context_sha256").eqNullSafe(F.col("_now"))
+        unknown = (F.col("stage") == "acquire") if every else F.lit(True)
+        ok &= F.when(F.col("_now").isNull(), unknown).otherwise(F.col("context_sha256").eqNullSafe(F.col("_now")))
     return out.select("job_id", "stage", "completed_at", ok.alias("valid"))
 
 

@@ -677,3 +677,6 @@ def reread_codes(spark, sf_dir):
     for name, coded in parts.items():
         out = out.join(coded.select("job_id", F.col("code").alias(name)), "job_id")
     return out
+
+
+from captionloom.plans import relay_queries  # noqa: E402, F401  (registers its queries)

@@ -1,0 +1,207 @@
+"""Queries that run whole stages, events and evidence over jobs of the sample tables, some of them damaged.
+
+A conversation is a job whose audio says its turns. Its number modulo 20 tells what is wrong with it; texts
+without a word and cues against the policy are found in the data.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from captionloom.operators import evidence
+from captionloom.plans import ledger, stages, views
+from captionloom.plans.engine import Engine, ProviderError
+from captionloom.plans.queries import SQL_LAYOUT, query
+from captionloom.session import shared_folder
+
+STAGES = ("normalize", "transcribe", "translate", "subtitles", "render", "validate", "manifest")
+
+#: Letters for digits, as a number's reading depends on the language; twice the time, so that texts can be read.
+DIGITS, LETTERS = "0123456789", "abcdefghij"
+
+
+def recogniser(path: str | None, *, language: str, min_confidence: float) -> str | None:
+    """What a chunk's audio says; the sample's audio is written in its location."""
+    return path
+
+
+def translator(segments: list[dict], *, source_language: str, target_language: str, terms: list[str]) -> list[dict]:
+    """The text itself; marks at its start make the service fail, leave a segment out or count wrong."""
+    if any(s["text"].startswith("[unavailable]") for s in segments):
+        raise ProviderError("no answer")
+    kept = [s for s in segments if not s["text"].startswith("[drop]")]
+    return [{"id": s["id"], "text": s["text"] + (" 42" if s["text"].startswith("[count]") else "")} for s in kept]
+
+
+def _relay(spark, sf_dir) -> tuple[DataFrame, stages.Relay, DataFrame]:
+    """(jobs, relay, receipts) of the sample's conversations."""
+    segs = views.segments(spark, sf_dir)
+    number = F.col("job_id").cast("long")
+    kind = number % 20
+    jobs = segs.select("job_id").distinct()
+    mark = F.when(F.col("seq") == F.min("seq").over(views.Window.partitionBy("job_id")), F.when(kind == 8, "[unavailable] ").when(kind == 9, "[drop] ").when(kind == 10, "[count] ")).otherwise(F.lit(None))
+    said = segs.select("job_id", "seq", (F.col("start_ms") / 500).alias("start"), (F.col("end_ms") / 500).alias("end"), F.concat(F.coalesce(mark, F.lit("")), F.translate("text", DIGITS, LETTERS)).alias("text"))
+    durations = said.groupBy("job_id").agg(F.max("end").alias("duration"))
+    late = F.when((kind == 7) & (F.col("seq") == F.max("seq").over(views.Window.partitionBy("job_id"))), 100.0).otherwise(0.0)
+    part = F.floor(F.col("start") / 600).cast("int")
+    moved = said.select("job_id", "seq", part.alias("part"), (F.col("start") - part * 600).alias("start"), (F.col("end") - part * 600 + late).alias("end"), "text").filter(kind != 6)
+    heard = moved.groupBy("job_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "text"))).alias("s"))
+    payload = F.to_json(F.struct(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(-0.01).alias("avg_logprob"))).alias("segments")))
+    chunks = durations.select("job_id", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("duration") / 600), F.lit(1)).cast("int") - 1)).alias("part"))
+    audio = chunks.join(heard.select("job_id", "part", payload.alias("payload")), ["job_id", "part"], "left").select("job_id", "part", F.when(kind == 5, "no json").otherwise(F.coalesce("payload", F.lit('{"segments": []}'))).alias("path"))
+
+    digest = F.sha2(F.concat(F.lit("source of "), "job_id"), 256)
+    media = jobs.filter(kind != 2).select("job_id", F.lit("source/source.mp4").alias("path"), F.lit(1000).cast("bigint").alias("bytes"), digest.alias("sha256"), (kind == 3).alias("writable"))
+    receipt = F.to_json(F.struct(F.lit("PASS").alias("status"), F.lit("local").alias("transport"), F.lit("source/source.mp4").alias("source_path"), F.lit(1000).alias("bytes"), F.when(kind == 1, "another").otherwise(digest).alias("sha256")))
+    receipts = jobs.select("job_id", F.lit(stages.RECEIPT).alias("path"), receipt.alias("content"))
+    stream = lambda of, codec, language=None: F.struct(F.lit(of).alias("codec_type"), F.lit(codec).alias("codec_name"), F.lit(language).cast("string").alias("language"))
+    picture = F.struct(F.lit("video").alias("codec_type"), F.lit("h264").alias("codec_name"), F.lit(320).alias("width"), F.lit(180).alias("height"))
+    sound = F.struct(F.lit("audio").alias("codec_type"), F.lit("aac").alias("codec_name"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+    probe = F.to_json(F.struct(F.struct(F.col("duration").cast("string").alias("duration")).alias("format"), F.array(picture, sound).alias("streams")))
+    probes = durations.select("job_id", F.when(kind == 4, "{}").otherwise(probe).alias("probe"))
+    soft = F.array(stream("video", "h264"), stream("audio", "aac"), F.when(kind == 13, stream("subtitle", "mov_text", "por")).otherwise(stream("subtitle", "mov_text", "eng")))
+    output = lambda path, streams: durations.select("job_id", F.lit(path).alias("path"), F.lit(2000).cast("bigint").alias("bytes"), F.sha2(F.concat(F.lit(path), "job_id"), 256).alias("sha256"), "duration", streams.alias("streams"))
+    rendered = output(stages.SOFT, soft).union(output(stages.BURNED, F.array(stream("video", "h264"), stream("audio", "aac"))).filter(kind != 12))
+    dark, lit = bytes(48), bytes(12) + b"\xff" * 36
+    place = jobs.select("job_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"))
+    frame = lambda side, pixels: place.select("job_id", F.lit(side).alias("side"), "ordinal", F.concat(F.lit(f"validation/{side}/"), "ordinal", F.lit(".rgb")).alias("path"), pixels.alias("pixels"))
+    burned = frame("burned", F.when(kind == 14, F.lit(dark)).otherwise(F.lit(lit))).filter(~((kind == 15) & (F.col("ordinal") == 1)))
+    frames = frame("source", F.lit(dark)).union(burned).select("job_id", "side", "ordinal", "path", F.sha2("pixels", 256).alias("sha256"), F.lit(4).alias("width"), F.lit(4).alias("height"), "pixels")
+    return jobs, stages.Relay(media, probes, rendered, frames, recogniser, translator, audio), receipts
+
+
+def _damage(jobs: DataFrame) -> DataFrame:
+    """What goes wrong between validation and the manifest: a file gone, a list too short, a report that no longer passes."""
+    kind = F.col("job_id").cast("long") % 20
+    ragged = json.dumps({"quality_status": "PASS", "sampled_frames": [], "source_sampled_frames": [], "burned_lower_frame_difference_ratio": [0.5]})
+    path = F.when(kind == 16, stages.VTT).when(kind == 17, stages.REPORT).when(kind == 18, stages.TRANSCRIPT_REPORT)
+    content = F.when(kind == 17, ragged).when(kind == 18, '{"status": "BLOCKED"}')
+    return jobs.filter(kind.isin(16, 17, 18)).select("job_id", path.alias("path"), content.alias("content"))
+
+
+def run_relay(spark, sf_dir) -> Engine:
+    """An engine that has run all stages for all jobs of the sample."""
+    jobs, relay, receipts = _relay(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/captionloom-relay-{uuid.uuid4().hex}"
+    kept = stages.Artifacts(spark, f"{folder}/artifacts")
+    kept.add(receipts, 0)
+    engine = Engine(spark, f"{folder}/ledger", relay.stages(kept), True, jobs, kept.present)
+    engine.acquired(relay.media.select("job_id", "path", "bytes", "sha256"))
+    engine.run(list(STAGES[:-1]))
+    kept.add(_damage(jobs), 90)
+    good = engine.status().filter("status = 'in_progress'").select("job_id")
+    last = Engine(spark, f"{folder}/ledger", relay.stages(kept, 100), True, good, kept.present)
+    last.run([STAGES[-1]])
+    return last
+
+
+#: The stage that blocks a job is the first that finds a fault; cues are laid out and judged as for the other queries.
+SQL_RELAY = f"""
+turns AS (SELECT conv_id, turn, translate(coalesce(text, ''), '{DIGITS}', '{LETTERS}') AS text, 2 * greatest(1000, length(coalesce(text, '')) * 50)::BIGINT AS dur FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+seg AS (SELECT conv_id::VARCHAR AS job_id, conv_id % 20 AS kind, turn::INTEGER AS seq, conv_id::VARCHAR || '-' || turn::VARCHAR AS id, text,
+  (sum(dur + {2 * views.PAUSE_MS}) OVER (PARTITION BY conv_id ORDER BY turn) - dur - {2 * views.PAUSE_MS})::BIGINT AS start_ms, (sum(dur + {2 * views.PAUSE_MS}) OVER (PARTITION BY conv_id ORDER BY turn) - {2 * views.PAUSE_MS})::BIGINT AS end_ms FROM turns),
+heard AS (SELECT job_id, kind, bool_or(trim(text) = '') AS blank FROM seg GROUP BY ALL),
+tr AS (SELECT s.job_id, seq, id, start_ms / 1000.0::DOUBLE AS "start", end_ms / 1000.0::DOUBLE AS "end", trim(text) AS text FROM seg s JOIN heard h USING (job_id) WHERE NOT h.blank AND s.kind NOT IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)),
+{SQL_LAYOUT},
+judged AS (SELECT l.job_id, length(replace(text, chr(10), '')) / (closes - opens) > 20.01 OR closes - opens > 7.001 OR closes - opens < 0.999 OR opens < lag(closes) OVER w + 0.08 - 0.001 OR closes > d.duration + 0.001
+  OR len(string_split(text, chr(10))) > 2 OR list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 42 AS bad FROM laid l JOIN dur d USING (job_id) WINDOW w AS (PARTITION BY job_id ORDER BY index)),
+cue_faults AS (SELECT job_id, bool_or(bad) AS bad FROM judged GROUP BY job_id),
+said AS (SELECT job_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY seq), '\\s+', ' ', 'g')) AS a FROM tr GROUP BY job_id),
+seen AS (SELECT job_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY index), '\\s+', ' ', 'g')) AS b FROM laid GROUP BY job_id),
+fault AS (SELECT h.job_id, CASE WHEN kind IN (1, 2, 3, 4) THEN 1 WHEN kind IN (5, 6, 7) OR blank THEN 2 WHEN kind IN (8, 9, 10) THEN 3 WHEN coalesce(bad, false) OR coalesce(a, '') <> coalesce(b, '') THEN 4 WHEN kind = 12 THEN 5 WHEN kind IN (13, 14, 15) THEN 6 WHEN kind IN (16, 17, 18) THEN 7 ELSE 8 END AS stop,
+  CASE WHEN kind = 1 THEN 'SOURCE_RECEIPT_INVALID' WHEN kind = 2 THEN 'SOURCE_MISSING' WHEN kind = 3 THEN 'SOURCE_NOT_IMMUTABLE' WHEN kind = 4 THEN 'MEDIA_FAILURE' WHEN kind = 5 THEN 'PROVIDER_FAILURE' WHEN kind = 6 THEN 'TRANSCRIPT_EMPTY' WHEN kind = 7 OR blank THEN 'TRANSCRIPT_VALIDATION_FAILED'
+    WHEN kind IN (8, 9) THEN 'PROVIDER_FAILURE' WHEN kind = 10 THEN 'TRANSLATION_VALIDATION_FAILED' WHEN coalesce(bad, false) OR coalesce(a, '') <> coalesce(b, '') THEN 'SUBTITLE_POLICY_FAILED' WHEN kind = 12 THEN 'MEDIA_FAILURE' WHEN kind IN (13, 14, 15) THEN 'OUTPUT_VALIDATION_FAILED'
+    WHEN kind = 16 THEN 'COMPLETION_ARTIFACT_MISSING' WHEN kind = 17 THEN 'VALIDATION_EVIDENCE_INVALID' WHEN kind = 18 THEN 'QUALITY_NOT_PASSING' END AS code
+  FROM heard h LEFT JOIN cue_faults USING (job_id) LEFT JOIN said USING (job_id) LEFT JOIN seen USING (job_id)),
+ord AS (SELECT unnest([{', '.join(repr(s) for s in STAGES)}]) AS stage, unnest(range(1, 8)) AS k),
+ran AS (SELECT job_id, stage, k, CASE WHEN k = stop THEN 'blocked' ELSE 'complete' END AS status, CASE WHEN k = stop THEN code END AS code FROM fault JOIN ord ON k <= stop)"""
+
+
+@query(f"WITH RECURSIVE {SQL_RELAY} SELECT job_id, stage, status, code FROM ran")
+def stage_outcomes(spark, sf_dir):
+    """Every stage of every job, one job's failure kept apart from the others'."""
+    return ledger.latest_state(run_relay(spark, sf_dir).records()).filter("stage != 'acquire'").select("job_id", "stage", "status", "code")
+
+
+#: Pictures of 6 x 5 points; a channel's value follows from the event, the place and, in the burned picture, the overlay.
+WIDTH, HEIGHT = 6, 5
+SQL_FRAMES = """
+f AS (SELECT event_id AS e, (event_id // 8)::VARCHAR AS job_id, (event_id % 8)::INTEGER AS ordinal FROM events WHERE event_id IS NOT NULL),
+px AS (SELECT e, job_id, ordinal, unnest(range(36, 90)) AS i FROM f),
+df AS (SELECT e, job_id, ordinal, i, (e * 7 + i * 13) % 200 AS a, CASE WHEN e % 11 <> 3 AND i % 9 < e % 6 THEN ((e * 7 + i * 13) % 200 + 20 + e % 10) % 256 ELSE (e * 7 + i * 13) % 200 END AS b FROM px),
+ratio AS (SELECT job_id, ordinal, CASE WHEN any_value(e) % 29 <> 5 THEN count(*) FILTER (WHERE abs(a - b) >= 25) / 54.0::DOUBLE END AS ratio, any_value(e) AS e FROM df GROUP BY job_id, ordinal)"""
+
+
+def _frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(source, burned) frames of eight events a job: some burned ones are missing, empty or of another size, some have no overlay."""
+    e = F.col("event_id")
+    rows = views.table(spark, sf_dir, "events").filter("event_id is not null").select("event_id", F.floor(e / 8).cast("string").alias("job_id"), (e % 8).cast("int").alias("ordinal"))
+    value = lambda i: (e * 7 + i * 13) % 200
+    over = lambda i: F.when((e % 11 != 3) & (i % 9 < e % 6), (value(i) + 20 + e % 10) % 256).otherwise(value(i))
+    pixels = lambda of: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(WIDTH * HEIGHT * 3 - 1).cast("bigint")), lambda i: F.lpad(F.hex(of(i)), 2, "0")), ""))
+    size = lambda w: [w.alias("width"), F.lit(HEIGHT).alias("height")]
+    source = rows.select("job_id", "ordinal", *size(F.lit(WIDTH)), pixels(value).alias("pixels"))
+    burned = rows.filter(e % 97 != 8).select("job_id", "ordinal", *size(F.when(e % 29 == 5, WIDTH + 1).otherwise(F.lit(WIDTH))), F.when(e % 83 == 9, F.unhex(F.lit(""))).otherwise(pixels(over)).alias("pixels"))
+    return source, burned
+
+
+@query(
+    f"WITH {SQL_FRAMES}, j AS (SELECT job_id, bool_or(e % 97 = 8) AS lost, bool_or(e % 83 = 9 AND e % 97 <> 8) AS hollow, bool_or(e % 29 = 5 AND e % 97 <> 8) AS odd, min(ratio) AS least FROM ratio GROUP BY job_id), "
+    "r AS (SELECT job_id, unnest([CASE WHEN lost OR hollow THEN 'cue frame sampling failed' END, CASE WHEN NOT lost AND NOT hollow AND odd THEN 'sampled frame comparison failed' END, CASE WHEN lost OR hollow OR odd OR least < 0.002 THEN 'burned cue frames lack visible overlay evidence' END]) AS rule FROM j) SELECT job_id, rule FROM r WHERE rule IS NOT NULL"
+)
+def frame_evidence(spark, sf_dir):
+    source, burned = _frames(spark, sf_dir)
+    return evidence.frame_gate(source.select("job_id").distinct(), source, burned)
+
+
+@query(f"WITH {SQL_FRAMES} SELECT job_id, ordinal, round(ratio, 9) AS ratio FROM ratio WHERE e % 97 <> 8 AND e % 83 <> 9 UNION ALL SELECT job_id, ordinal, NULL::DOUBLE FROM ratio WHERE e % 97 <> 8 AND e % 83 = 9")
+def frame_ratios(spark, sf_dir):
+    return evidence.compare_frames(*_frames(spark, sf_dir)).select("job_id", "ordinal", F.round("ratio", 9).alias("ratio"))
+
+
+def _contracts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, files, reports): a job for each document, its artifacts of the document's text and length, some gone, changed or ragged."""
+    d = views.table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").alias("d"), F.col("doc_id").cast("string").alias("job_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    d = d.dropDuplicates(["job_id"])
+    n_frames = (F.col("n") % 3 + 1).cast("int")
+    frames = lambda side, k: F.transform(F.sequence(F.lit(1), k), lambda i: F.struct(F.concat(F.lit(f"validation/{side}/"), i, F.lit(".png")).alias("path"), F.col("h").alias("sha256")))
+    sampled = F.when(F.col("d") % 17 == 4, F.array().cast("array<struct<path:string,sha256:string>>")).otherwise(frames("frames", n_frames))
+    ratios = F.transform(F.sequence(F.lit(1), F.when(F.col("d") % 13 == 5, n_frames + 1).otherwise(n_frames)), lambda i: F.when((F.col("d") % 11 == 6) & (i == 1), 0.0001).otherwise(0.25))
+    body = F.to_json(F.struct(F.when(F.col("d") % 7 == 3, "BLOCKED").otherwise("PASS").alias("quality_status"), sampled.alias("sampled_frames"), frames("source-frames", n_frames).alias("source_sampled_frames"), ratios.alias("burned_lower_frame_difference_ratio")))
+    reports = d.select("job_id", F.lit("validation/report.json").alias("path"), F.when(F.col("d") % 19 == 7, "no json").otherwise(body).alias("content"))
+    for k, p in enumerate(evidence.PASSING):
+        reports = reports.union(d.select("job_id", F.lit(p).alias("path"), F.when(F.col("d") % 23 == k, '{"status": "BLOCKED"}').otherwise('{"status": "PASS"}').alias("content")))
+    named = (*evidence.REQUIRED, *evidence.PASSING)
+    paths = F.array(*[F.lit(p) for p in named], F.lit("source/source.mkv"), F.lit("output/soft-subtitled.mp4"))
+    files = d.select("d", "job_id", "h", F.posexplode(paths).alias("k", "path")).filter((F.col("d") + F.col("k")) % 41 != 0).select("job_id", "path", F.col("h").alias("sha256"))
+    files = files.union(d.filter("d % 31 = 8").select("job_id", F.lit("output/soft-subtitled.mkv"), "h"))
+    for side in ("frames", "source-frames"):
+        one = d.select("d", "job_id", "h", F.explode(F.sequence(F.lit(1), n_frames)).alias("i"))
+        files = files.union(one.filter((F.col("d") + F.col("i")) % 37 != 0).select("job_id", F.concat(F.lit(f"validation/{side}/"), "i", F.lit(".png")), F.when(F.col("d") % 29 == 9, "changed").otherwise(F.col("h"))))
+    return d.select("job_id"), files, reports
+
+
+_NAMED = (*evidence.REQUIRED, *evidence.PASSING)
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT doc_id AS d, doc_id::VARCHAR AS job_id, coalesce(length(text), 0) % 3 + 1 AS n FROM documents WHERE doc_id IS NOT NULL), "
+    f"p AS (SELECT unnest([{', '.join(repr(x) for x in (*_NAMED, 'source/source.mkv', 'output/soft-subtitled.mp4'))}]) AS path, unnest(range({len(_NAMED) + 2})) AS k), fr AS (SELECT d, job_id, n, unnest(['sampled_frames', 'source_sampled_frames']) AS field FROM d WHERE d % 19 <> 7), "
+    "breach AS ("
+    "SELECT job_id, 'QUALITY_NOT_PASSING' AS code, 'validation/report.json' AS field, NULL::INTEGER AS place, 'not passing' AS rule FROM d WHERE d % 7 = 3 OR d % 19 = 7 "
+    f"UNION ALL SELECT job_id, 'QUALITY_NOT_PASSING', path, NULL, 'not passing' FROM d JOIN (SELECT unnest([{', '.join(repr(x) for x in evidence.PASSING)}]) AS path, unnest(range(4)) AS k) ON d % 23 = k "
+    "UNION ALL SELECT job_id, 'VALIDATION_EVIDENCE_INVALID', f, NULL, r FROM (SELECT job_id, unnest(['sampled_frames', 'source_sampled_frames', 'burned_lower_frame_difference_ratio']) AS f, unnest(['no frames', 'no frames', 'not as many as frames']) AS r FROM d WHERE d % 19 = 7) "
+    "UNION ALL SELECT job_id, 'VALIDATION_EVIDENCE_INVALID', 'sampled_frames', NULL, 'no frames' FROM d WHERE d % 17 = 4 AND d % 19 <> 7 "
+    "UNION ALL SELECT job_id, 'VALIDATION_EVIDENCE_INVALID', field, (i - 1)::INTEGER, CASE WHEN (d + i) % 37 = 0 THEN 'file missing' ELSE 'file changed' END FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM fr WHERE NOT (field = 'sampled_frames' AND d % 17 = 4)) WHERE (d + i) % 37 = 0 OR d % 29 = 9 "
+    "UNION ALL SELECT job_id, 'VALIDATION_EVIDENCE_INVALID', 'burned_lower_frame_difference_ratio', NULL, 'not as many as frames' FROM d WHERE d % 19 <> 7 AND (d % 13 = 5 OR d % 17 = 4) "
+    "UNION ALL SELECT job_id, 'VALIDATION_EVIDENCE_INVALID', 'burned_lower_frame_difference_ratio', 0, 'below minimum' FROM d WHERE d % 19 <> 7 AND d % 11 = 6 "
+    "UNION ALL SELECT job_id, 'COMPLETION_ARTIFACT_MISSING', CASE path WHEN 'source/source.mkv' THEN 'source/source.*' WHEN 'output/soft-subtitled.mp4' THEN 'output/soft-subtitled.*' ELSE path END, NULL, 'missing' FROM d JOIN p ON (d + k) % 41 = 0 WHERE NOT (path = 'output/soft-subtitled.mp4' AND d % 31 = 8) "
+    f"UNION ALL SELECT job_id, 'COMPLETION_ARTIFACT_MISSING', 'output/soft-subtitled.*', NULL, 'more than one' FROM d WHERE d % 31 = 8 AND (d + {len(_NAMED) + 1}) % 41 <> 0) "
+    "SELECT * FROM breach"
+)
+def manifest_breaches(spark, sf_dir):
+    return evidence.manifest_contract(*_contracts(spark, sf_dir))

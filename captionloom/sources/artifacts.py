@@ -11,6 +11,7 @@ import tempfile
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ class SensitiveDataError(ValueError):
     """Sensitive content was about to be stored, or a path left its workspace."""
 
 
-def file_hashes(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
-    """(path, bytes, sha256) of all files below `path`, which the executors reach.
+def file_hashes(spark: SparkSession, path: str | list[str], most_bytes: int = 1 << 28) -> DataFrame:
+    """(path, bytes, sha256) of all files below `path` (or several), which the executors reach.
 
     Files up to `most_bytes` are hashed by the built-in function as one value each; a value cannot hold
     larger ones, which are read in pieces, a file in a task.
@@ -56,6 +57,65 @@ def file_hashes(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> Da
     return small.union(large.mapInArrow(pieces, "path string, bytes long, sha256 string"))
 
 
+class Fingerprints:
+    """File hashes kept in a table (path, length, modified, sha256), so that a file is read once for each change.
+
+    A file counts as unchanged if its length and time of change are as in its newest row. Rows are only
+    ever added, by one append each update(): a writer that dies leaves the table as it was, and one that runs
+    twice adds equal rows. Files that are gone stay in the table and are left out of files(); so are files without
+    content, which the reader does not list.
+    """
+
+    #: Changed files whose content is read by name; with more, all files below the folders are read in one scan.
+    NAMED = 10_000
+    SCHEMA = "path string, length long, modified timestamp, sha256 string"
+
+    def __init__(self, spark: SparkSession, table: str):
+        self.spark, self.table = spark, table.rstrip("/")
+
+    def known(self) -> DataFrame:
+        try:
+            rows = self.spark.read.schema(self.SCHEMA).parquet(self.table)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = self.spark.createDataFrame([], self.SCHEMA)
+        return rows.groupBy("path", "length", "modified").agg(F.max("sha256").alias("sha256"))
+
+    def listed(self, folders: list[str]) -> DataFrame:
+        """(path, length, modified) of the files below the folders, whose content is not read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+    def update(self, folders: list[str]) -> int:
+        """Hash what is new or changed below the folders; how many files were read."""
+        changed = self.listed(folders).join(self.known(), ["path", "length", "modified"], "left_anti")
+        first = changed.limit(self.NAMED + 1).collect()
+        if not first:
+            return 0
+        if len(first) <= self.NAMED:
+            rows = self.spark.createDataFrame(first, changed.schema)
+            hashed = file_hashes(self.spark, [_literal(r["path"]) for r in first])
+        else:
+            rows, hashed = changed, file_hashes(self.spark, folders)
+        made = rows.join(hashed.select("path", F.col("bytes").alias("length"), "sha256"), ["path", "length"]).select("path", "length", "modified", "sha256")
+        n = changed.count() if len(first) > self.NAMED else len(first)
+        made.write.mode("append").parquet(self.table)
+        return n
+
+    def files(self, folders: list[str]) -> DataFrame:
+        """(path, bytes, sha256) of the files below the folders, after update()."""
+        self.update(folders)
+        return self.listed(folders).join(self.known(), ["path", "length", "modified"]).select("path", F.col("length").alias("bytes"), "sha256")
+
+
+def _literal(uri: str) -> str:
+    """A listed file's location as a path for a reader, which takes some characters for patterns."""
+    from urllib.parse import unquote
+
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
+
+
 def sha256_file(path: str | os.PathLike) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as f:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionloom.functions.text import char_distance, error_rate, has_run, is_blank, strip, token_distance, tokens
+from captionloom.functions.distance import text_distance, token_distance
+from captionloom.functions.text import error_rate, has_run, is_blank, strip, tokens
 from captionloom.operators.intervals import timing_iou
 
 #: Gates of the example configuration.
@@ -33,7 +34,34 @@ def word_error_rate(expected: Column, candidate: Column) -> Column:
 
 def char_error_rate(expected: Column, candidate: Column) -> Column:
     a, b = F.array_join(expected, ""), F.array_join(candidate, "")
-    return error_rate(char_distance(a, b), F.length(a), F.length(b))
+    return error_rate(text_distance(a, b), F.length(a), F.length(b))
+
+
+def near_copies(rows: DataFrame, id_: str = "doc_id", text: str = "text", shared: int = 100) -> DataFrame:
+    """(side, id, other): each text with the first, by id, of those that begin (`head`) or end (`tail`) with as many equal characters.
+
+    Texts of fewer characters, null texts and null ids have no pair, and the first of a group none either. A
+    group's size does not matter: its first is found by an aggregate, and its rows are joined to it.
+    """
+    long_ = rows.filter((F.length(text) >= shared) & F.col(id_).isNotNull())
+    end = lambda side, c: F.struct(F.lit(side).alias("side"), F.md5(c).alias("key"))
+    keyed = long_.select(F.col(id_).alias("id"), F.explode(F.array(end("head", F.left(F.col(text), F.lit(shared))), end("tail", F.right(F.col(text), F.lit(shared))))).alias("e")).select("id", "e.*")
+    first = keyed.groupBy("side", "key").agg(F.min("id").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return keyed.join(first, ["side", "key"]).filter("id != other").select("side", "id", "other")
+
+
+def near_copy_errors(rows: DataFrame, id_: str = "doc_id", text: str = "text", shared: int = 100) -> DataFrame:
+    """(id, side, other, n_chars, distance, cer): how far each near copy is from the first of its kind, over whole texts.
+
+    Texts are folded as for the character error rate, of which the other's is the expected one; see
+    near_copies() for which rows are compared.
+    """
+    pairs = near_copies(rows, id_, text, shared)
+    of = lambda name, key: rows.filter(F.col(id_).isNotNull()).select(F.col(id_).alias(key), F.col(text).alias(name))
+    both = pairs.join(of("_mine", "id"), "id").join(of("_other", "other"), "other")
+    folded = both.select("id", "side", "other", F.array_join(tokens(F.col("_other")), "").alias("_a"), F.array_join(tokens(F.col("_mine")), "").alias("_b"))
+    measured = spread(folded, "id", "side").withColumn("distance", text_distance(F.col("_a"), F.col("_b")))
+    return measured.select("id", "side", "other", F.length("_a").alias("n_chars"), "distance", error_rate(F.col("distance"), F.length("_a"), F.length("_b")).alias("cer"))
 
 
 def term_recall(terms: Column, candidate: Column) -> Column:

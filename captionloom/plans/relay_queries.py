@@ -12,10 +12,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.operators import evidence
+from captionloom.operators import evidence, metrics
 from captionloom.plans import ledger, stages, views
 from captionloom.plans.engine import Engine, ProviderError
-from captionloom.plans.queries import SQL_LAYOUT, query
+from captionloom.plans.queries import SQL_LAYOUT, TOKENS, query
 from captionloom.session import shared_folder
 
 STAGES = ("normalize", "transcribe", "translate", "subtitles", "render", "validate", "manifest")
@@ -205,3 +205,19 @@ _NAMED = (*evidence.REQUIRED, *evidence.PASSING)
 )
 def manifest_breaches(spark, sf_dir):
     return evidence.manifest_contract(*_contracts(spark, sf_dir))
+
+
+#: levenshtein() counts bytes, so characters beyond ASCII become ones that folded tokens never hold.
+@query(
+    "WITH e AS (SELECT doc_id AS id, unnest(['head', 'tail']) AS side, unnest([left(text, 100), right(text, 100)]) AS k FROM documents WHERE length(text) >= 100 AND doc_id IS NOT NULL), "
+    "f AS (SELECT id, side, min(id) OVER (PARTITION BY side, k) AS other FROM e), p AS (SELECT * FROM f WHERE id <> other), "
+    f"t AS (SELECT doc_id AS id, array_to_string({TOKENS.format('text')}, '') AS x FROM documents WHERE doc_id IN (SELECT id FROM p UNION SELECT other FROM p)), "
+    "beyond AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS far FROM (SELECT DISTINCT unnest(string_split(x, '')) AS c FROM t) WHERE strlen(c) > 1), "
+    "y AS (SELECT id, length(x) AS n, translate(x, far, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~', 1, length(far))) AS x FROM t, beyond), "
+    "d AS (SELECT p.id, p.side, p.other, o.n, m.n AS m, levenshtein(o.x, m.x) AS distance FROM p JOIN y m ON m.id = p.id JOIN y o ON o.id = p.other) "
+    "SELECT id AS doc_id, side, other AS other_id, n::BIGINT AS n_chars, distance::BIGINT AS distance, round(CASE WHEN n = 0 THEN (m > 0)::INT::DOUBLE ELSE distance / n::DOUBLE END, 9) AS cer FROM d"
+)
+def near_copy_cer(spark, sf_dir):
+    """Distances of documents' near copies, over whole texts."""
+    d = metrics.near_copy_errors(views.table(spark, sf_dir, "documents"))
+    return d.select(F.col("id").alias("doc_id"), "side", F.col("other").alias("other_id"), F.col("n_chars").cast("bigint").alias("n_chars"), "distance", F.round("cer", 9).alias("cer"))

@@ -17,6 +17,7 @@ from captionloom.plans import ledger, stages, views
 from captionloom.plans.engine import Engine, ProviderError
 from captionloom.plans.queries import SQL_LAYOUT, TOKENS, query
 from captionloom.session import shared_folder
+from captionloom.streaming import jobs as job_stream
 
 STAGES = ("normalize", "transcribe", "translate", "subtitles", "render", "validate", "manifest")
 
@@ -221,3 +222,22 @@ def near_copy_cer(spark, sf_dir):
     """Distances of documents' near copies, over whole texts."""
     d = metrics.near_copy_errors(views.table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), "side", F.col("other").alias("other_id"), F.col("n_chars").cast("bigint").alias("n_chars"), "distance", F.round("cer", 9).alias("cer"))
+
+
+@query(
+    "WITH rec AS (SELECT (event_id // 40)::VARCHAR AS job_id, event_id, list_extract(['acquire', 'normalize', 'prepare-eval', 'evaluate-asr', 'transcribe', 'translate', 'subtitles', 'render', 'validate', 'manifest'], (event_id % 10 + 1)::BIGINT) AS stage, "
+    "CASE WHEN event_id % 53 = 0 THEN 'blocked' WHEN event_id % 47 = 0 THEN 'running' ELSE 'complete' END AS status FROM events WHERE event_id IS NOT NULL), "
+    "st AS (SELECT job_id, event_id, CASE WHEN status = 'blocked' THEN 'blocked' WHEN status = 'complete' AND stage = 'manifest' THEN 'complete' ELSE 'in_progress' END AS s FROM rec), ch AS (SELECT *, lag(s) OVER (PARTITION BY job_id ORDER BY event_id) AS p FROM st) "
+    "SELECT job_id, arg_max(s, event_id) AS status, count(*) FILTER (WHERE p IS NULL OR p <> s)::BIGINT AS changes FROM ch GROUP BY job_id"
+)
+def stream_job_changes(spark, sf_dir):
+    """Events as a stream, every third of them twice: what each job has come to, and how often it changed."""
+    schema = views.table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).filter("event_id is not null")
+    n = F.col("event_id")
+    twice = e.withColumn("copy", F.explode(F.when(n % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    status = F.when(n % 53 == 0, "blocked").when(n % 47 == 0, "running").otherwise("complete")
+    stage = F.element_at(F.array(*[F.lit(s) for s in ("acquire", *ledger.ALL_STAGES)]), (n % 10 + 1).cast("int"))
+    log = twice.select(F.floor(n / 40).cast("string").alias("job_id"), stage.alias("stage"), status.alias("status"), F.when(n % 53 == 0, "X").alias("code"), n.cast("string").alias("attempt"), F.timestamp_seconds(n + 1_600_000_000).alias("at"))
+    folder = f"{shared_folder(spark)}/captionloom-jobs-{uuid.uuid4().hex}"
+    return job_stream.follow(job_stream.job_changes(log), folder).select("job_id", "status", "changes")

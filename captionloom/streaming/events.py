@@ -8,14 +8,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captionloom.plans.engine import EVENT
 from captionloom.session import shared_folder
 
-EVENTS = "job_id string, stage string, status string, code string, at timestamp"
+EVENTS = EVENT
 
 
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New files of the log as they appear; lines that are no events give nulls and are dropped."""
-    lines = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    """New files of the log as they appear, an Engine's too; lines that are no events give nulls and are dropped."""
+    lines = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").json(folder)
     return lines.filter("job_id is not null and stage is not null")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -86,6 +86,16 @@ class Relay:
     chunk_seconds: int = 600
     batch_size: int = 40
     minimum_ratio: float = evidence.MINIMUM_RATIO
+    #: Where a running stage keeps what it uses more than once; set by stages().
+    folder: str | None = None
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows, written and read back: what a provider answered is asked for once, and plans stay short."""
+        if self.folder is None:
+            return rows
+        path = f"{self.folder}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     def normalize(self, jobs: DataFrame, files: DataFrame) -> DataFrame:
         """The source's receipt against what is there, and its length; media without one are a MEDIA_FAILURE."""
@@ -103,19 +113,19 @@ class Relay:
             chunks = chunks.withColumn("path", F.concat("job_id", F.lit("/audio/part"), F.col("part") + 1, F.lit(".flac")))
         else:
             chunks = chunks.join(self.audio.select("job_id", "part", "path"), ["job_id", "part"], "left")
-        heard = asked(chunks, self.recogniser, self.minimum_confidence)
+        heard = self._kept(asked(chunks, self.recogniser, self.minimum_confidence), "heard")
         failed = heard.filter("code is not null").groupBy("job_id").agg(F.min("code").alias("code"))
         fine = heard.join(failed, "job_id", "left_anti")
         keyed = fine.select(F.to_json(F.struct("job_id", "part", "offset")).alias("job_id"), "payload")
         parts = transcripts.parse_scored_segments(keyed).withColumn("_k", F.from_json("job_id", "job_id string, part int, offset double"))
         parts = parts.select(F.col("_k.job_id").alias("job_id"), F.col("_k.part").alias("part"), F.col("_k.offset").alias("_offset"), *[c for c in parts.columns if c not in ("job_id", "_k")])
         moved = transcripts.offset_segments(parts, F.col("_offset"), F.concat(F.lit("part"), (F.col("part") + 1).cast("string"))).drop("_offset")
-        whole = transcripts.flag_low_confidence(transcripts.merge_parts(moved), self.minimum_confidence)
+        whole = self._kept(transcripts.flag_low_confidence(transcripts.merge_parts(moved), self.minimum_confidence), "segments")
         wrong = transcripts.validate_segments(whole, audio)
         counts = whole.groupBy("job_id").agg(F.count("*").alias("segment_count"), F.count_if(F.size("uncertainty") > 0).alias("uncertain_segment_count"))
         judged = jobs.join(coded.withColumnRenamed("code", "_before"), "job_id", "left").join(failed.withColumnRenamed("code", "_failed"), "job_id", "left").join(counts, "job_id", "left").join(_counted(wrong), "job_id", "left")
         code = F.coalesce("_before", "_failed", F.when(F.col("segment_count").isNull(), "TRANSCRIPT_EMPTY"), F.when(F.col("violation_count") > 0, "TRANSCRIPT_VALIDATION_FAILED"))
-        judged = judged.withColumn("code", code)
+        judged = self._kept(judged.withColumn("code", code), "judged")
         with_text = judged.filter("segment_count is not null")
         text = _listed(whole, "seq", "id", "start", "end", "text", "confidence", "uncertainty", "words")
         raw = _artifact(text.join(with_text.select("job_id"), "job_id", "left_semi"), TRANSCRIPT, F.struct(F.lit(1).alias("schema_version"), F.lit("pt-BR").alias("language"), F.col("items").alias("segments")))
@@ -128,15 +138,15 @@ class Relay:
         gate = rereads.passing(jobs, files, TRANSCRIPT_REPORT, "TRANSCRIPT_NOT_VALIDATED")
         decoded = transcripts.decode_transcripts(_one(jobs, files, TRANSCRIPT).withColumnRenamed("content", "payload"))
         coded = gate.join(decoded.select("job_id", F.when(F.col("code").isNotNull(), "TRANSCRIPT_INVALID").alias("_shape")), "job_id").select("job_id", F.coalesce("code", "_shape").alias("_before"))
-        source = transcripts.segment_rows(decoded.join(coded.filter("_before is null"), "job_id", "left_semi"))
-        got = translated(translation.batches(source, self.batch_size), self.translator, self.terms)
+        source = self._kept(transcripts.segment_rows(decoded.join(coded.filter("_before is null"), "job_id", "left_semi")), "source")
+        got = self._kept(translated(translation.batches(source, self.batch_size), self.translator, self.terms), "translated")
         failed = got.filter("code is not null").groupBy("job_id").agg(F.min("code").alias("_failed"))
         open_ = source.join(failed, "job_id", "left_anti")
-        done = translation.decode_results(_payloads(got.join(failed, "job_id", "left_anti")), open_)
+        done = self._kept(translation.decode_results(_payloads(got.join(failed, "job_id", "left_anti")), open_), "done")
         refused = done.filter("code is not null").select("job_id", F.col("code").alias("_refused")).distinct()
         wrong = translation.validate_translation(open_.join(refused, "job_id", "left_anti"), done.join(refused, "job_id", "left_anti"), self.terms)
         judged = jobs.join(coded, "job_id", "left").join(failed, "job_id", "left").join(refused, "job_id", "left").join(_counted(wrong), "job_id", "left")
-        judged = judged.withColumn("code", F.coalesce("_before", "_failed", "_refused", F.when(F.col("violation_count") > 0, "TRANSLATION_VALIDATION_FAILED")))
+        judged = self._kept(judged.withColumn("code", F.coalesce("_before", "_failed", "_refused", F.when(F.col("violation_count") > 0, "TRANSLATION_VALIDATION_FAILED"))), "judged")
         made = judged.filter(F.coalesce("_before", "_failed", "_refused").isNull())
         text = _listed(done, "seq", "id", "start", "end", "source_text", "text", "uncertainty", "notes").join(made.select("job_id"), "job_id", "left_semi")
         return _rows(_artifact(text, rereads.TRANSLATION, F.struct(F.col("items").alias("segments"))).union(_artifact(made, TRANSLATION_REPORT, F.struct(_status(), F.coalesce("violation_count", F.lit(0)).alias("violation_count")))), judged)
@@ -147,14 +157,14 @@ class Relay:
         rows, shapes = rereads.translations(jobs, files)
         audio, lengths = self._audio(jobs, files)
         coded = gate.join(shapes.withColumnRenamed("code", "_shape"), "job_id").join(lengths.withColumnRenamed("code", "_length"), "job_id").select("job_id", F.coalesce("code", "_shape", "_length").alias("_before"))
-        open_ = rows.join(coded.filter("_before is null"), "job_id", "left_semi")
-        made = cue_ops.build_cues(open_, audio, self.policy)
+        open_ = self._kept(rows.join(coded.filter("_before is null"), "job_id", "left_semi"), "translations")
+        made = self._kept(cue_ops.build_cues(open_, audio, self.policy), "cues")
         wrong = cue_ops.validate_cues(made, audio, self.policy)
         counts = made.groupBy("job_id").agg(F.count("*").alias("cue_count"))
         covered = cue_ops.text_coverage(open_, made)
         judged = jobs.join(coded, "job_id", "left").join(counts, "job_id", "left").join(_counted(wrong), "job_id", "left").join(covered, "job_id", "left")
         bad = (F.coalesce("violation_count", F.lit(0)) > 0) | ~F.coalesce("covered", F.lit(False))
-        judged = judged.withColumn("code", F.coalesce("_before", F.when(bad, "SUBTITLE_POLICY_FAILED")))
+        judged = self._kept(judged.withColumn("code", F.coalesce("_before", F.when(bad, "SUBTITLE_POLICY_FAILED"))), "judged")
         report = _artifact(judged.filter("_before is null"), SUBTITLE_REPORT, F.struct(_status(), F.coalesce("cue_count", F.lit(0)).alias("cue_count"), F.coalesce("violation_count", F.lit(0)).alias("violation_count")))
         fine = judged.filter("code is null").select("job_id")
         timed = made.join(fine, "job_id", "left_semi").select("job_id", "index", to_ms(F.col("start")).alias("start_ms"), to_ms(F.col("end")).alias("end_ms"), "text")
@@ -191,7 +201,7 @@ class Relay:
         side = lambda name: mine.filter(F.col("side") == name)
         wrong = wrong.union(evidence.frame_gate(jobs, side("source"), side("burned"), self.minimum_ratio))
         judged = jobs.join(shapes.withColumnRenamed("code", "_shape"), "job_id").join(soft, "job_id").join(burned, "job_id").join(_counted(wrong, rules=True), "job_id", "left")
-        judged = judged.withColumn("code", F.coalesce("_soft", "_burned", "_shape", F.when(F.col("violation_count") > 0, "OUTPUT_VALIDATION_FAILED")))
+        judged = self._kept(judged.withColumn("code", F.coalesce("_soft", "_burned", "_shape", F.when(F.col("violation_count") > 0, "OUTPUT_VALIDATION_FAILED"))), "judged")
         ratios = evidence.compare_frames(side("source"), side("burned")).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "ratio"))).alias("r")).select("job_id", F.col("r.ratio").alias("_ratios"))
         records = lambda name, to: side(name).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "path", "sha256"))).alias("f")).select("job_id", F.transform("f", lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"))).alias(to))
         told = judged.filter(F.coalesce("_soft", "_burned", "_shape").isNull()).join(records("burned", "_frames"), "job_id", "left").join(records("source", "_sources"), "job_id", "left").join(ratios, "job_id", "left")
@@ -222,7 +232,8 @@ class Relay:
 
         def bound(name: str, place: int) -> Stage:
             def run(spark: SparkSession, jobs: DataFrame) -> DataFrame:
-                made = getattr(self, name)(jobs, artifacts.files())
+                own = replace(self, folder=f"{artifacts.folder}-kept/{place:06}")
+                made = getattr(own, name)(jobs, own._kept(artifacts.files(), "files"))
                 path = f"{artifacts.folder}-made/{place:06}"
                 made.write.mode("overwrite").parquet(path)
                 made = spark.read.schema(ROWS).parquet(path)

@@ -134,3 +134,37 @@ def test_manifest_contract_by_hand(spark):
     }
     fewer = frame([f for f in files if f[1] != "source/source.mp4"] + [("good", "output/soft-subtitled.mp4", "h"), ("good", "source/source/x", "h")], "job_id", "path", "sha256")
     assert sorted((r.field, r.rule) for r in evidence.manifest_contract(jobs.filter("job_id = 'good'"), fewer, frame(reports, "job_id", "path", "content")).collect()) == [("output/soft-subtitled.*", "more than one"), ("source/source.*", "missing")]
+
+
+def test_providers_are_asked_once_for_each_chunk(spark, tmp_path):
+    """From the receipt to checked subtitles of two jobs; each call leaves a file behind."""
+    import uuid
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def recogniser(path, **_):
+        (calls / f"heard-{uuid.uuid4()}").touch()
+        return json.dumps({"segments": [{"start": 0.5, "end": 3.0, "text": "Ana viu tudo."}, {"start": 4.0, "end": 7.0, "text": "Foi assim."}]})
+
+    def translator(segments, **_):
+        (calls / f"said-{uuid.uuid4()}").touch()
+        return [{"id": s["id"], "text": s["text"]} for s in segments]
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    media = frame([(j, "source/source.mp4", 5, "h", False) for j in "ab"], "job_id string, path string, bytes long, sha256 string, writable boolean")
+    probes = frame([(j, json.dumps({"format": {"duration": "9"}, "streams": []})) for j in "ab"], "job_id string, probe string")
+    rendered = frame([], "job_id string, path string, bytes long, sha256 string, duration double, streams array<struct<codec_type: string, codec_name: string, language: string>>")
+    frames_ = frame([], "job_id string, side string, ordinal int, path string, sha256 string, width int, height int, pixels binary")
+    relay = stages.Relay(media, probes, rendered, frames_, recogniser, translator)
+    kept = stages.Artifacts(spark, str(tmp_path / "artifacts"))
+    receipt = json.dumps({"status": "PASS", "transport": "local", "source_path": "source/source.mp4", "bytes": 5, "sha256": "h"})
+    kept.add(frame([(j, stages.RECEIPT, receipt) for j in "ab"], "job_id string, path string, content string"), 0)
+    engine = Engine(spark, str(tmp_path / "ledger"), relay.stages(kept), jobs=frame([("a",), ("b",)], "job_id string"), present=kept.present)
+    assert engine.run(["normalize", "transcribe", "translate", "subtitles"]) == ["normalize", "transcribe", "translate", "subtitles"]
+    assert len(list(calls.glob("heard-*"))) == 2 and len(list(calls.glob("said-*"))) == 2
+    srt = {r.job_id: r.content for r in kept.files().filter("path = 'subtitles/en.srt'").collect()}
+    assert srt["a"] == srt["b"] == "1\n00:00:00,500 --> 00:00:03,000\nAna viu tudo.\n\n2\n00:00:04,000 --> 00:00:07,000\nFoi assim.\n"
+    with pytest.raises(StageBlocked) as caught:
+        engine.run(["render"])
+    assert caught.value.code == "MEDIA_FAILURE"

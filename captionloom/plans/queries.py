@@ -183,14 +183,47 @@ def evaluate_candidates(spark, sf_dir):
     return _evaluations(spark, sf_dir).select("job_id", "candidate", *[F.round(m, 6).alias(m) for m in METRICS])
 
 
-@query(f"WITH RECURSIVE {SQL_EVALUATED}, {SQL_GATES} SELECT job_id, candidate, failed_gates, round(score, 6) AS score, CASE WHEN failed_gates = '' THEN 'eligible' ELSE 'rejected' END AS status FROM gd")
+def _judged(spark, sf_dir):
+    """Evaluations of four tracks; the terms are the first and the last word of each job's own text."""
+    segs = views.segments(spark, sf_dir)
+    text = metrics.transcript_text(segs, ["job_id"]).select("job_id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    terms = text.select("job_id", F.explode(F.array(F.element_at("t", 1), F.element_at("t", -1))).alias("term"))
+    return metrics.evaluate(segs, views.tracks(segs), terms, terms.limit(0).withColumnRenamed("term", "number"))
+
+
+SQL_OWN_TERMS = "rec AS (SELECT job_id, candidate, CASE WHEN len(e) = 0 THEN 1.0 ELSE (list_contains(g, e[1])::INT + list_contains(g, e[len(e)])::INT) / 2.0 END::DOUBLE AS glossary_term_recall, 1.0::DOUBLE AS number_recall FROM pair)"
+SQL_JUDGED = f"{SQL_TEXTS.replace(SQL_CANDIDATES, views.SQL_TRACKS)}, {SQL_WER}, {SQL_CER}, {SQL_OWN_TERMS}, {SQL_PUNCTUATION}, {SQL_IOU}, ev AS (SELECT * FROM wd JOIN cd USING (job_id, candidate) JOIN rec USING (job_id, candidate) JOIN f1 USING (job_id, candidate) JOIN iou USING (job_id, candidate)), {SQL_GATES}"
+
+
+@query(f"WITH RECURSIVE {SQL_JUDGED} SELECT job_id, candidate, failed_gates, round(score, 6) AS score, CASE WHEN failed_gates = '' THEN 'eligible' ELSE 'rejected' END AS status FROM gd")
 def candidate_gates(spark, sf_dir):
-    return metrics.gated(_evaluations(spark, sf_dir)).select("job_id", "candidate", F.array_join("failed_gates", ",").alias("failed_gates"), F.round("score", 6).alias("score"), "status")
+    return metrics.gated(_judged(spark, sf_dir)).select("job_id", "candidate", F.array_join("failed_gates", ",").alias("failed_gates"), F.round("score", 6).alias("score"), "status")
 
 
-@query(f"WITH RECURSIVE {SQL_EVALUATED}, {SQL_GATES}, {SQL_WINNERS} SELECT j.job_id, w.candidate AS selected, CASE WHEN j.n < 2 THEN 'ASR_CANDIDATES_INSUFFICIENT' WHEN w.candidate IS NULL THEN 'ASR_QUALITY_GATES_FAILED' END AS code FROM (SELECT job_id, count(*) AS n FROM gd GROUP BY job_id) j LEFT JOIN w USING (job_id)")
+@query(f"WITH RECURSIVE {SQL_JUDGED}, {SQL_WINNERS} SELECT j.job_id, w.candidate AS selected, CASE WHEN j.n < 2 THEN 'ASR_CANDIDATES_INSUFFICIENT' WHEN w.candidate IS NULL THEN 'ASR_QUALITY_GATES_FAILED' END AS code FROM (SELECT job_id, count(*) AS n FROM gd GROUP BY job_id) j LEFT JOIN w USING (job_id)")
 def select_winner(spark, sf_dir):
-    return metrics.select_winner(_evaluations(spark, sf_dir))
+    return metrics.select_winner(_judged(spark, sf_dir))
+
+
+#: Of the four tracks of a job some were not to be had and some failed, by the job's number.
+SQL_TRIED = "att AS (SELECT job_id, candidate, CASE WHEN (job_id::BIGINT + length(candidate)) % 7 = 0 THEN 'unavailable' WHEN (job_id::BIGINT + ascii(candidate)) % 5 = 0 THEN 'failed' ELSE 'ok' END AS outcome FROM gd)"
+
+
+def _tried(evaluations):
+    n = F.col("job_id").cast("long")
+    outcome = F.when((n + F.length("candidate")) % 7 == 0, "unavailable").when((n + F.ascii("candidate")) % 5 == 0, "failed").otherwise("ok")
+    return evaluations.select("job_id", "candidate", outcome.alias("outcome"))
+
+
+@query(
+    f"WITH RECURSIVE {SQL_JUDGED}, {SQL_TRIED}, ok AS (SELECT gd.* FROM gd JOIN att USING (job_id, candidate) WHERE outcome = 'ok'), n AS (SELECT job_id, count(*) FILTER (WHERE outcome = 'ok') AS n FROM att GROUP BY job_id), "
+    "w AS (SELECT job_id, candidate FROM ok WHERE failed_gates = '' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY wer, candidate <> 'native', score, candidate) = 1) "
+    "SELECT job_id, CASE WHEN n >= 2 THEN w.candidate END AS selected, CASE WHEN n < 2 THEN 'ASR_CANDIDATES_INSUFFICIENT' WHEN w.candidate IS NULL THEN 'ASR_QUALITY_GATES_FAILED' END AS code FROM n LEFT JOIN w USING (job_id)"
+)
+def bake_off_of_tracks(spark, sf_dir):
+    """The winner among what was to be had, from evaluations of the tracks themselves."""
+    judged = metrics.gated(_judged(spark, sf_dir))
+    return rereads.bake_off(judged, _tried(judged))
 
 
 SQL_SIMPLE = "evals AS (SELECT doc_id::VARCHAR AS job_id, unnest(['native', 'a', 'b']) AS candidate, doc_id AS d FROM documents WHERE doc_id IS NOT NULL), ev AS (SELECT job_id, candidate, ((d * 7 + length(candidate) * 3) % 30) / 100.0::DOUBLE AS wer, ((d * 11 + ascii(candidate)) % 20) / 100.0::DOUBLE AS cer, CASE WHEN (d + length(candidate)) % 9 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS glossary_term_recall, 1.0::DOUBLE AS number_recall, (d % 5) / 4.0::DOUBLE AS punctuation_f1, CASE WHEN (d + ascii(candidate)) % 11 = 0 THEN 0.4 ELSE 0.5 END::DOUBLE AS timing_iou FROM evals)"

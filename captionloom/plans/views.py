@@ -44,6 +44,14 @@ def candidates(segs: DataFrame) -> DataFrame:
     return track("drop7", dropped, 300).union(track("sub5", swapped, 700))
 
 
+def tracks(segs: DataFrame) -> DataFrame:
+    """candidates() and two good tracks that tie, 100 ms late: every eleventh turn ends in another word."""
+    words = F.split("text", " ")
+    ended = F.when(F.col("k") % 11 == 0, F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(F.lit("x")))).otherwise(words)
+    good = segs.select("job_id", F.explode(F.array(F.lit("native"), F.lit("twin"))).alias("candidate"), "seq", (F.col("start_ms") + 100).alias("start_ms"), (F.col("end_ms") + 100).alias("end_ms"), F.array_join(ended, " ").alias("text"))
+    return candidates(segs).union(good)
+
+
 def durations(segs: DataFrame) -> DataFrame:
     return segs.groupBy("job_id").agg((F.max("end_ms") / 1000).alias("duration"))
 
@@ -74,6 +82,8 @@ cand AS (
   SELECT s.job_id, 'drop7' AS candidate, s.seq, s.start_ms + 300 AS start_ms, s.end_ms + 300 AS end_ms, coalesce(d.text, '') AS text FROM seg s LEFT JOIN (SELECT job_id, seq, string_agg(w, ' ' ORDER BY i) AS text FROM words WHERE i % 7 <> 3 GROUP BY ALL) d USING (job_id, seq)
   UNION ALL
   SELECT s.job_id, 'sub5', s.seq, s.start_ms + 700, s.end_ms + 700, coalesce(d.text, '') FROM seg s LEFT JOIN (SELECT job_id, seq, string_agg(CASE WHEN i % 5 = 2 THEN 'x' ELSE w END, ' ' ORDER BY i) AS text FROM words GROUP BY ALL) d USING (job_id, seq))"""
+SQL_TRACKS = SQL_CANDIDATES.replace("cand AS (", "two AS (") + """,
+cand AS (SELECT * FROM two UNION ALL SELECT job_id, c.candidate, seq, start_ms + 100, end_ms + 100, CASE WHEN k % 11 = 0 THEN array_to_string(string_split(text, ' ')[:-2] || ['x'], ' ') ELSE text END FROM seg CROSS JOIN (SELECT unnest(['native', 'twin']) AS candidate) c)"""
 SQL_TRANSLATIONS = """
 src AS (SELECT *, start_ms / 1000.0::DOUBLE AS "start", end_ms / 1000.0::DOUBLE AS "end", confidence < 0.2 AS flagged FROM seg),
 tr AS (SELECT job_id, seq, id, k, "start" + (CASE WHEN k % 19 = 1 THEN 5 ELSE 0 END) / 1000.0::DOUBLE AS "start", "end", CASE WHEN k % 17 = 2 THEN text || ' 42' ELSE text END AS text, CASE WHEN k % 13 = 3 THEN false ELSE flagged END AS flagged FROM src WHERE k % 23 <> 0)"""

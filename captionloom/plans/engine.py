@@ -73,19 +73,30 @@ class Engine:
         self.given, self.present, self.config_sha256 = jobs, present, config_sha256
 
     def records(self) -> DataFrame:
-        return self._log("records", f"{schemas.STAGE_STATE}, recorded_at string")
+        """The records that can be used; what invalid() has is left out."""
+        return self._states().filter("rule is null").drop("rule")
 
-    def events(self) -> DataFrame:
-        """The event log as it is; streaming.events reads it as a stream. An event may stand there twice."""
-        return self._log("events", EVENT)
+    def invalid(self) -> DataFrame:
+        """(rule, n): how many lines of the ledger are no records, and why."""
+        return self._states().filter("rule is not null").groupBy("rule").agg(F.count("*").alias("n"))
 
-    def _log(self, name: str, schema: str) -> DataFrame:
+    def _states(self) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").json(f"{self.folder}/{name}")
+            lines = self.spark.read.option("recursiveFileLookup", "true").text(f"{self.folder}/records")
         except AnalysisException as e:  # the folder appears with the first record
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            lines = self.spark.createDataFrame([], "value string")
+        return ledger.decode_states(lines)
+
+    def events(self) -> DataFrame:
+        """The event log as it is; streaming.events reads it as a stream. An event may stand there twice."""
+        try:
+            return self.spark.read.schema(EVENT).option("recursiveFileLookup", "true").json(f"{self.folder}/events")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], EVENT)
 
     def jobs(self) -> DataFrame:
         return (self.records() if self.given is None else self.given).select("job_id").distinct()

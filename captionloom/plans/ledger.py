@@ -30,6 +30,38 @@ def dependencies(single: bool) -> dict[str, str]:
     return DEPENDENCIES | ({"transcribe": "normalize"} if single else {})
 
 
+#: What a record may say of a stage.
+STATUSES = ("running", "complete", "blocked")
+
+
+def decode_states(lines: DataFrame, column: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of a job-state log as records (schemas.STAGE_STATE and recorded_at) with `rule`, what is wrong with each, null if nothing.
+
+    A line that is no JSON object of these types, without a job, of an unknown stage or status, without
+    a time, blocked without a code, or whose outputs lack a path, a size or a hash, is not used; the
+    rule tells no content. Null and empty lines are no objects; keys beyond these are ignored; columns to
+    `carry` ride along.
+    """
+    from captionloom import schemas
+
+    broken = "_broken"
+    shape = f"{schemas.STAGE_STATE}, recorded_at string, {broken} string"
+    text = F.coalesce(F.col(column), F.lit(""))
+    read = lines.select(F.from_json(text, shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}).alias("r"), *carry).select("r.*", *carry)
+    object_ = F.col(broken).isNull() & F.coalesce("job_id", "stage", "status", "recorded_at").isNotNull()
+    output = lambda o: o.isNotNull() & (F.length(o["path"]) > 0) & (o["bytes"] >= 0) & (F.length(o["sha256"]) > 0)
+    rule = (
+        F.when(~object_, "not a record")
+        .when(F.coalesce(F.length(F.trim("job_id")), F.lit(0)) == 0, "no job")
+        .when(~F.coalesce(F.col("stage").isin("acquire", *ALL_STAGES), F.lit(False)), "unknown stage")
+        .when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "unknown status")
+        .when(F.col("recorded_at").try_cast("timestamp").isNull(), "no time")
+        .when((F.col("status") == "blocked") & (F.coalesce(F.length("code"), F.lit(0)) == 0), "no code")
+        .when(~F.coalesce(F.forall("outputs", lambda o: F.coalesce(output(o), F.lit(False))), F.lit(True)), "output incomplete")
+    )
+    return read.withColumn("rule", rule).drop(broken)
+
+
 def latest_state(records: DataFrame, by: str = "recorded_at") -> DataFrame:
     """The newest record of each (job_id, stage)."""
     rest = [c for c in records.columns if c not in ("job_id", "stage")]

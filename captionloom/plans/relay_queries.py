@@ -241,3 +241,25 @@ def stream_job_changes(spark, sf_dir):
     log = twice.select(F.floor(n / 40).cast("string").alias("job_id"), stage.alias("stage"), status.alias("status"), F.when(n % 53 == 0, "X").alias("code"), n.cast("string").alias("attempt"), F.timestamp_seconds(n + 1_600_000_000).alias("at"))
     folder = f"{shared_folder(spark)}/captionloom-jobs-{uuid.uuid4().hex}"
     return job_stream.follow(job_stream.job_changes(log), folder).select("job_id", "status", "changes")
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 37 = 1 THEN 'not a record' WHEN event_id % 41 = 2 THEN 'no job' WHEN event_id % 43 = 3 THEN 'unknown stage' WHEN event_id % 47 = 4 THEN 'unknown status' WHEN event_id % 53 = 5 THEN 'no time' WHEN event_id % 5 = 2 AND event_id % 59 < 30 THEN 'no code' WHEN event_id % 61 = 6 THEN 'output incomplete' WHEN event_id % 67 = 7 THEN 'not a record' END AS rule FROM events WHERE event_id IS NOT NULL"
+)
+def state_shapes(spark, sf_dir):
+    """Lines of a job-state log, one an event, damaged in every way that is told apart."""
+    n = F.col("event_id")
+    e = views.table(spark, sf_dir, "events").filter("event_id is not null")
+    status = F.when(n % 5 == 2, "blocked").otherwise("complete")
+    out = F.struct(F.lit("out").alias("path"), F.when(n % 61 == 6, -1).otherwise(n).alias("bytes"), F.lit("h").alias("sha256"))
+    line = F.to_json(
+        F.struct(
+            F.when(n % 41 == 2, " ").otherwise(n.cast("string")).alias("job_id"), F.when(n % 43 == 3, "no-stage").otherwise("translate").alias("stage"), F.when(n % 47 == 4, "done").otherwise(status).alias("status"),
+            F.when(n % 53 == 5, "soon").otherwise("2026-01-01T00:00:00+00:00").alias("recorded_at"), F.when((n % 5 == 2) & (n % 59 >= 30), "X").alias("code"), F.array(out).alias("outputs"), F.lit(1).alias("extra"),
+        )
+    )
+    wrong = F.when(n % 37 == 1, F.when(n % 2 == 0, "no json").otherwise("[]")).when(n % 67 == 7, '{"job_id": "a", "stage": "translate", "status": "complete", "recorded_at": "2026-01-01T00:00:00Z", "outputs": "none"}').otherwise(line)
+    # A line damaged in two ways is told by the first of the rules; the last damage would hide the others.
+    hidden = (n % 41 == 2) | (n % 43 == 3) | (n % 47 == 4) | (n % 53 == 5) | ((n % 5 == 2) & (n % 59 < 30)) | (n % 61 == 6)
+    lines = e.select("event_id", F.when((n % 67 == 7) & hidden & (n % 37 != 1), line).otherwise(wrong).alias("value"))
+    return ledger.decode_states(lines, carry=("event_id",)).select("event_id", "rule")

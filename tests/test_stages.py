@@ -168,3 +168,18 @@ def test_providers_are_asked_once_for_each_chunk(spark, tmp_path):
     with pytest.raises(StageBlocked) as caught:
         engine.run(["render"])
     assert caught.value.code == "MEDIA_FAILURE"
+
+
+def test_state_lines_that_are_no_records(spark, tmp_path):
+    good = {"job_id": "j", "stage": "translate", "status": "complete", "recorded_at": "2026-01-01T00:00:00+00:00", "outputs": [{"path": "p", "bytes": 0, "sha256": "h"}], "more": [1]}
+    cases = [
+        (good, None), ({**good, "outputs": None}, None), ({**good, "outputs": []}, None), ("", "not a record"), (None, "not a record"), ("{", "not a record"), ([good], "not a record"), ({}, "not a record"), ({**good, "outputs": "x"}, "not a record"), ({**good, "job_id": None}, "no job"), ({**good, "job_id": " "}, "no job"),
+        ({**good, "stage": "other"}, "unknown stage"), ({**good, "status": "done"}, "unknown status"), ({**good, "recorded_at": "soon"}, "no time"), ({**good, "status": "blocked"}, "no code"), ({**good, "status": "blocked", "code": "X"}, None), ({**good, "outputs": [{"path": "", "bytes": 1, "sha256": "h"}]}, "output incomplete"), ({**good, "outputs": [None]}, "output incomplete"),
+    ]
+    lines = spark.createDataFrame([(k, c if c is None or isinstance(c, str) else json.dumps(c)) for k, (c, _) in enumerate(cases)], "k int, value string")
+    assert [r.rule for r in ledger.decode_states(lines, carry=("k",)).orderBy("k").collect()] == [w for _, w in cases]
+    (tmp_path / "records").mkdir()
+    (tmp_path / "records" / "a.json").write_text("\n".join(r.value for r in lines.collect() if r.value))
+    engine = Engine(spark, str(tmp_path), {})
+    assert engine.records().count() == 4 and {r.rule: r.n for r in engine.invalid().collect()}["no job"] == 2
+    assert engine.status().count() == 1

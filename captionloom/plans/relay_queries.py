@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from captionloom.operators import evidence, metrics
 from captionloom.plans import ledger, stages, views
 from captionloom.plans.engine import Engine, ProviderError
-from captionloom.plans.queries import SQL_LAYOUT, TOKENS, query
+from captionloom.plans.queries import SQL_CUES, SQL_LAYOUT, SQL_SRT, SQL_VTT, TOKENS, _plain_cues, query
 from captionloom.session import shared_folder
+from captionloom.sources import captions, publish
 from captionloom.streaming import jobs as job_stream
 
 STAGES = ("normalize", "transcribe", "translate", "subtitles", "render", "validate", "manifest")
@@ -263,3 +264,16 @@ def state_shapes(spark, sf_dir):
     hidden = (n % 41 == 2) | (n % 43 == 3) | (n % 47 == 4) | (n % 53 == 5) | ((n % 5 == 2) & (n % 59 < 30)) | (n % 61 == 6)
     lines = e.select("event_id", F.when((n % 67 == 7) & hidden & (n % 37 != 1), line).otherwise(wrong).alias("value"))
     return ledger.decode_states(lines, carry=("event_id",)).select("event_id", "rule")
+
+
+@query(f"WITH {views.SQL_SEGMENTS}, {SQL_CUES}, n AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS seq, start_ms, end_ms, text FROM cue) SELECT job_id, 'en.srt' AS file, md5({SQL_SRT}) AS digest FROM n GROUP BY job_id UNION ALL SELECT job_id, 'en.vtt', md5({SQL_VTT}) FROM n GROUP BY job_id")
+def published_captions(spark, sf_dir):
+    """Both caption files of every job, written by the sink of files and read back from where they are."""
+    cues = _plain_cues(views.segments(spark, sf_dir))
+    made = [f(cues, ["job_id"]).select("job_id", F.lit(p).alias("path"), "content") for f, p in ((captions.render_srt, "en.srt"), (captions.render_vtt, "en.vtt"))]
+    folder = f"{shared_folder(spark)}/captionloom-published-{uuid.uuid4().hex}"
+    publish.publish(made[0].union(made[1]), folder)
+    # What is read back is content, not text: line ends and the last character count.
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    place = F.split("path", "/")
+    return read.select(F.element_at(place, -2).alias("job_id"), F.element_at(place, -1).alias("file"), F.md5("content").alias("digest"))

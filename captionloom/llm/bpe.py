@@ -221,7 +221,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and the text of `ids`; null ids are an empty text; bytes that are no UTF-8 become U+FFFD."""
+    """doc_id and the text of `ids`; null ids are an empty text; bytes that are no UTF-8 become U+FFFD.
+
+    Repeated rows are decoded each; an empty table gives none; texts of any length are one row's memory.
+    """
 
     def make():
         c = codec(path, pattern)
@@ -234,7 +237,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, number of ids, SHA-256 of the ids, SHA-256 of the bytes decoded from them.
 
     Null and empty texts have no ids; repeated rows are encoded each; an empty table gives none;
-    further columns are left out.
+    texts are encoded whole, in time linear in their length; further columns are left out.
     """
 
     def make():

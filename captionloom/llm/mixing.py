@@ -28,7 +28,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sources in order of code points, null last, weigh `weights` in turn. With caps c = most x size and
     targets min(c, L x weight), the level L is the only one at which targets add up to share x total:
     resharing the excess by weight ends there. Sources are sorted by c / weight; those before the
-    level are at their caps. A row for each source: one task can hold them.
+    level are at their caps. A row for each source, which one task must hold: millions of them, not
+    billions. A null source is the last; an empty table gives none; sources of size 0 get target 0.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)

@@ -193,7 +193,8 @@ def with_neighbours(docs: DataFrame, fn, schema: str) -> DataFrame:
 
     After the last comes the first. Documents are dealt in stretches of doc_id and sorted there; the
     head of each stretch is also sent, as a sentinel, to the end of the stretch before it. Rows with
-    equal doc_id follow each other in order of their texts' hashes.
+    equal doc_id follow each other in order of their texts' hashes. Null texts are empty; an empty table
+    gives none. Rows of one doc_id, and those without, are one stretch.
     """
     spark = docs.sparkSession
     prepare(spark)

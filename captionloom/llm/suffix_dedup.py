@@ -357,7 +357,10 @@ class Regions:
 
 
 def removed_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, sub, first, last): runs of window starts to remove from keyed docs, doc being doc_id or NO_ID."""
+    """(doc, sub, first, last): runs of window starts to remove from keyed docs, doc being doc_id or NO_ID.
+
+    Null texts are empty and have none; equal rows have equal runs; an empty table gives none.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchor_shards, region_shards = max(8, -(-total // ANCHOR_SHARD)), max(16, -(-total // REGION_SHARD))
     often = common_grams(docs, least)
@@ -517,8 +520,8 @@ def dedup_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     Null and empty texts, and texts shorter than `least` bytes, lose nothing. Equal rows are
     the same document and lose the same bytes; different texts without a doc_id, or under one, are
-    documents of their own in order of their hash; a null doc_id comes after all others. An empty
-    table gives none.
+    documents of their own in order of their hash; a null doc_id comes after all others. Texts of any
+    length are looked at whole, in slabs. An empty table gives none.
     """
 
     def make():
@@ -532,7 +535,10 @@ def dedup_digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def dedup_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, text): what is left of each text; bytes cut out of a character become U+FFFD."""
+    """(doc_id, text): what is left of each text; bytes cut out of a character become U+FFFD.
+
+    Null, empty, repeated and very long texts, and empty tables, fare as in dedup_digests().
+    """
 
     def make():
         return lambda doc_id, n_bytes, text, firsts, lasts: [doc_id, [_kept(t, n, a, b, least)[0].decode(errors="replace") for t, n, a, b in zip(text, n_bytes, firsts, lasts, strict=True)]]

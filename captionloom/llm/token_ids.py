@@ -174,7 +174,11 @@ def library_encoder(path: str, odd: bytes) -> LibraryEncoder:
 
 
 def encode_with_library(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and `ids` (zstd of unsigned 32-bit ids, the end id last) of each whole text."""
+    """doc_id and `ids` (zstd of unsigned 32-bit ids, the end id last) of each whole text.
+
+    Null and empty texts have the end id alone; repeated rows are encoded each; an empty table gives none;
+    further columns are left out.
+    """
     odd = odd_characters()
 
     def make():
@@ -199,7 +203,7 @@ def _raw(ids: list[bytes], counts: list[int]) -> np.ndarray:
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
-    """(id, n) over the whole corpus; each task sums before it sends."""
+    """(id, n) over the whole corpus; each task sums before it sends. Repeated rows count each; an empty table gives none."""
     prepare(encoded.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
@@ -257,13 +261,14 @@ def write_corpus(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary): each document's ids as little-endian unsigned 32-bit bytes.
 
-    `start` counts the ids of all documents before it in the corpus.
+    `start` counts the ids of all documents before it in the corpus. A row for each document written,
+    repeated and null doc_ids too; a corpus of no blocks gives none.
     """
     return _read(spark, folder, "ids binary", lambda part: part.tobytes())
 
 
 def corpus_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files; rows as read_corpus() has them."""
     return _read(spark, folder, "ids_crc32 long", lambda part: zlib.crc32(part.tobytes()))
 
 

@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents; what a stage returns is written to the shared folder before the next."""
+    """All stages over sf_dir's documents; what a stage returns is written to the shared folder before the next.
+
+    Null, empty, repeated and very long texts fare as the stages say; an empty table gives no rows.
+    """
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from captionloom.functions.text import format_timestamp, parse_timestamp, strip
 
@@ -86,25 +86,78 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     return parse_srt(files.filter(~is_vtt), ["path"]).union(parse_vtt(files.filter(is_vtt), ["path"]))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Files, and their bytes, that one task reads.
+PACK_FILES, PACK_BYTES = 2_000, 32 << 20
 
 
-class _CueReader(DataSourceReader):
-    def __init__(self, path: str, suffix: str):
-        self.path, self.suffix = path, suffix
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
-    def partitions(self) -> list[_File]:
-        """A partition for each file. The path is one that driver and executors share."""
-        from pathlib import Path
 
-        root = Path(self.path.removeprefix("file://"))
-        return [_File(str(p)) for p in ([root] if root.is_file() else sorted(root.rglob(f"*{self.suffix}")))]
+class _CueReader(DataSourceReader):
+    """Cues of many small files, some thousands of them a task, from any store that pyarrow reaches.
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8-sig", newline="") as f:
-            text = f.read().replace("\r\n", "\n").strip()
+    With the option `errors` set to `rows`, a file that is no UTF-8 or that cannot be opened, and one without a cue, is a
+    row of its own with a code; otherwise the first fails the query and the second has no row. Comparisons
+    of `path` with a string, or with a list of them, leave other files unopened.
+    """
+
+    def __init__(self, path: str, suffix: str, coded: bool = False):
+        self.path, self.suffix, self.coded, self.wanted = path, suffix, coded, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else None
+            if values is None or tuple(f.attribute) != ("path",):
+                yield f
+            else:
+                self.wanted = set(values) if self.wanted is None else self.wanted & set(values)
+
+    def partitions(self) -> list[_Files]:
+        """Files in order of their path, packed by number and bytes. The path is one that driver and executors share."""
+        from pyarrow import fs
+
+        from captionloom.sources.publish import _store
+
+        store, root = _store(self.path)
+        info = store.get_file_info(root)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.is_file else [x for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and x.base_name.lower().endswith(self.suffix)]
+        out: list[list[str]] = []
+        size = 0
+        for x in sorted(found, key=lambda x: x.path):
+            if self.wanted is not None and x.path not in self.wanted:
+                continue
+            if not out or len(out[-1]) >= PACK_FILES or size + x.size > PACK_BYTES:
+                out.append([])
+                size = 0
+            out[-1].append(x.path)
+            size += x.size
+        return [_Files(paths) for paths in out] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        from captionloom.sources.publish import _store
+
+        store, _ = _store(self.path)
+        for path in partition.paths:
+            n = 0
+            try:
+                with store.open_input_stream(path) as f:
+                    text = f.read().decode("utf-8-sig").replace("\r\n", "\n").strip()
+            except (OSError, UnicodeDecodeError):
+                if not self.coded:
+                    raise
+                yield path, None, None, None, None, "SUBTITLES_INVALID"
+                continue
+            for cue in self._cues(text):
+                n += 1
+                yield (path, *cue, None) if self.coded else (path, *cue)
+            if self.coded and not n:
+                yield path, None, None, None, None, "SUBTITLES_EMPTY"
+
+    def _cues(self, text: str) -> Iterator[tuple]:
         number, stamp = 0, re.compile(r"(\d+):(\d+):(\d+)[,.](\d+)$")
 
         def ms(s: str) -> int | None:
@@ -113,7 +166,7 @@ class _CueReader(DataSourceReader):
 
         if self.suffix == ".srt":
             for n, s, e, t in re.findall(SRT_BLOCK.replace(r"\z", r"\Z"), text):
-                yield partition.path, int(n), ms(s), ms(e), t.strip()
+                yield int(n), ms(s), ms(e), t.strip()
             return
         for block in re.split(r"\n\s*\n", text):
             lines = re.split(r"[\n\r]", block)
@@ -121,11 +174,11 @@ class _CueReader(DataSourceReader):
             if at is not None:
                 s, e = lines[at].split(" --> ", 1)
                 number += 1
-                yield partition.path, number, ms(s.strip()), ms(e.split()[0]), "\n".join(x for x in lines[at + 1 :] if x.strip())
+                yield number, ms(s.strip()), ms(e.split()[0]), "\n".join(x for x in lines[at + 1 :] if x.strip())
 
 
 class SrtSource(DataSource):
-    """spark.read.format("srt").load(path) -> CUE_SCHEMA"""
+    """spark.read.format("srt").load(path) -> CUE_SCHEMA, and `code` with the option errors=rows"""
 
     suffix = ".srt"
 
@@ -133,11 +186,15 @@ class SrtSource(DataSource):
     def name(cls) -> str:
         return cls.suffix[1:]
 
+    @property
+    def coded(self) -> bool:
+        return self.options.get("errors", "").lower() == "rows"
+
     def schema(self) -> str:
-        return CUE_SCHEMA
+        return CUE_SCHEMA + (", code string" if self.coded else "")
 
     def reader(self, schema) -> _CueReader:
-        return _CueReader(self.options["path"], self.suffix)
+        return _CueReader(self.options["path"], self.suffix, self.coded)
 
 
 class VttSource(SrtSource):
@@ -145,5 +202,7 @@ class VttSource(SrtSource):
 
 
 def register(spark: SparkSession) -> None:
+    # Filters on the path are taken by the reader.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SrtSource)
     spark.dataSource.register(VttSource)

@@ -56,12 +56,13 @@ def near_copy_errors(rows: DataFrame, id_: str = "doc_id", text: str = "text", s
     Texts are folded as for the character error rate, of which the other's is the expected one; see
     near_copies() for which rows are compared.
     """
-    pairs = near_copies(rows, id_, text, shared)
+    # A pair that is alike at both ends is measured once.
+    pairs = near_copies(rows, id_, text, shared).groupBy("id", "other").agg(F.sort_array(F.collect_set("side")).alias("sides"))
     of = lambda name, key: rows.filter(F.col(id_).isNotNull()).select(F.col(id_).alias(key), F.col(text).alias(name))
     both = pairs.join(of("_mine", "id"), "id").join(of("_other", "other"), "other")
-    folded = both.select("id", "side", "other", F.array_join(tokens(F.col("_other")), "").alias("_a"), F.array_join(tokens(F.col("_mine")), "").alias("_b"))
-    measured = spread(folded, "id", "side").withColumn("distance", text_distance(F.col("_a"), F.col("_b")))
-    return measured.select("id", "side", "other", F.length("_a").alias("n_chars"), "distance", error_rate(F.col("distance"), F.length("_a"), F.length("_b")).alias("cer"))
+    folded = both.select("id", "sides", "other", F.array_join(tokens(F.col("_other")), "").alias("_a"), F.array_join(tokens(F.col("_mine")), "").alias("_b"))
+    measured = spread(folded, "id", "other").withColumn("distance", text_distance(F.col("_a"), F.col("_b")))
+    return measured.select("id", F.explode("sides").alias("side"), "other", F.length("_a").alias("n_chars"), "distance", error_rate(F.col("distance"), F.length("_a"), F.length("_b")).alias("cer"))
 
 
 def term_recall(terms: Column, candidate: Column) -> Column:

@@ -712,4 +712,4 @@ def reread_codes(spark, sf_dir):
     return out
 
 
-from captionloom.plans import relay_queries  # noqa: E402, F401  (registers its queries)
+from captionloom.plans import stage_queries  # noqa: E402, F401  (registers its queries)

@@ -39,8 +39,8 @@ def translator(segments: list[dict], *, source_language: str, target_language: s
     return [{"id": s["id"], "text": s["text"] + (" 42" if s["text"].startswith("[count]") else "")} for s in kept]
 
 
-def _relay(spark, sf_dir) -> tuple[DataFrame, stages.Relay, DataFrame]:
-    """(jobs, relay, receipts) of the sample's conversations."""
+def _sample(spark, sf_dir) -> tuple[DataFrame, stages.JobStages, DataFrame]:
+    """(jobs, work, receipts) of the sample's conversations."""
     segs = views.segments(spark, sf_dir)
     number = F.col("job_id").cast("long")
     kind = number % 20
@@ -73,7 +73,7 @@ def _relay(spark, sf_dir) -> tuple[DataFrame, stages.Relay, DataFrame]:
     frame = lambda side, pixels: place.select("job_id", F.lit(side).alias("side"), "ordinal", F.concat(F.lit(f"validation/{side}/"), "ordinal", F.lit(".rgb")).alias("path"), pixels.alias("pixels"))
     burned = frame("burned", F.when(kind == 14, F.lit(dark)).otherwise(F.lit(lit))).filter(~((kind == 15) & (F.col("ordinal") == 1)))
     frames = frame("source", F.lit(dark)).union(burned).select("job_id", "side", "ordinal", "path", F.sha2("pixels", 256).alias("sha256"), F.lit(4).alias("width"), F.lit(4).alias("height"), "pixels")
-    return jobs, stages.Relay(media, probes, rendered, frames, recogniser, translator, audio), receipts
+    return jobs, stages.JobStages(media, probes, rendered, frames, recogniser, translator, audio), receipts
 
 
 def _damage(jobs: DataFrame) -> DataFrame:
@@ -85,24 +85,24 @@ def _damage(jobs: DataFrame) -> DataFrame:
     return jobs.filter(kind.isin(16, 17, 18)).select("job_id", path.alias("path"), content.alias("content"))
 
 
-def run_relay(spark, sf_dir) -> Engine:
+def run_stages(spark, sf_dir) -> Engine:
     """An engine that has run all stages for all jobs of the sample."""
-    jobs, relay, receipts = _relay(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/captionloom-relay-{uuid.uuid4().hex}"
+    jobs, work, receipts = _sample(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/captionloom-stages-{uuid.uuid4().hex}"
     kept = stages.Artifacts(spark, f"{folder}/artifacts")
     kept.add(receipts, 0)
-    engine = Engine(spark, f"{folder}/ledger", relay.stages(kept), True, jobs, kept.present)
-    engine.acquired(relay.media.select("job_id", "path", "bytes", "sha256"))
+    engine = Engine(spark, f"{folder}/ledger", work.stages(kept), True, jobs, kept.present)
+    engine.acquired(work.media.select("job_id", "path", "bytes", "sha256"))
     engine.run(list(STAGES[:-1]))
     kept.add(_damage(jobs), 90)
     good = engine.status().filter("status = 'in_progress'").select("job_id")
-    last = Engine(spark, f"{folder}/ledger", relay.stages(kept, 100), True, good, kept.present)
+    last = Engine(spark, f"{folder}/ledger", work.stages(kept, 100), True, good, kept.present)
     last.run([STAGES[-1]])
     return last
 
 
 #: The stage that blocks a job is the first that finds a fault; cues are laid out and judged as for the other queries.
-SQL_RELAY = f"""
+SQL_OUTCOMES = f"""
 turns AS (SELECT conv_id, turn, translate(coalesce(text, ''), '{DIGITS}', '{LETTERS}') AS text, 2 * greatest(1000, length(coalesce(text, '')) * 50)::BIGINT AS dur FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 seg AS (SELECT conv_id::VARCHAR AS job_id, conv_id % 20 AS kind, turn::INTEGER AS seq, conv_id::VARCHAR || '-' || turn::VARCHAR AS id, text,
   (sum(dur + {2 * views.PAUSE_MS}) OVER (PARTITION BY conv_id ORDER BY turn) - dur - {2 * views.PAUSE_MS})::BIGINT AS start_ms, (sum(dur + {2 * views.PAUSE_MS}) OVER (PARTITION BY conv_id ORDER BY turn) - {2 * views.PAUSE_MS})::BIGINT AS end_ms FROM turns),
@@ -123,10 +123,10 @@ ord AS (SELECT unnest([{', '.join(repr(s) for s in STAGES)}]) AS stage, unnest(r
 ran AS (SELECT job_id, stage, k, CASE WHEN k = stop THEN 'blocked' ELSE 'complete' END AS status, CASE WHEN k = stop THEN code END AS code FROM fault JOIN ord ON k <= stop)"""
 
 
-@query(f"WITH RECURSIVE {SQL_RELAY} SELECT job_id, stage, status, code FROM ran")
+@query(f"WITH RECURSIVE {SQL_OUTCOMES} SELECT job_id, stage, status, code FROM ran")
 def stage_outcomes(spark, sf_dir):
     """Every stage of every job, one job's failure kept apart from the others'."""
-    return ledger.latest_state(run_relay(spark, sf_dir).records()).filter("stage != 'acquire'").select("job_id", "stage", "status", "code")
+    return ledger.latest_state(run_stages(spark, sf_dir).records()).filter("stage != 'acquire'").select("job_id", "stage", "status", "code")
 
 
 #: Pictures of 6 x 5 points; a channel's value follows from the event, the place and, in the burned picture, the overlay.

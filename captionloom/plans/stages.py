@@ -63,7 +63,7 @@ class Artifacts:
 
 
 @dataclass
-class Relay:
+class JobStages:
     """The stages of jobs whose media are known by tables.
 
     `media` has (job_id, path, bytes, sha256, writable) of the source files, `probes` (job_id, probe) the

@@ -156,11 +156,11 @@ def test_providers_are_asked_once_for_each_chunk(spark, tmp_path):
     probes = frame([(j, json.dumps({"format": {"duration": "9"}, "streams": []})) for j in "ab"], "job_id string, probe string")
     rendered = frame([], "job_id string, path string, bytes long, sha256 string, duration double, streams array<struct<codec_type: string, codec_name: string, language: string>>")
     frames_ = frame([], "job_id string, side string, ordinal int, path string, sha256 string, width int, height int, pixels binary")
-    relay = stages.Relay(media, probes, rendered, frames_, recogniser, translator)
+    work = stages.JobStages(media, probes, rendered, frames_, recogniser, translator)
     kept = stages.Artifacts(spark, str(tmp_path / "artifacts"))
     receipt = json.dumps({"status": "PASS", "transport": "local", "source_path": "source/source.mp4", "bytes": 5, "sha256": "h"})
     kept.add(frame([(j, stages.RECEIPT, receipt) for j in "ab"], "job_id string, path string, content string"), 0)
-    engine = Engine(spark, str(tmp_path / "ledger"), relay.stages(kept), jobs=frame([("a",), ("b",)], "job_id string"), present=kept.present)
+    engine = Engine(spark, str(tmp_path / "ledger"), work.stages(kept), jobs=frame([("a",), ("b",)], "job_id string"), present=kept.present)
     assert engine.run(["normalize", "transcribe", "translate", "subtitles"]) == ["normalize", "transcribe", "translate", "subtitles"]
     assert len(list(calls.glob("heard-*"))) == 2 and len(list(calls.glob("said-*"))) == 2
     srt = {r.job_id: r.content for r in kept.files().filter("path = 'subtitles/en.srt'").collect()}

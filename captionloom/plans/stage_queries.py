@@ -131,6 +131,9 @@ def stage_outcomes(spark, sf_dir):
 
 #: Pictures of 6 x 5 points; a channel's value follows from the event, the place and, in the burned picture, the overlay.
 WIDTH, HEIGHT = 6, 5
+PICTURE = WIDTH * HEIGHT * 3
+PLAIN = b"".join(bytes((e * 7 + i * 13) % 200 for i in range(PICTURE)) for e in range(200))
+OVERLAID = b"".join(bytes((e * 7 + i * 13) % 200 + (20 + e % 10 if i % 9 < e % 6 else 0) for i in range(PICTURE)) for e in range(600))
 SQL_FRAMES = """
 f AS (SELECT event_id AS e, (event_id // 8)::VARCHAR AS job_id, (event_id % 8)::INTEGER AS ordinal FROM events WHERE event_id IS NOT NULL),
 px AS (SELECT e, job_id, ordinal, unnest(range(36, 90)) AS i FROM f),
@@ -142,12 +145,12 @@ def _frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(source, burned) frames of eight events a job: some burned ones are missing, empty or of another size, some have no overlay."""
     e = F.col("event_id")
     rows = views.table(spark, sf_dir, "events").filter("event_id is not null").select("event_id", F.floor(e / 8).cast("string").alias("job_id"), (e % 8).cast("int").alias("ordinal"))
-    value = lambda i: (e * 7 + i * 13) % 200
-    over = lambda i: F.when((e % 11 != 3) & (i % 9 < e % 6), (value(i) + 20 + e % 10) % 256).otherwise(value(i))
-    pixels = lambda of: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(WIDTH * HEIGHT * 3 - 1).cast("bigint")), lambda i: F.lpad(F.hex(of(i)), 2, "0")), ""))
+    # A picture depends on the event's number modulo 6,600 alone: with an overlay on its remainder by 600, else by 200.
+    pixels = lambda table, n: F.substring(F.lit(table), (F.pmod(e, F.lit(n)) * PICTURE + 1).cast("int"), F.lit(PICTURE))
+    plain, overlaid = pixels(PLAIN, 200), F.when(e % 11 != 3, pixels(OVERLAID, 600)).otherwise(pixels(PLAIN, 200))
     size = lambda w: [w.alias("width"), F.lit(HEIGHT).alias("height")]
-    source = rows.select("job_id", "ordinal", *size(F.lit(WIDTH)), pixels(value).alias("pixels"))
-    burned = rows.filter(e % 97 != 8).select("job_id", "ordinal", *size(F.when(e % 29 == 5, WIDTH + 1).otherwise(F.lit(WIDTH))), F.when(e % 83 == 9, F.unhex(F.lit(""))).otherwise(pixels(over)).alias("pixels"))
+    source = rows.select("job_id", "ordinal", *size(F.lit(WIDTH)), plain.alias("pixels"))
+    burned = rows.filter(e % 97 != 8).select("job_id", "ordinal", *size(F.when(e % 29 == 5, WIDTH + 1).otherwise(F.lit(WIDTH))), F.when(e % 83 == 9, F.unhex(F.lit(""))).otherwise(overlaid).alias("pixels"))
     return source, burned
 
 

@@ -17,9 +17,9 @@ SCORE = {"cer": 0.35, "glossary_term_recall": 0.15, "number_recall": 0.15, "punc
 
 def transcript_text(segments: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text): the stripped texts that are not blank, in order of seq, joined by a space."""
-    said = segments.filter(~is_blank(F.col("text"))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", strip(F.col("text")).alias("text")))).alias("_said"))
-    every = segments.select(*keys).distinct()
-    return every.join(said, keys, "left").select(*keys, F.coalesce(F.array_join(F.transform("_said", lambda s: s["text"]), " "), F.lit("")).alias("text"))
+    said = F.collect_list(F.when(~is_blank(F.col("text")), F.struct("seq", strip(F.col("text")).alias("text"))))
+    rows = segments.groupBy(*keys).agg(F.array_sort(said).alias("_said"))
+    return rows.select(*keys, F.array_join(F.transform("_said", lambda s: s["text"]), " ").alias("text"))
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:

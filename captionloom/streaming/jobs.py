@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KEY = ("job_id", "stage", "attempt", "status")
 CHANGES = "job_id string, status string, stage string, code string, at timestamp, changes long"
 
-#: Stateful processors keep their state in this store.
+#: What is held of a job between batches: its newest event and how often its state has changed.
+HELD = "job_id string, stage string, status string, at timestamp, changes long"
+
+#: The state of the stream is kept in this store, outside the heap.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,72 +25,63 @@ def once(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(list(KEY))
 
 
-def overall(stage: str, status: str) -> str:
+def overall(stage: Column, status: Column) -> Column:
     """What a job has come to by its newest event, as ledger.overall_status() has it."""
-    return "blocked" if status == "blocked" else "complete" if status == "complete" and stage == "manifest" else "in_progress"
-
-
-class JobStates(StatefulProcessor):
-    """Keeps each job's newest event and how often its state has changed; gives a row for each change.
-
-    Events of one batch are taken in order of their time; an event older than the newest seen changes nothing.
-    Of equal times the greater stage and status counts, so that the order of arrival does not matter.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "at timestamp, stage string, status string, state string, changes long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).dropna(subset=["at", "stage", "status"]).sort_values(["at", "stage", "status"])
-        held = self.newest.get()
-        last = None if held is None else (pd.Timestamp(held[0]), held[1], held[2])
-        state, changes = (None, 0) if held is None else (held[3], held[4])
-        out = []
-        for at, stage, status, code in zip(seen["at"], seen["stage"], seen["status"], seen["code"], strict=True):
-            if last is not None and (at, stage, status) <= last:
-                continue
-            last = (at, stage, status)
-            now = overall(stage, status)
-            if now != state:
-                state, changes = now, changes + 1
-                out.append((key[0], state, stage, code, at, changes))
-        if last is not None:
-            self.newest.update((last[0].to_pydatetime(), last[1], last[2], state, changes))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    def close(self) -> None:
-        pass
+    return F.when(status == "blocked", "blocked").when((status == "complete") & (stage == "manifest"), "complete").otherwise("in_progress")
 
 
 def job_changes(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """(job_id, status, stage, code, at, changes): a row each time a job's state changes, the changes counted.
-
-    Replayed events are taken once, late ones change nothing. A job's last row is its state. On a stream, to be
-    written in append mode with at-least-once sinks keyed by (job_id, changes).
-    """
+    """(job_id, stage, status, code, at): the events that can change a job's state, each once; follow() tells which do."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     distinct = once(events.filter("job_id is not null and stage is not null and at is not null"), late)
-    return distinct.select("job_id", "stage", "status", "code", "at").groupBy("job_id").transformWithStateInPandas(JobStates(), CHANGES, "append", "none")
+    return distinct.filter("status is not null").select("job_id", "stage", "status", "code", "at")
 
 
-def follow(changes: DataFrame, folder: str) -> DataFrame:
-    """Run job_changes() to the end of its input: the last row of each job.
+def changes_of(events: DataFrame, held: DataFrame) -> DataFrame:
+    """(CHANGES, event, changed, newest): rows of a batch's events that change their job's state or are its newest.
 
-    Batches are written to `folder` under their number, so that one written again replaces itself; the checkpoint
-    is there too, and a later call goes on from it. Without input there are no rows.
+    Events of one batch are taken in order of their time; an event older than the newest held changes nothing.
+    Of equal times the greater stage and status counts, so that the order of arrival does not matter. A
+    job of which nothing came keeps what is held as its newest. All windows share one exchange and one sort.
     """
-    spark: SparkSession = changes.sparkSession
-    sink = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={k}")
-    query = changes.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    rows = events.withColumns({"changes": F.lit(None).cast("long"), "held": F.lit(False)}).unionByName(held.withColumns({"code": F.lit(None).cast("string"), "held": F.lit(True)}))
+    w = Window.partitionBy("job_id").orderBy(F.desc("held"), "at", "stage", "status", "code")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct("at", "stage", "status")
+    before = rows.withColumn("_before", F.first(F.when(F.col("held"), place)).over(so_far))
+    counted = before.filter(F.col("held") | F.col("_before").isNull() | (place > F.col("_before"))).withColumn("state", overall(F.col("stage"), F.col("status")))
+    told = counted.withColumns({"changed": ~F.col("held") & ~F.col("state").eqNullSafe(F.lag("state").over(w)), "newest": F.lead("job_id").over(w).isNull()})
+    told = told.withColumn("changes", F.sum(F.when(F.col("held"), F.col("changes")).otherwise(F.col("changed").cast("long"))).over(so_far))
+    return told.filter("changed or newest").select("job_id", F.col("state").alias("status"), "stage", "code", "at", "changes", F.col("status").alias("event"), "changed", "newest")
+
+
+def follow(events: DataFrame, folder: str) -> DataFrame:
+    """Run what job_changes() gives to the end of its input: the last row of each job's changes (CHANGES).
+
+    A row for each change of a job's state is written to `folder`/changes, batches under their number, so that one
+    written again replaces itself. What is held of jobs goes from batch to batch by two folders in turn: a batch
+    that is run again finds what was held before it. The checkpoint is there too, and a later call goes on
+    from it. Without input there are no rows.
+    """
+    spark: SparkSession = events.sparkSession
+
+    def sink(batch: DataFrame, k: int) -> None:
+        s = batch.sparkSession
+        held = s.read.schema(HELD).parquet(f"{folder}/held/{(k - 1) % 2}") if k else s.createDataFrame([], HELD)
+        told = changes_of(batch, held).persist()  # the stream's own state is not gone through twice
+        try:
+            told.filter("changed").select("job_id", "status", "stage", "code", "at", "changes").write.mode("overwrite").parquet(f"{folder}/changes/batch={k}")
+            told.filter("newest").select("job_id", "stage", F.col("event").alias("status"), "at", "changes").write.mode("overwrite").parquet(f"{folder}/held/{k % 2}")
+        finally:
+            told.unpersist()
+
+    query = events.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    from pyspark.errors import AnalysisException
-
     try:
-        rows = spark.read.schema(changes.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
+        rows = spark.read.schema(CHANGES).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows = spark.createDataFrame([], changes.schema)
+        rows = spark.createDataFrame([], CHANGES)
     last = F.max_by(F.struct("status", "stage", "code", "at", "changes"), "changes")
     return rows.groupBy("job_id").agg(last.alias("l")).select("job_id", "l.*")
